@@ -20,8 +20,8 @@ _SAMPLE = f"""h AS (SELECT event_type, event_id, value, {sql_hash('event_id', SE
 _C = """(CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1) + 0.5772156649::DOUBLE) - 2 * ({n} - 1) / {n}::DOUBLE END)"""
 
 _HEIGHTS = f"""{_SAMPLE},
- v AS (SELECT event_type, tree, value AS x, count(*) AS c, lead(value) OVER (PARTITION BY event_type, tree ORDER BY value) AS nx
-  FROM sample GROUP BY ALL),
+ d AS (SELECT event_type, tree, value AS x, count(*) AS c FROM sample GROUP BY ALL),
+ v AS (SELECT *, lead(x) OVER (PARTITION BY event_type, tree ORDER BY x) AS nx FROM d),
  heights AS (SELECT i.event_type, i.tree, i.x, coalesce(sum(CASE WHEN g.x >= i.x THEN (g.nx - g.x) / (g.nx - i.x)
    ELSE (g.nx - g.x) / (i.x - g.x) END), 0) + any_value({_C.format(n='i.c')}) AS height
   FROM v i LEFT JOIN v g ON i.event_type = g.event_type AND i.tree = g.tree AND g.nx IS NOT NULL GROUP BY ALL)"""

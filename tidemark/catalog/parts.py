@@ -120,12 +120,13 @@ def _sql_test(part: str, rows: str) -> str:
   sqrt(a.var / a.n + b.var / b.n) AS se FROM m a JOIN m b ON a.level < b.level),
  c AS (SELECT *, gap / se AS t, {sql_t_quantile(0.975, 'dof')} AS cv FROM p),
  x AS (SELECT *, {sql_t_confidence('t', 'dof')} AS confidence FROM c)
- SELECT level_a, level_b, dof, {sr('t')} AS t, {sr('confidence')} AS confidence, {sr('abs(gap) - cv * se')} AS ci_low,
-  {sr('abs(gap) + cv * se')} AS ci_high, (confidence > 0.975)::INT AS rejected FROM x"""
+ SELECT level_a, level_b, dof, {sr('t')} AS t, {sr('confidence')} AS confidence, {sr('abs(gap) - cv * se', 4)} AS ci_low,
+  {sr('abs(gap) + cv * se', 4)} AS ci_high, (confidence > 0.975)::INT AS rejected FROM x"""
 
 
 def _tested(out):
-    return out.select("level_a", "level_b", "dof", *[r(c).alias(c) for c in ("t", "confidence", "ci_low", "ci_high")], "rejected")
+    return out.select("level_a", "level_b", "dof", r("t").alias("t"), r("confidence").alias("confidence"),
+                      r("ci_low", 4).alias("ci_low"), r("ci_high", 4).alias("ci_high"), "rejected")
 
 
 @query("t16_t_test", _sql_test("week_part", SQL_EVENTS))

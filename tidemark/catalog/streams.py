@@ -1,4 +1,4 @@
-"""Streaming forms. The stream is the events table, written as one file per day."""
+"""Streaming forms. The stream is the events table, arriving in slices of time."""
 
 from __future__ import annotations
 
@@ -12,23 +12,34 @@ from tidemark.streaming import stream as ts
 COLUMNS = ("event_id", "ts", "event_type", "value")
 
 
-def _arrivals(spark, df, files_per_batch: int = 8):
-    """The rows as files by day, read as a stream in the order they were written."""
-    path = scratch_path(spark, "arrivals")
-    df = df.select(*COLUMNS)
-    (df.withColumn("day", F.to_date("ts")).repartitionByRange(8, "ts").sortWithinPartitions("ts")
-     .drop("day").write.parquet(path))
-    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch)
-            .parquet(path))
+SLICES = 3
 
 
-def _drain(spark, out, mode="append"):
-    """Run a stream over what there is into files, and read them."""
-    path, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-checkpoint")
-    running = (out.writeStream.format("parquet").outputMode(mode).option("path", path)
-               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    running.awaitTermination()
-    return spark.read.schema(out.schema).parquet(path)
+def _slices(df):
+    """The rows of each third of the time span."""
+    ends = df.agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("z")).first()
+    width = (ends["z"] - ends["a"]) // SLICES + 1
+    number = F.floor((F.unix_micros("ts") - F.lit(ends["a"])) / F.lit(width))
+    return [df.where(number == k) for k in range(SLICES)]
+
+
+def _arrivals(spark, df):
+    """A folder that fills up slice by slice: yields the stream after each arrival."""
+    path, df = scratch_path(spark, "arrivals"), df.select(*COLUMNS)
+    for part in _slices(df):
+        part.write.mode("append").parquet(path)
+        yield spark.readStream.schema(df.schema).parquet(path)
+
+
+def _drain(spark, df, build):
+    """Run the stream once per arrival, each run going on from the last one's state."""
+    path, checkpoint, schema = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-checkpoint"), None
+    for arrivals in _arrivals(spark, df):
+        out = build(arrivals)
+        schema = out.schema
+        (out.writeStream.format("parquet").outputMode("append").option("path", path)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(schema).parquet(path)
 
 
 @query("st1_detect_stream")
@@ -36,8 +47,8 @@ def st1(spark, sf):
     df = events(spark, sf).select(*COLUMNS)
     forest, band = iforest.fit_iforest(df, EVENTS), trend.fit_trend(df, EVENTS)
     path, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-checkpoint")
-    running = ts.detect_stream(_arrivals(spark, df), EVENTS, forest, band, path, checkpoint)
-    running.awaitTermination()
+    for arrivals in _arrivals(spark, df):
+        ts.detect_stream(arrivals, EVENTS, forest, band, path, checkpoint).awaitTermination()
     out = spark.read.parquet(path)
     return out.select("event_id", r("anomaly_score_2").alias("anomaly_score_2"), "ad_label_2",
                       r("anomaly_score_3").alias("anomaly_score_3"), "ad_label_3", "predicted_label")
@@ -45,11 +56,11 @@ def st1(spark, sf):
 
 @query("st2_run_incremental", "SELECT event_id, value FROM events WHERE value IS NOT NULL")
 def st2(spark, sf):
-    """Two runs over the same source: the second finds nothing new."""
+    """Two runs after each arrival: the second finds nothing new."""
     path, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-checkpoint")
-    arrivals = _arrivals(spark, events(spark, sf))
-    for day in ("2024-02-01", "2024-02-02"):
-        ts.run_incremental(arrivals, path, checkpoint, lambda b: b.where("value is not null"), day).awaitTermination()
+    for arrivals in _arrivals(spark, events(spark, sf)):
+        for day in ("2024-02-01", "2024-02-02"):
+            ts.run_incremental(arrivals, path, checkpoint, lambda b: b.where("value is not null"), day).awaitTermination()
     return spark.read.parquet(path).select("event_id", "value")
 
 
@@ -57,7 +68,7 @@ def st2(spark, sf):
   avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
   avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))''')} AS value FROM {SQL_NULLS}""")
 def st3(spark, sf):
-    out = _drain(spark, ts.fill_previous_stream(_arrivals(spark, events_nulls(spark, sf), 1), EVENTS))
+    out = _drain(spark, events_nulls(spark, sf), lambda s: ts.fill_previous_stream(s, EVENTS))
     return out.select("event_id", r("value").alias("value"))
 
 
@@ -66,7 +77,7 @@ def st3(spark, sf):
  WHERE w + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY event_type, w""")
 def st4(spark, sf):
     """Windows that are complete at the last watermark."""
-    out = _drain(spark, ts.timeline_stream(_arrivals(spark, events(spark, sf), 1), EVENTS, "6 hours"))
+    out = _drain(spark, events(spark, sf), lambda s: ts.timeline_stream(s, EVENTS, "6 hours"))
     return out.select("event_type", text("window_start").alias("window_start"), text("window_end").alias("window_end"),
                       r("value").alias("value"), "rows")
 
@@ -76,5 +87,5 @@ def st5(spark, sf):
     """Every row arrives twice."""
     df = events(spark, sf)
     twice = df.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    out = _drain(spark, ts.collapse_duplicates_stream(_arrivals(spark, twice, 1), EVENTS))
+    out = _drain(spark, twice, lambda s: ts.collapse_duplicates_stream(s, EVENTS))
     return out.select("event_id", "event_type", "value")

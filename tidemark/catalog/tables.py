@@ -29,7 +29,8 @@ def s2(spark, sf):
     records = (events(spark, sf).groupBy(F.floor(F.col("event_id") / 5000).alias("bucket"))
                .agg(F.to_json(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("value")))
     records.write.partitionBy("bucket").text(path)
-    return readers.read_json(spark, path, "event_id bigint, event_type string, value double")
+    back = readers.read_json(spark, path, "event_id bigint, event_type string, value double")
+    return back.drop("bucket")
 
 
 @query("s5_since", "SELECT event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'")

@@ -9,6 +9,7 @@ from tidemark.catalog.base import (
 from tidemark.catalog.tables import SQL_LINE
 from tidemark.operators import tuning as tu
 from tidemark.operators.residual_score import mean_ci_inlier
+from tidemark.operators.series import join_on
 
 
 def _cells(grid, detector):
@@ -56,10 +57,9 @@ def g1(spark, sf):
     """The grids of the three detectors (20, 48 and 20 combinations) for each series."""
     parts = [_cells(tu.param_grid(spark, tu.DEFAULTS[d], tu.RANGES[d]), d) for d in _SQL_GRIDS]
     grids = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    cells = grids.agg(F.collect_list(F.struct(*grids.columns)).alias("cells")).first()["cells"]
-    cells = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in c.asDict().items()]) for c in cells])
     series = events(spark, sf).select("event_type").distinct()
-    return series.select("event_type", F.explode(cells).alias("c")).select("event_type", "c.*")
+    # The grids have 88 combinations in all, whatever the data.
+    return join_on(series, grids, [])
 
 
 @query("g2_half_grid", f"""WITH g AS (SELECT user_id AS combo_id, {sql_hash('user_id', 9)} FROM (SELECT DISTINCT user_id FROM events))
@@ -122,11 +122,11 @@ def g6(spark, sf):
     return out.select("event_type", "combo_id", r("error").alias("error"))
 
 
-@query("g7_objective_trend", SQL_LINE.format(rows=_sql_tail(0.1)) + f""", p AS (SELECT event_type, value, intercept + slope *
+@query("g7_objective_trend", SQL_LINE.format(rows=_sql_tail(0.1)) + f""", fitted AS (SELECT event_type, value, intercept + slope *
   (epoch_us(date_trunc('second', ts)) - epoch_us(date_trunc('second', min(ts) OVER (PARTITION BY event_type)))) / 86400e6 AS yhat
   FROM {_sql_tail(0.1)} JOIN m USING (event_type)),
- e AS (SELECT event_type, avg(abs((value - abs(yhat)) / nullif(value, 0))) * 100 AS error FROM p GROUP BY 1)
- SELECT event_type, combo_id, {sr('error')} AS error FROM e, range(20) t(combo_id)""")
+ errors AS (SELECT event_type, avg(abs((value - abs(yhat)) / nullif(value, 0))) * 100 AS error FROM fitted GROUP BY 1)
+ SELECT event_type, combo_id, {sr('error')} AS error FROM errors, range(20) t(combo_id)""")
 def g7(spark, sf):
     grid = tu.param_grid(spark, tu.DEFAULTS["prophet"], tu.RANGES["prophet"])
     tail = tu.tail_window(events(spark, sf), EVENTS, tu.TAIL_SHARE["prophet"])

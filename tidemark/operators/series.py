@@ -97,7 +97,7 @@ def _cut_points(df: DataFrame, hot: HotSeries) -> DataFrame:
     return df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
 
 
-def _position_in(cuts: Column, key: Column, longest: int) -> Column:
+def position_in(cuts: Column, key: Column, longest: int) -> Column:
     """How many sorted ``cuts`` are <= ``key``, by halving."""
     steps = F.sequence(F.lit(1), F.lit(max(1, longest.bit_length())))
 
@@ -120,7 +120,7 @@ def add_chunks(df: DataFrame, hot: HotSeries) -> DataFrame:
     cuts = _cut_points(df, hot)
     longest = cuts.agg(F.max(F.size("_cuts")).alias("m")).first()["m"] or 0
     out = _join_hot(df, cuts, spec.groups, "left")
-    place = _position_in(F.col("_cuts"), F.struct(*spec.order), longest)
+    place = position_in(F.col("_cuts"), F.struct(*spec.order), longest)
     place = F.when(F.col("_cuts").isNull(), 0).otherwise(place).cast("int")
     return out.withColumn(CHUNK, place).drop("_cuts")
 
@@ -188,6 +188,20 @@ def with_position(df: DataFrame, spec: SeriesSpec, hot: HotSeries | None = None,
     return out.withColumn(position, rank).drop("_start", CHUNK)
 
 
+def exact_percentiles(df: DataFrame, groups, value: str, qs: list[float], name: str,
+                      hot: HotSeries | None = None) -> DataFrame:
+    """Array of exact percentiles per series; see :func:`exact_percentile`."""
+    groups = list(groups)
+    if hot is not None and hot.table is None:
+        levels = F.array(*[F.lit(float(q)) for q in qs])
+        return df.groupBy(*groups).agg(F.percentile(value, levels).alias(name))
+    out = None
+    for i, q in enumerate(qs):
+        one = exact_percentile(df, groups, value, q, f"_q{i}", hot)
+        out = one if out is None else join_on(out, one, groups)
+    return out.select(*groups, F.array(*[F.col(f"_q{i}") for i in range(len(qs))]).alias(name))
+
+
 def exact_percentile(df: DataFrame, groups, value: str, q: float, name: str,
                      hot: HotSeries | None = None) -> DataFrame:
     """Exact linear-interpolation percentile per series.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.kernels import z_quantile
-from tidemark.operators.series import HotSeries, join_on, with_position
+from tidemark.operators.series import HotSeries, join_on, position_in, with_position
 from tidemark.spec import SeriesSpec
 
 
@@ -48,6 +48,11 @@ def changepoint_grid(df: DataFrame, spec: SeriesSpec, p: TrendParams = TrendPara
     """Rows (groups, ``knot``, ``ds``): knots at evenly spaced rows of the first
     share of the history; fewer where the history is short."""
     placed = with_position(to_ds_y(df.select(*spec.groups, *spec.order, spec.feature), spec), spec, hot)
+    return knots_of(placed, p).select(*spec.groups, "knot", "ds")
+
+
+def knots_of(placed: DataFrame, p: TrendParams) -> DataFrame:
+    """The rows (with ``pos`` and ``n``) that are knots, and their ``knot`` number."""
     early = F.floor(F.col("n") * p.changepoint_range)
     count = F.when(early <= p.n_changepoints, early - 1).otherwise(F.lit(p.n_changepoints))
     first = placed.where(F.col("pos") <= early).withColumns({"_early": early, "_count": count})
@@ -56,8 +61,8 @@ def changepoint_grid(df: DataFrame, spec: SeriesSpec, p: TrendParams = TrendPara
     step = F.try_divide(F.col("_early") - 1, F.col("_count"))
     near = F.round(F.try_divide(F.col("pos") - 1, step)).cast("int")
     hit = (near >= 1) & (near <= F.col("_count")) & (F.bround(near * step) == F.col("pos") - 1)
-    return (first.where(F.col("_count") >= 1).withColumn("knot", near).where(hit)
-            .select(*spec.groups, "knot", "ds"))
+    found = first.where(F.col("_count") >= 1).withColumn("knot", near).where(hit)
+    return found.drop("_early", "_count")
 
 
 def _line_sums(t: Column, y: Column) -> list[Column]:
@@ -85,6 +90,11 @@ def fit_linear(df: DataFrame, spec: SeriesSpec) -> DataFrame:
             .select(*spec.groups, "start", "slope", "intercept", "sigma"))
 
 
+def segment_of(t: Column, knots: str = "knot_days", most: int = 1 << 14) -> Column:
+    """How many of the sorted knots are at or before ``t``."""
+    return position_in(F.col(knots), t, most)
+
+
 def segment_sums(df: DataFrame, knots: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Per (series, segment): row count and sums of t, t*t, y, t*y, y*y.
 
@@ -94,9 +104,8 @@ def segment_sums(df: DataFrame, knots: DataFrame, spec: SeriesSpec) -> DataFrame
     rows = join_on(df.where(y.isNotNull()).select(*spec.groups, spec.time, spec.feature),
                    knots, spec.groups)
     rows = rows.withColumn("_t", days_since(spec.time, F.col("start")))
-    place = F.size(F.filter("knot_days", lambda s: s <= F.col("_t"))).alias("segment")
     t = F.col("_t")
-    return rows.groupBy(*spec.groups, place).agg(
+    return rows.groupBy(*spec.groups, segment_of(t).alias("segment")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(t).alias("sum_t"), F.sum(t * t).alias("sum_tt"),
         F.sum(y).alias("sum_y"), F.sum(t * y).alias("sum_ty"), F.sum(y * y).alias("sum_yy"),
         F.max(t).alias("max_t"), F.max(F.abs(y)).alias("max_y"))
@@ -186,6 +195,63 @@ def fit_trend(df: DataFrame, spec: SeriesSpec, p: TrendParams = TrendParams(),
             .withColumn("slopes", F.array("slope")).drop("slope"))
 
 
+def fit_trend_grid(df: DataFrame, spec: SeriesSpec, params: list[TrendParams],
+                   hot: HotSeries | None = None) -> tuple[DataFrame, DataFrame]:
+    """Piecewise trends for several parameters from one pass of sums.
+
+    The rows are summed between the knots of all parameters together; the sums of
+    each parameter's wider segments add up from these. Gives the lines (groups,
+    ``segment``, arrays ``offsets`` and ``slopes`` over the parameters) and the
+    knots (groups, ``start``, ``knot_days``) that number the segments.
+    """
+    keys = list(spec.groups)
+    known = df.where(F.col(spec.feature).isNotNull())
+    starts = known.groupBy(*keys).agg(F.min(spec.time).alias("start"))
+    placed = with_position(to_ds_y(known.select(*keys, *spec.order, spec.feature), spec), spec, hot)
+    share = max(p.changepoint_range for p in params)
+    placed = placed.where(F.col("pos") <= F.floor(F.col("n") * share)).select(*keys, "ds", "pos", "n")
+    grid = None
+    for i, p in enumerate(params):
+        found = knots_of(placed, p).select(*keys, "ds", F.lit(i).alias("_param"))
+        grid = found if grid is None else grid.unionByName(found)
+    days = days_since("ds", F.col("start"))
+    grid = join_on(grid, starts, keys).select(*keys, "_param", days.alias("day"))
+    found = grid.groupBy(*keys).agg(
+        F.sort_array(F.collect_set("day")).alias("knot_days"),
+        F.sort_array(F.collect_set(F.struct("_param", "day"))).alias("_used"))
+    empty = F.array().cast("array<double>")
+    knots = join_on(starts, found, keys, "left").withColumn("knot_days", F.coalesce("knot_days", empty))
+    plain = knots.select(*keys, "start", "knot_days")
+    sums = join_on(segment_sums(known, plain, spec), knots.drop("start"), keys)
+    schema = T.StructType([df.schema[g] for g in keys] + [
+        T.StructField("segment", T.IntegerType()), T.StructField("offsets", T.ArrayType(T.DoubleType())),
+        T.StructField("slopes", T.ArrayType(T.DoubleType()))])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        at = np.asarray(part["knot_days"].iloc[0], dtype=float)
+        used = part["_used"].iloc[0]
+        used = [] if used is None else [(u["_param"], u["day"]) for u in used]
+        begin = np.concatenate([[-np.inf], at])
+        offsets, slopes = np.empty((at.size + 1, len(params))), np.empty((at.size + 1, len(params)))
+        fine = part["segment"].to_numpy(int)
+        for i, p in enumerate(params):
+            own = np.array([d for j, d in used if j == i])
+            wide = np.searchsorted(own, begin, side="right")
+            merged = part.assign(segment=wide[fine]).groupby("segment", as_index=False).agg(
+                {**{c: "sum" for c in ("rows", "sum_t", "sum_tt", "sum_y", "sum_ty", "sum_yy")},
+                 "max_t": "max", "max_y": "max"})
+            intercept, change, _ = hinge_fit(merged, own, p)
+            slope = np.cumsum(change)
+            offset = intercept - np.concatenate([[0.0], np.cumsum(change[1:] * own)])
+            offsets[:, i], slopes[:, i] = offset[wide], slope[wide]
+        seen = np.unique(fine)
+        out = pd.DataFrame({g: [part[g].iloc[0]] * seen.size for g in keys})
+        return out.assign(segment=seen, offsets=list(offsets[seen]), slopes=list(slopes[seen]))
+
+    lines = sums.groupBy(*(keys or [F.lit(0).alias("_one")])).applyInPandas(run, schema)
+    return lines, plain
+
+
 def trend_band(df: DataFrame, models: DataFrame, spec: SeriesSpec,
                interval_width: float = 0.95) -> DataFrame:
     """Add ``yhat``, ``yhat_lower`` and ``yhat_upper``."""

@@ -7,17 +7,22 @@ the tail of each series; everything else is a small table of combinations.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.sampling import add_hashes, draw
-from tidemark.operators.forecast import ForecastParams, fit_forecaster, predict_forecast
-from tidemark.operators.iforest import fit_curves, iforest_sample, score_iforest
+from tidemark.operators.forecast import (
+    ForecastParams, is_normalized, lag_frame, min_rows_gate, minmax_scale, normal_sums, solve_sums)
+from tidemark.operators.iforest import (
+    ROWS_PER_SCORING_GROUP, fit_curves, iforest_sample, score_iforest)
 from tidemark.operators.residual_score import mean_ci_inlier
-from tidemark.operators.series import HotSeries, exact_percentile, join_on, with_position
-from tidemark.operators.trend import TrendParams, fit_trend, mape, trend_band
+from tidemark.operators.series import (
+    HotSeries, exact_percentiles, hot_series, join_on, with_position)
+from tidemark.operators.trend import (
+    TrendParams, days_since, fit_trend, fit_trend_grid, mape, segment_of, trend_band)
 from tidemark.spec import SeriesSpec
 
 # Default parameters of the detectors, and the ranges that are tuned.
@@ -109,27 +114,27 @@ def macro_f1(actual: Column, predicted: Column) -> dict[str, Column]:
 
 def objective_forecast(df: DataFrame, spec: SeriesSpec, grid: DataFrame,
                        hot: HotSeries | None = None) -> DataFrame:
-    """Rows (groups, ``combo_id``, ``error``): mean absolute training error.
+    """Rows (groups, ``combo_id``, ``error``): mean absolute training error, in
+    scaled units.
 
     Combinations that agree in lag, lahead, tsteps and batch size share one fit.
     """
     keys = ["lag", "lahead", "tsteps", "batch_size"]
-    errors = []
+    hot = hot or hot_series(df, spec)
+    normalized = is_normalized(df, spec.feature).first()["normalized"]
+    scaled = minmax_scale(df, spec, "_scaled", normalized)
+    out = None
     for row in grid.select(*keys).distinct().collect():
         p = ForecastParams(row["lag"], row["lahead"], row["tsteps"], row["batch_size"])
-        models = fit_forecaster(df, spec, p, normalized=None, hot=hot)
-        predicted = predict_forecast(df, models, spec, p, hot=hot)
-        target = predict_forecast(df, None, spec, p, baseline="moving_average", hot=hot)
-        target = target.withColumnRenamed("predict", "_target")
-        on = [*spec.groups, *spec.order]
-        both = predicted.join(target.select(*on, "_target"), on)
-        error = both.groupBy(*spec.groups).agg(
-            # Rounded, so that exact fits tie and the first combination wins.
-            F.round(F.avg(F.abs(F.col("predict") - F.col("_target"))), 9).alias("error"))
-        errors.append(error.withColumns({k: F.lit(row[k]) for k in keys}))
-    out = errors[0]
-    for e in errors[1:]:
-        out = out.unionByName(e)
+        frame = lag_frame(min_rows_gate(scaled, spec, p.batch_size), spec, "_scaled", p, hot)
+        models = solve_sums(normal_sums(frame, spec.groups, p.lag), spec.groups, p.lag)
+        fitted = F.aggregate(F.zip_with("lags", "coefficients", lambda x, c: x * c),
+                             F.col("intercept"), lambda acc, v: acc + v)
+        # Rounded, so that exact fits tie and the first combination wins.
+        error = (join_on(frame, models, spec.groups).groupBy(*spec.groups)
+                 .agg(F.round(F.avg(F.abs(fitted - F.col("target"))), 9).alias("error"))
+                 .withColumns({k: F.lit(row[k]) for k in keys}))
+        out = error if out is None else out.unionByName(error)
     combos = grid.select("combo_id", *keys)
     return out.join(F.broadcast(combos), keys).select(*spec.groups, "combo_id", "error")
 
@@ -138,26 +143,43 @@ def objective_iforest(df: DataFrame, spec: SeriesSpec, grid: DataFrame, seed: in
                       trees_per_subsample: int = TREES_PER_SUBSAMPLE,
                       hot: HotSeries | None = None) -> DataFrame:
     """Rows (groups, ``combo_id``, ``error``): 1 - macro F1 against the rows outside
-    the mean's confidence interval. One forest per number of trees; contamination
-    levels share it."""
-    flagged = mean_ci_inlier(df, spec)
-    flagged = flagged.withColumn("_outlier", 1 - F.col("inlier"))
-    out = None
-    levels: dict[int, list[float]] = {}
-    for row in grid.select("num_of_trees", "contamination").distinct().collect():
-        levels.setdefault(row["num_of_trees"], []).append(row["contamination"])
-    for trees, shares in sorted(levels.items()):
-        sample = iforest_sample(df, spec, max(1, trees // trees_per_subsample), seed=seed)
-        scored = score_iforest(flagged, fit_curves(sample, spec), spec, hot=hot)
-        for share in sorted(shares):
-            limit = exact_percentile(scored, spec.groups, "anomaly_score_2", share, "_limit", hot)
-            label = (F.col("anomaly_score_2") < F.col("_limit")).cast("int")
-            f1 = join_on(scored, limit, spec.groups).groupBy(*spec.groups).agg(
-                (1 - macro_f1(F.col("_outlier"), label)["macro_f1"]).alias("error"))
-            f1 = f1.withColumns({"num_of_trees": F.lit(trees), "contamination": F.lit(share)})
-            out = f1 if out is None else out.unionByName(f1)
+    the mean's confidence interval.
+
+    One pass scores each row by every number of trees; the forests share their
+    subsamples, and the contamination levels share the scores.
+    """
     combos = grid.select("combo_id", "num_of_trees", "contamination")
-    return (out.join(F.broadcast(combos), ["num_of_trees", "contamination"])
+    pairs = combos.select("num_of_trees", "contamination").distinct().collect()
+    trees = sorted({p["num_of_trees"] for p in pairs})
+    shares = sorted({p["contamination"] for p in pairs})
+    per_size = {n: max(1, n // trees_per_subsample) for n in trees}
+
+    sample = iforest_sample(df, spec, max(per_size.values()), seed=seed)
+    wanted = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in per_size.items()])
+    sizes = F.transform(F.filter(wanted, lambda w: w["k"] > F.col("tree")), lambda w: w["n"])
+    by_trees = spec.with_groups([*spec.groups, "num_of_trees"])
+    curves = fit_curves(sample.withColumn("num_of_trees", F.explode(sizes)), by_trees)
+
+    hot = hot_series(df, spec, ROWS_PER_SCORING_GROUP) if hot is None else hot
+    flagged = mean_ci_inlier(df, spec).select(*spec.groups, *spec.order, spec.feature,
+                                              (1 - F.col("inlier")).alias("_outlier"))
+    rows = flagged.withColumn("num_of_trees", F.explode(F.array(*[F.lit(n) for n in trees])))
+    if hot.table is not None:
+        every = F.explode(F.array(*[F.lit(n) for n in trees]))
+        hot = replace(hot, spec=by_trees, table=hot.table.withColumn("num_of_trees", every))
+    scored = score_iforest(rows, curves, by_trees, hot=hot)
+    scored = scored.select(*by_trees.groups, "_outlier", "anomaly_score_2")
+    limits = exact_percentiles(scored, by_trees.groups, "anomaly_score_2", shares, "_limits", hot)
+    judged = join_on(scored, limits, by_trees.groups)
+    errors = []
+    for i in range(len(shares)):
+        label = (F.col("anomaly_score_2") < F.col("_limits")[i]).cast("int")
+        errors.append((1 - macro_f1(F.col("_outlier"), label)["macro_f1"]).alias(f"_e{i}"))
+    wide = judged.groupBy(*by_trees.groups).agg(*errors)
+    cells = F.array(*[F.struct(F.lit(s).alias("contamination"), F.col(f"_e{i}").alias("error"))
+                      for i, s in enumerate(shares)])
+    long = wide.select(*by_trees.groups, F.explode(cells).alias("_c")).select(*by_trees.groups, "_c.*")
+    return (long.join(F.broadcast(combos), ["num_of_trees", "contamination"])
             .select(*spec.groups, "combo_id", "error"))
 
 
@@ -165,19 +187,31 @@ def objective_trend(df: DataFrame, spec: SeriesSpec, grid: DataFrame, kind: str
                     hot: HotSeries | None = None) -> DataFrame:
     """Rows (groups, ``combo_id``, ``error``): percentage error of the trend's size.
 
-    The interval width does not move the trend, so combinations share fits.
+    The interval width does not move the trend, so combinations share fits, and
+    a straight line has only one.
     """
     keys = ["changepoint_range", "n_changepoints"]
-    out = None
-    for row in grid.select(*keys).distinct().collect():
-        p = TrendParams(changepoint_range=row[0], n_changepoints=row[1], kind=kind)
-        fitted = trend_band(df, fit_trend(df, spec, p, hot), spec)
-        error = fitted.groupBy(*spec.groups).agg(
-            mape(F.col(spec.feature), F.abs(F.col("yhat"))).alias("error"))
-        error = error.withColumns({k: F.lit(row[k]) for k in keys})
-        out = error if out is None else out.unionByName(error)
     combos = grid.select("combo_id", *keys)
-    return out.join(F.broadcast(combos), keys).select(*spec.groups, "combo_id", "error")
+    y = F.col(spec.feature)
+    if kind == "linear":
+        fitted = trend_band(df, fit_trend(df, spec, TrendParams(), hot), spec)
+        error = fitted.groupBy(*spec.groups).agg(mape(y, F.abs(F.col("yhat"))).alias("error"))
+        every = F.explode(F.array(*[F.lit(r["combo_id"]) for r in combos.collect()]))
+        return error.withColumn("combo_id", every).select(*spec.groups, "combo_id", "error")
+    pairs = [tuple(r) for r in combos.select(*keys).distinct().orderBy(*keys).collect()]
+    params = [TrendParams(changepoint_range=a, n_changepoints=b, kind=kind) for a, b in pairs]
+    lines, knots = fit_trend_grid(df, spec, params, hot)
+    rows = join_on(df.where(y.isNotNull()).select(*spec.groups, spec.time, spec.feature), knots, spec.groups)
+    t = days_since(spec.time, F.col("start"))
+    rows = rows.withColumn("_t", t).withColumn("segment", segment_of(F.col("_t")))
+    rows = rows.drop("knot_days", "start").join(lines, [*spec.groups, "segment"])
+    errors = [mape(y, F.abs(F.col("offsets")[i] + F.col("slopes")[i] * F.col("_t"))).alias(f"_e{i}")
+              for i in range(len(pairs))]
+    wide = rows.groupBy(*spec.groups).agg(*errors)
+    cells = F.array(*[F.struct(F.lit(a).alias(keys[0]), F.lit(b).alias(keys[1]), F.col(f"_e{i}").alias("error"))
+                      for i, (a, b) in enumerate(pairs)])
+    long = wide.select(*spec.groups, F.explode(cells).alias("_c")).select(*spec.groups, "_c.*")
+    return long.join(F.broadcast(combos), keys).select(*spec.groups, "combo_id", "error")
 
 
 def best_params(errors: DataFrame, grid: DataFrame, groups) -> DataFrame:

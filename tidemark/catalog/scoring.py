@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import (
     EVENTS, SQL_EVENTS, SQL_NULLS, SQL_ZEROS, USERS, events, events_nulls, events_zeros, query, r,
-    sql_draw, sql_hash, sql_t_quantile, sr)
+    sql_draw, sql_hash, sql_t_confidence, sql_t_quantile, sr)
 from tidemark.operators import forecast as fc
 from tidemark.operators import residual_score as rs
 
@@ -237,19 +237,42 @@ def a7t(spark, sf):
     return rs.student_t_score(_residual_frame(events(spark, sf)), EVENTS).select("event_id", r("t_value").alias("t_value"))
 
 
-@query("a7_student_t_score")
+@query("a7_student_t_score", f"""WITH t AS (SELECT event_id, residuals, avg(residuals) OVER w AS m, var_pop(residuals) OVER w AS v,
+  count(*) OVER w AS n FROM {_RES} WINDOW w AS (PARTITION BY event_type)),
+ x AS (SELECT event_id, abs(residuals - m) / sqrt(v / n) AS t, n - 1 AS dof FROM t)
+ SELECT event_id, {sr('1 - ' + sql_t_confidence('t', 'dof'))} AS anomaly_score_1 FROM x""")
 def a7(spark, sf):
     out = rs.student_t_score(_residual_frame(events(spark, sf)), EVENTS)
     return out.select("event_id", r("anomaly_score_1").alias("anomaly_score_1"))
 
 
-@query("a8_bayes_score_value")
-def a8(spark, sf):
+def _even_odd(df):
     """Events with even numbers are the sample, the others are scored against it."""
-    df = events(spark, sf)
     even = F.col("event_id") % 2 == 0
-    out = rs.bayes_score_value(df.where(even), df.where(~even), EVENTS, "value")
-    return out.select("event_id", r("score").alias("score"))
+    return df.where(even), df.where(~even)
+
+
+_EVEN = "(SELECT event_id, event_type, value AS residuals, value FROM events WHERE event_id % 2 = 0)"
+
+
+@query("a8_bayes_value_params", f"""WITH {_sql_rounds(_EVEN, 30, 0)},
+ k AS (SELECT event_type, min(value) AS low, max(value) AS high, avg(value) AS mean FROM {_EVEN} GROUP BY 1),
+ v AS (SELECT event_id, event_type, value, (value - low) / (high - low) + CASE WHEN value < (k.mean - low) / (high - low) THEN 0.5 ELSE 0 END AS p
+  FROM events JOIN k USING (event_type) WHERE event_id % 2 = 1),
+ x AS (SELECT event_id, p, sample_size, CASE WHEN value > lo AND value < hi THEN (value - lo) / width +
+   CASE WHEN (value - lo) / width < mean THEN 0.5 ELSE 0 END ELSE 1.0 END AS p2
+  FROM v JOIN rd USING (event_type) JOIN z USING (event_type))
+ SELECT event_id, {sr('any_value(p)')} AS p, (1 + sum(trunc(sample_size * (1 - p2))))::BIGINT AS a,
+  (1 + sum(trunc(sample_size * p2)))::BIGINT AS b FROM x GROUP BY event_id""")
+def a8p(spark, sf):
+    sample, values = _even_odd(events(spark, sf))
+    return rs.bayes_value_params(sample, values, EVENTS, "value").select("event_id", r("p").alias("p"), "a", "b")
+
+
+@query("a8_bayes_score_value")
+def a8(spark, sf):
+    sample, values = _even_odd(events(spark, sf))
+    return rs.bayes_score_value(sample, values, EVENTS, "value").select("event_id", r("score").alias("score"))
 
 
 @query("a9_mean_ci_inlier", f"""SELECT event_id, (abs(value - m) < {sql_t_quantile(0.995, 'n - 1')} * sqrt(v / n))::INT AS inlier FROM

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import EVENTS, events_nulls, query, r
+from tidemark.catalog.base import EVENTS, events_nulls, query, r, sql_t_quantile, sr
+from tidemark.catalog.tables import SQL_FILLED, SQL_LINE
+from tidemark.functions.kernels import z_quantile
+from tidemark.operators.clean import fill_previous
+from tidemark.operators.ensemble import join_models, vote_present
+from tidemark.operators.forecast import predict_forecast, residuals
+from tidemark.operators.residual_score import label_two_tail, student_t_score
+from tidemark.operators.trend import fit_trend, label_band, trend_band
 from tidemark.plans import jobs
 from tidemark.session import scratch_path
 from tidemark.sources import store
@@ -45,3 +52,31 @@ def x3(spark, sf):
 @query("x4_detect")
 def x4(spark, sf):
     return _shown(jobs.detect(events_nulls(spark, sf), EVENTS))
+
+
+_PREDICTED = """(SELECT *, CASE WHEN row_number() OVER w >= 2 THEN avg(value) OVER
+ (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) END AS predict
+ FROM {rows} WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))"""
+
+
+@query("x4_detect_moving_average", SQL_LINE.format(rows=SQL_FILLED) + f""",
+ res AS (SELECT event_id, event_type, predict, CASE WHEN value = 0 THEN 1000000.0::DOUBLE ELSE abs(value - predict) END AS res
+  FROM {_PREDICTED.format(rows=SQL_FILLED)} WHERE predict IS NOT NULL),
+ tv AS (SELECT event_id, predict, abs(res - avg(res) OVER w) / sqrt(var_pop(res) OVER w / count(*) OVER w) AS t, count(*) OVER w - 1 AS dof
+  FROM res WINDOW w AS (PARTITION BY event_type)),
+ l1 AS (SELECT event_id, predict, (t > {sql_t_quantile(0.975, 'dof')} OR t < {sql_t_quantile(0.525, 'dof')})::INT AS label FROM tv),
+ band AS (SELECT event_id, value, intercept + slope * (epoch_us(date_trunc('second', ts)) -
+  epoch_us(date_trunc('second', min(ts) OVER (PARTITION BY event_type)))) / 86400e6 AS yhat, {z_quantile(0.975)!r}::DOUBLE * sigma AS half
+  FROM {SQL_FILLED} JOIN m USING (event_type)),
+ l3 AS (SELECT event_id, (value > yhat + half OR value < yhat - half)::INT AS label FROM band)
+ SELECT event_id, {sr('predict')} AS predict, coalesce(l1.label, 0) AS ad_label_1, l3.label AS ad_label_3,
+  greatest(coalesce(l1.label, 0), l3.label) AS predicted_label FROM l3 LEFT JOIN l1 USING (event_id)""")
+def x4m(spark, sf):
+    """Two detectors without random draws or saved models, joined and voted."""
+    df = fill_previous(events_nulls(spark, sf), EVENTS)
+    one = predict_forecast(df, None, EVENTS, baseline="moving_average").where("predict is not null")
+    one = student_t_score(one.withColumn("residuals", residuals(F.col("value"), F.col("predict"))), EVENTS)
+    one = one.withColumn("ad_label_1", label_two_tail(F.col("anomaly_score_1")))
+    three = label_band(trend_band(df, fit_trend(df, EVENTS), EVENTS), EVENTS)
+    out = vote_present(join_models(df, {1: one, 3: three}, EVENTS))
+    return out.select("event_id", r("predict").alias("predict"), "ad_label_1", "ad_label_3", "predicted_label")

@@ -41,15 +41,14 @@ def draw_rounds(df: DataFrame, sizes: DataFrame, spec: SeriesSpec, rounds: int,
     """Rows (groups, ``round``, ``value``) of ``rounds`` random subsets per series.
 
     ``sizes`` has per series ``known`` (rows to draw from) and ``sample_size``.
-    A row is copied only into the rounds whose draw is small enough, so what is
+    A row stays only in the rounds in which its draw is small enough, so what is
     shuffled and ranked is bounded by rounds * sample size, not by the series.
     """
-    share = enough(F.col("sample_size").cast("double")) / F.col("known") * F.lit(float(DRAW_RANGE))
-    picked = F.filter(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: draw(r) <= F.col("_limit"))
+    limit = enough(F.col("sample_size").cast("double")) / F.col("known") * F.lit(float(DRAW_RANGE))
     rows = add_hashes(df.select(*spec.groups, *spec.tie, value), spec.tie, seed)
     rows = join_on(rows, sizes.select(*spec.groups, "known", "sample_size"), spec.groups)
-    rows = rows.withColumn("_limit", share).withColumn("round", F.explode(picked))
-    rows = rows.withColumn("_draw", draw(F.col("round")))
+    rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    rows = rows.withColumn("_draw", draw(F.col("round"))).where(F.col("_draw") <= limit)
     chosen = smallest(rows, [*spec.groups, "round"], spec.tie, F.col("sample_size"))
     return chosen.select(*spec.groups, "round", value)
 
@@ -148,9 +147,9 @@ def student_t_score(df: DataFrame, spec: SeriesSpec, residual: str = "residuals"
             .drop("_avg", "_var", "_n"))
 
 
-def bayes_score_value(sample: DataFrame, values: DataFrame, spec: SeriesSpec, value: str,
-                      rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
-    """Beta score of given values against a separate sample of each series.
+def bayes_value_params(sample: DataFrame, values: DataFrame, spec: SeriesSpec, value: str,
+                       rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+    """``p``, ``a`` and ``b`` of given values against a separate sample of each series.
 
     Scaled by the sample's bounds; each round stands alone (no carried share).
     """
@@ -165,7 +164,13 @@ def bayes_score_value(sample: DataFrame, values: DataFrame, spec: SeriesSpec, va
     out = out.drop("_lo", "_hi", "_avg")
     sizes = sample_sizes(sample, spec)
     summary = residual_rounds(sample, spec, y, rounds, seed, sizes)
-    out = beta_params(out, summary, sizes, spec, value, carry=False)
+    return beta_params(out, summary, sizes, spec, value, carry=False)
+
+
+def bayes_score_value(sample: DataFrame, values: DataFrame, spec: SeriesSpec, value: str,
+                      rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+    """Add ``score``, the Beta quantile of :func:`bayes_value_params`."""
+    out = bayes_value_params(sample, values, spec, value, rounds, seed)
     return out.withColumn("score", beta_quantile("p", F.col("a"), F.col("b"))).drop("p", "a", "b")
 
 

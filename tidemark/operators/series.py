@@ -11,7 +11,7 @@ earlier chunks added. Results are the same either way.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,7 +48,7 @@ def attach_stats(df: DataFrame, groups, *aggs: Column, how: str = "inner") -> Da
 
 @dataclass(frozen=True)
 class HotSeries:
-    """Series with more than ``limit`` rows, and how many rows they have.
+    """The series with more than ``limit`` rows, if any, and their row counts.
 
     At most (rows of the table / limit) entries, so it may live on the driver.
     """
@@ -56,7 +56,13 @@ class HotSeries:
     spec: SeriesSpec
     limit: int
     table: DataFrame | None
-    total: int
+
+    def above(self, limit: int) -> "HotSeries":
+        """Those with more than a higher limit."""
+        if self.table is None:
+            return replace(self, limit=limit)
+        kept = self.table.where(F.col("_rows") > limit)
+        return replace(self, limit=limit, table=None if kept.isEmpty() else kept)
 
 
 def hot_series(df: DataFrame, spec: SeriesSpec, limit: int | None = None) -> HotSeries:
@@ -64,10 +70,8 @@ def hot_series(df: DataFrame, spec: SeriesSpec, limit: int | None = None) -> Hot
     groups = list(spec.groups)
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
     found = counts.where(F.col("_rows") > limit).collect()
-    if not found:
-        return HotSeries(spec, limit, None, 0)
-    table = df.sparkSession.createDataFrame(found, counts.schema)
-    return HotSeries(spec, limit, table, sum(r["_rows"] for r in found))
+    table = df.sparkSession.createDataFrame(found, counts.schema) if found else None
+    return HotSeries(spec, limit, table)
 
 
 def _join_hot(df: DataFrame, table: DataFrame, groups, how: str) -> DataFrame:

@@ -45,9 +45,11 @@ def period_split_date(high: Column, period: str, compat: bool = False) -> Column
     return _plus_seconds(high, F.lit(-by_name[period.lower()]))
 
 
-def split_date(df: DataFrame, time: str, period: str | None = None, ratio: float = 0.8) -> datetime:
-    """The one date that splits the whole table, from its first and last time."""
-    ends = df.agg(F.min(time).alias("low"), F.max(time).alias("high"))
+def split_date(df: DataFrame, time: str | None, period: str | None = None,
+               ratio: float = 0.8) -> datetime:
+    """The one date that splits the whole table, from its first and last time;
+    without ``time`` the table has these as ``low`` and ``high``."""
+    ends = df.agg(F.min(time).alias("low"), F.max(time).alias("high")) if time else df
     return ends.select(_split_of(period, ratio).alias("d")).first()["d"]
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import PARTS, date_part
-from tidemark.functions.kernels import t_critical, t_two_sided
+from tidemark.functions.kernels import t_critical, t_ppf, t_two_sided
 from tidemark.functions.sampling import DRAW_RANGE, add_hashes, cap_sample, draw, enough
 from tidemark.spec import SeriesSpec
 
@@ -38,15 +40,17 @@ RELAXED_BY = {"quarter": ("year",), "month": ("year", "quarter"),
               "week": ("year", "quarter", "month")}
 
 
+def _span(time: str) -> Column:
+    return (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / 1e6
+
+
 def span_seconds(df: DataFrame, time: str) -> DataFrame:
     """One row: seconds from the first to the last time."""
-    span = (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / 1e6
-    return df.agg(span.alias("span_seconds"))
+    return df.agg(_span(time).alias("span_seconds"))
 
 
-def finest_part(df: DataFrame, time: str) -> DataFrame:
-    """One row: ``grain``, the finest calendar part with two values, and
-    ``candidates``, the coarser parts joined by ``*``. NULL if all times are equal."""
+def _overview(df: DataFrame, time: str) -> DataFrame:
+    """One row: ``grain``, ``candidates`` and ``span_seconds``, in one pass."""
     varies = [(F.min(date_part(time, p)) != F.max(date_part(time, p))).alias(p) for p in PARTS]
     grain = F.lit(None).cast("string")
     coarser = F.lit(None).cast("string")
@@ -54,7 +58,14 @@ def finest_part(df: DataFrame, time: str) -> DataFrame:
         # Later, finer parts take precedence.
         grain = F.when(F.col(part), F.lit(part)).otherwise(grain)
         coarser = F.when(F.col(part), F.lit("*".join(PARTS[:i]))).otherwise(coarser)
-    return df.agg(*varies).select(grain.alias("grain"), coarser.alias("candidates"))
+    facts = df.agg(*varies, _span(time).alias("span_seconds"))
+    return facts.select(grain.alias("grain"), coarser.alias("candidates"), "span_seconds")
+
+
+def finest_part(df: DataFrame, time: str) -> DataFrame:
+    """One row: ``grain``, the finest calendar part with two values, and
+    ``candidates``, the coarser parts joined by ``*``. NULL if all times are equal."""
+    return _overview(df, time).select("grain", "candidates")
 
 
 def part_allowed(part: str, grain: Column, accepted: Column) -> Column:
@@ -150,6 +161,34 @@ def bootstrap_rounds(smaller: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(smaller * share)).cast("long")
 
 
+def _rounds_of(n: int) -> int:
+    share = 0.1 if n < 1000 else 0.01 if 1000 < n < 10000 else 0.0001
+    return max(1, int(n * share))
+
+
+def _pair_plan(levels, cap: int, spark, alpha: float) -> tuple[DataFrame, DataFrame]:
+    """Small tables made from the counts per calendar value, of which there are 60
+    at most, or as many as years or quarters. Per value and pair the sample size,
+    rounds and critical value; per value the sizes and rounds that its pairs need."""
+    found = sorted((r["level"], min(r["n"], cap), r["center"]) for r in levels)
+    pairs, needs = [], {}
+    for (a, n_a, _), (b, n_b, _) in combinations(found, 2):
+        smaller = min(n_a, n_b)
+        pairs.append((a, b, int(smaller * SAMPLE_SHARE), _rounds_of(smaller)))
+        for level in (a, b):
+            needs.setdefault(level, []).append(pairs[-1][2:])
+    dofs = sorted({2 * m - 2 for _, _, m, _ in pairs if m > 1})
+    crit = dict(zip(dofs, t_ppf(np.full(len(dofs), 1 - alpha / 4), np.array(dofs, float)).tolist()))
+    rows = [(level, a, b, m, k, crit.get(2 * m - 2)) for a, b, m, k in pairs for level in (a, b)]
+    sides = spark.createDataFrame(
+        rows, "level string, level_a string, level_b string, m bigint, rounds bigint, _crit double")
+    per_level = [(level, n, center, sorted({m for m, _ in needs[level]}), max(m for m, _ in needs[level]),
+                  max(k for _, k in needs[level])) for level, n, center in found if level in needs]
+    wanted = spark.createDataFrame(
+        per_level, "level string, n bigint, center double, _sizes array<bigint>, _largest bigint, _rounds bigint")
+    return sides, wanted
+
+
 def bootstrap_t_test(df: DataFrame, part: Column, spec: SeriesSpec, seed: int = 0,
                      cap: int = SAMPLE_CAP, alpha: float = TEST_ALPHA) -> DataFrame:
     """For each pair of the part's values, the share of rounds that accept equal means.
@@ -160,44 +199,34 @@ def bootstrap_t_test(df: DataFrame, part: Column, spec: SeriesSpec, seed: int =
     """
     y = spec.feature
     rows = df.select(part.cast("string").alias("level"), *spec.tie, F.col(y).cast("double").alias(y))
-    rows = cap_sample(rows.where(F.col(y).isNotNull()), ["level"], spec.tie, cap, seed)
-    levels = rows.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("center"))
-
-    smaller = F.least("n_a", "n_b")
-    pairs = level_pairs(levels, "n").select(
-        "level_a", "level_b", F.floor(smaller * SAMPLE_SHARE).cast("long").alias("m"),
-        bootstrap_rounds(smaller).alias("rounds"))
-    pairs = pairs.withColumn("_crit", t_critical(1 - alpha / 4, 2 * F.col("m") - 2))
-
-    both = F.explode(F.array("level_a", "level_b")).alias("level")
-    wanted = (pairs.select(both, "m", "rounds").groupBy("level")
-              .agg(F.collect_set("m").alias("_sizes"), F.max("m").alias("_largest"),
-                   F.max("rounds").alias("_rounds")))
-    wanted = wanted.join(levels, "level")
+    rows = rows.where(F.col(y).isNotNull())
+    levels = rows.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("center")).collect()
+    sides, wanted = _pair_plan(levels, cap, df.sparkSession, alpha)
+    if any(r["n"] > cap for r in levels):
+        rows = cap_sample(rows, ["level"], spec.tie, cap, seed)
 
     limit = enough(F.col("_largest").cast("double")) / F.col("n") * F.lit(float(DRAW_RANGE))
-    drawn = add_hashes(rows, spec.tie, seed + 1).join(wanted, "level").withColumn("_limit", limit)
-    picked = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_rounds") - 1),
-                      lambda r: draw(r) <= F.col("_limit"))
-    drawn = drawn.withColumn("round", F.explode(picked))
-    drawn = drawn.select("level", "round", draw(F.col("round")).alias("_draw"), *spec.tie, "_sizes",
-                         "_largest", "center", (F.col(y) - F.col("center")).alias("_d"))
+    drawn = add_hashes(rows, spec.tie, seed + 1).join(F.broadcast(wanted), "level")
+    drawn = drawn.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rounds") - 1)))
+    drawn = drawn.withColumn("_draw", draw(F.col("round"))).where(F.col("_draw") <= limit)
+    drawn = drawn.select("level", "round", "_draw", *spec.tie, "_sizes", "center",
+                         (F.col(y) - F.col("center")).alias("_d"))
     w = Window.partitionBy("level", "round").orderBy("_draw", *spec.tie)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     ranked = drawn.withColumns({
-        "size": F.row_number().over(w).cast("long"), "_s": F.sum("_d").over(upto),
+        "m": F.row_number().over(w).cast("long"), "_s": F.sum("_d").over(upto),
         "_q": F.sum(F.col("_d") * F.col("_d")).over(upto)})
-    moments = ranked.where(F.array_contains("_sizes", F.col("size"))).select(
-        "level", "round", "size", (F.col("center") + F.col("_s") / F.col("size")).alias("mean"),
-        F.greatest(F.col("_q") / F.col("size") - F.pow(F.col("_s") / F.col("size"), 2),
-                   F.lit(0.0)).alias("var"))
-
-    def side(s):
-        return moments.select(F.col("level").alias(f"level_{s}"), "round", F.col("size").alias("m"),
-                              F.col("mean").alias(f"mean_{s}"), F.col("var").alias(f"var_{s}"))
-
-    runs = pairs.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
-    runs = runs.join(side("a"), ["level_a", "round", "m"]).join(side("b"), ["level_b", "round", "m"])
+    shift = F.col("_s") / F.col("m")
+    moments = ranked.where(F.array_contains("_sizes", F.col("m"))).select(
+        "level", "round", "m", (F.col("center") + shift).alias("mean"),
+        F.greatest(F.col("_q") / F.col("m") - shift * shift, F.lit(0.0)).alias("var"))
+
+    # Each pair takes its two values' moments of the size it needs.
+    runs = moments.join(F.broadcast(sides), ["level", "m"]).where(F.col("round") < F.col("rounds"))
+    first = F.col("level") == F.col("level_a")
+    picked = [F.max(F.when(first if side == "a" else ~first, F.col(c))).alias(f"{c}_{side}")
+              for c in ("mean", "var") for side in ("a", "b")]
+    runs = runs.groupBy("level_a", "level_b", "m", "rounds", "_crit", "round").agg(*picked)
     t = t_statistic(*[F.col(c) for c in ("mean_a", "mean_b", "var_a", "var_b", "m", "m")])
     accepted = F.coalesce(F.abs(t) <= F.col("_crit"), t.isNull()).cast("double")
     return runs.groupBy("level_a", "level_b", "m", "rounds").agg(F.avg(accepted).alias("h0_share"))
@@ -234,18 +263,17 @@ class PartDecision:
 def select_time_parts(df: DataFrame, spec: SeriesSpec, seed: int = 0, compat: bool = True,
                       exact: bool = False) -> list[PartDecision]:
     """Decide the calendar parts from coarse to fine; one Spark job per tested part."""
-    first = finest_part(df, spec.time).first()
+    passes = [span_gate(p, F.col("span_seconds"), compat).alias(p) for p in PARTS]
+    first = _overview(df, spec.time).select("grain", "candidates", *passes).first()
     grain = first["grain"]
     if grain is None:
         return []
-    span = span_seconds(df, spec.time)
-    gates = span.select(*[span_gate(p, F.col("span_seconds"), compat).alias(p) for p in PARTS]).first()
     decisions: list[PartDecision] = []
     accepted: set[str] = set()
     for part in [p for p in first["candidates"].split("*") if p]:
         if part in spec.groups:
             continue
-        tested = bool(gates[part]) and _allowed(part, grain, accepted)
+        tested = bool(first[part]) and _allowed(part, grain, accepted)
         tested = tested and part_counts_ok(df, spec.time, part).first()["ok"]
         pairs = differing = 0
         if tested:

@@ -12,9 +12,10 @@ from tidemark.operators import tuning
 from tidemark.operators.clean import clean_series, collapse_duplicates, times_are_unique
 from tidemark.operators.ensemble import vote_present
 from tidemark.operators.forecast import ForecastParams, fit_forecaster, predict_forecast, residuals
-from tidemark.operators.iforest import SUBSAMPLES, fit_iforest, predict_iforest
+from tidemark.operators.iforest import (
+    ROWS_PER_SCORING_GROUP, SUBSAMPLES, fit_iforest, predict_iforest)
 from tidemark.operators.residual_score import ROUNDS, beta_score, student_t_score, label_two_tail
-from tidemark.operators.series import hot_series
+from tidemark.operators.series import ROWS_PER_CHUNK, HotSeries, hot_series
 from tidemark.operators.splits import split, split_date, with_lookback
 from tidemark.operators.timeparts import accepted_parts, apply_time_parts, select_time_parts
 from tidemark.operators.trend import TrendParams, fit_trend, label_band, trend_band
@@ -75,22 +76,48 @@ def _drawable(spec: SeriesSpec) -> SeriesSpec:
     return spec if spec.tie else replace(spec, tie=(spec.time,))
 
 
-def fit_models(frame: DataFrame, spec: SeriesSpec, date: datetime,
-               settings: JobSettings) -> dict[str, DataFrame]:
+@dataclass(frozen=True)
+class Facts:
+    """What the jobs need to know about a prepared frame, from one aggregation."""
+
+    first: datetime | None
+    last: datetime | None
+    normalized: bool
+    hot: HotSeries
+
+
+def look(frame: DataFrame, spec: SeriesSpec) -> Facts:
+    t, y = spec.time, spec.feature
+    per_series = frame.groupBy(*spec.groups).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(t).alias("first"), F.max(t).alias("last"),
+        F.min(y).alias("low"), F.max(y).alias("high"))
+    row = per_series.agg(F.max("rows").alias("rows"), F.min("first").alias("first"),
+                         F.max("last").alias("last"), F.min("low").alias("low"),
+                         F.max("high").alias("high")).first()
+    hot = HotSeries(spec, ROWS_PER_SCORING_GROUP, None)
+    if (row["rows"] or 0) > ROWS_PER_SCORING_GROUP:
+        hot = hot_series(frame, spec, ROWS_PER_SCORING_GROUP)
+    low, high = row["low"], row["high"]
+    normalized = low is not None and 0 <= low < 1 and 0 < high <= 1
+    return Facts(row["first"], row["last"], normalized, hot)
+
+
+def fit_models(frame: DataFrame, spec: SeriesSpec, date: datetime, settings: JobSettings,
+               facts: Facts) -> dict[str, DataFrame]:
     """Model tables of the three detectors. The trend sees the whole history, the
     other two the rows before the split date."""
     past, _ = split(frame, spec.time, date)
-    hot = hot_series(frame, spec)
+    windows = facts.hot.above(ROWS_PER_CHUNK)
     return {
-        "lstm": fit_forecaster(past, spec, settings.forecast, hot=hot),
+        "lstm": fit_forecaster(past, spec, settings.forecast, facts.normalized, windows),
         "iso_f": fit_iforest(past, spec, settings.contamination, settings.trees,
-                             settings.forest_mode, settings.seed),
-        "prophet": fit_trend(frame, spec, settings.trend, hot),
+                             settings.forest_mode, settings.seed, facts.hot),
+        "prophet": fit_trend(frame, spec, settings.trend, windows),
     }
 
 
 def score(frame: DataFrame, spec: SeriesSpec, models: dict[str, DataFrame], date: datetime,
-          settings: JobSettings) -> DataFrame:
+          settings: JobSettings, facts: Facts) -> DataFrame:
     """Rows from ``date`` on with the three detectors' columns and the vote.
 
     All detectors add columns to the same rows, so no join between their outputs
@@ -98,8 +125,9 @@ def score(frame: DataFrame, spec: SeriesSpec, models: dict[str, DataFrame], date
     """
     p = settings.forecast
     rows = with_lookback(frame, spec, date, p.reach + p.warmup)
-    rows = predict_forecast(rows, models["lstm"], spec, p)
+    rows = predict_forecast(rows, models["lstm"], spec, p, hot=facts.hot.above(ROWS_PER_CHUNK))
     rows = rows.where(F.col("warmup") == 0).drop("warmup")
+    # The score takes several looks at these rows.
     rows = materialize(rows, "forecast")
     known = rows.where(F.col("predict").isNotNull())
     known = known.withColumn("residuals", residuals(F.col(spec.feature), F.col("predict")))
@@ -112,27 +140,34 @@ def score(frame: DataFrame, spec: SeriesSpec, models: dict[str, DataFrame], date
     forest = models["iso_f"]
     if settings.forest_fit_on == "window":
         forest = fit_iforest(rows, spec, settings.contamination, settings.trees,
-                             settings.forest_mode, settings.seed)
-    out = predict_iforest(out, forest, spec, hot=hot_series(rows, spec))
+                             settings.forest_mode, settings.seed, facts.hot)
+    out = predict_iforest(out, forest, spec, facts.hot)
     out = trend_band(out, models["prophet"], spec, settings.trend.interval_width)
     out = label_band(out, spec).drop("yhat", "yhat_lower", "yhat_upper")
     names = [f"{kind}_{i}" for i in (1, 2, 3) for kind in ("ad_label", "anomaly_score")]
     return vote_present(out.fillna(0, subset=names))
 
 
+def _split_date(facts: Facts, spark, settings: JobSettings) -> datetime:
+    ends = spark.createDataFrame([(facts.first, facts.last)], "low timestamp, high timestamp")
+    return split_date(ends, None, settings.period, settings.split_ratio)
+
+
 def detect(df: DataFrame, spec: SeriesSpec, settings: JobSettings = JobSettings()) -> DataFrame:
     """Train and predict in memory: the scored rows after the split date."""
     frame, spec, _ = prepare(df, spec, settings)
-    date = split_date(frame, spec.time, settings.period, settings.split_ratio)
-    models = fit_models(frame, spec, date, settings)
-    return score(frame, spec, models, date, settings)
+    facts = look(frame, spec)
+    date = _split_date(facts, df.sparkSession, settings)
+    models = fit_models(frame, spec, date, settings, facts)
+    return score(frame, spec, models, date, settings, facts)
 
 
 def train(df: DataFrame, spec: SeriesSpec, path: str, settings: JobSettings = JobSettings()) -> list[str]:
     """Fit the detectors and save models and run metadata under ``path``."""
     frame, spec, parts = prepare(df, spec, settings)
-    date = split_date(frame, spec.time, settings.period, settings.split_ratio)
-    for name, rows in fit_models(frame, spec, date, settings).items():
+    facts = look(frame, spec)
+    date = _split_date(facts, df.sparkSession, settings)
+    for name, rows in fit_models(frame, spec, date, settings, facts).items():
         save_models(rows, f"{path}/models", name)
     save_metadata(run_metadata(frame, spec.time, parts), f"{path}/metadata")
     return parts
@@ -148,8 +183,8 @@ def predict(df: DataFrame, spec: SeriesSpec, path: str, settings: JobSettings =
     frame, spec, _ = prepare(df, spec, settings, parts=saved)
     models = {m: load_models(spark, f"{path}/models", m) for m in ("lstm", "iso_f", "prophet")}
     frame = has_model(frame, models["iso_f"], spec.groups)
-    date = split_date(frame, spec.time, settings.period, settings.split_ratio)
-    out = score(frame, spec, models, date, settings)
+    facts = look(frame, spec)
+    out = score(frame, spec, models, _split_date(facts, spark, settings), settings, facts)
     if run_date:
         write_results(out, f"{path}/results", run_date)
         out = spark.read.parquet(f"{path}/results").where(F.col("run_date") == run_date)

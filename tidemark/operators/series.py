@@ -179,7 +179,7 @@ def with_position(df: DataFrame, spec: SeriesSpec, hot: HotSeries | None = None,
     out = attach_stats(df, groups, F.count(F.lit(1)).alias(count))
     if hot.table is None:
         w = Window.partitionBy(*groups).orderBy(*spec.order)
-        return out.withColumn(position, F.row_number().over(w))
+        return out.withColumn(position, F.row_number().over(w).cast("long"))
     chunked = add_chunks(out, hot)
     hot_rows = _join_hot(chunked, hot.table.drop("_rows"), groups, "left_semi") if groups else chunked
     sizes = hot_rows.groupBy(*groups, CHUNK).agg(F.count(F.lit(1)).alias("_size"))
@@ -188,7 +188,7 @@ def with_position(df: DataFrame, spec: SeriesSpec, hot: HotSeries | None = None,
     w = Window.partitionBy(*groups, CHUNK).orderBy(*spec.order)
     # One row per chunk of a hot series, about rows / limit in all.
     out = chunked.join(F.broadcast(starts), [*groups, CHUNK], "left")
-    rank = F.row_number().over(w) + F.coalesce(F.col("_start"), F.lit(0))
+    rank = F.row_number().over(w).cast("long") + F.coalesce(F.col("_start"), F.lit(0))
     return out.withColumn(position, rank).drop("_start", CHUNK)
 
 

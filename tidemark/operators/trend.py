@@ -1,7 +1,7 @@
 """Detector 3: trend with a band, per series.
 
 A straight line comes from the built-in regression aggregates. A piecewise
-linear trend needs only five sums per (series, segment between knots); the
+linear trend needs only six sums per (series, segment between knots); the
 normal equations of the hinge basis follow from these, so rows are reduced where
 they are and only some fifty short rows per series are solved.
 """
@@ -27,7 +27,8 @@ class TrendParams:
     changepoint_range: float = 0.1
     n_changepoints: int = 50
     kind: str = "linear"
-    # Scales of the priors on slope and offset, and on slope changes.
+    # Scales of the normal prior on slope and offset, and of the
+    # Laplace prior on slope changes.
     slope_scale: float = 5.0
     change_scale: float = 0.05
 
@@ -111,6 +112,17 @@ def segment_sums(df: DataFrame, knots: DataFrame, spec: SeriesSpec) -> DataFrame
         F.max(t).alias("max_t"), F.max(F.abs(y)).alias("max_y"))
 
 
+def _solve(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solution of a symmetric system; the shortest one where it is singular."""
+    try:
+        found = np.linalg.solve(matrix, right)
+        if np.allclose(matrix @ found, right, rtol=1e-8, atol=1e-12):
+            return found
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.pinv(matrix, rcond=1e-13, hermitian=True) @ right
+
+
 def hinge_fit(part: pd.DataFrame, knots: np.ndarray, p: TrendParams):
     """Offset, slope, slope changes and residual deviation from segment sums."""
     part = part.sort_values("segment")
@@ -136,18 +148,25 @@ def hinge_fit(part: pd.DataFrame, knots: np.ndarray, p: TrendParams):
     right = np.concatenate([[tail[0, 3]], tail[:, 4] - s * tail[:, 3]])
     total = tail[0]
 
-    def solve(noise):
+    def solve(noise, changes):
         prior = np.full(m + 2, noise / p.slope_scale ** 2)
-        prior[2:] = noise / p.change_scale ** 2
-        beta = np.linalg.pinv(gram + np.diag(prior), hermitian=True) @ right
+        prior[2:] = noise / (p.change_scale * np.maximum(np.abs(changes), 1e-9))
+        beta = _solve(gram + np.diag(prior), right)
         left = total[5] - 2 * beta @ right + beta @ gram @ beta
         return beta, max(left, 0.0) / max(total[0], 1.0)
 
     plain = np.linalg.pinv(gram[:2, :2], hermitian=True) @ right[:2]
     left = total[5] - 2 * plain @ right[:2] + plain @ gram[:2, :2] @ plain
     noise = max(left, 0.0) / max(total[0], 1.0)
-    for _ in range(5):
-        beta, noise = solve(noise)
+    # Coefficients, then noise and the weights of the prior on slope changes (a
+    # Laplace prior as a reweighted quadratic one), until the noise settles.
+    changes = np.full(m, p.change_scale)
+    for _ in range(100):
+        before = noise
+        beta, noise = solve(noise, changes)
+        changes = beta[2:]
+        if abs(noise - before) <= 1e-9 * before:
+            break
     return beta[0] * size, beta[1:] * size / width, float(np.sqrt(noise) * size)
 
 
@@ -271,9 +290,14 @@ def trend_band(df: DataFrame, models: DataFrame, spec: SeriesSpec,
     return out.drop("_t", "start", "knot_days", "slopes", "intercept", "sigma")
 
 
+def _beyond(a: Column, b: Column) -> Column:
+    """``a > b`` by more than rounding, so that an exact fit flags nothing."""
+    return a - b > F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b))
+
+
 def band_label(y: Column, lower: Column, upper: Column) -> Column:
     """1 outside the band."""
-    return F.when((y > upper) | (y < lower), 1).otherwise(0)
+    return F.when(_beyond(y, upper) | _beyond(lower, y), 1).otherwise(0)
 
 
 def band_score(y: Column, lower: Column, upper: Column) -> Column:
@@ -281,7 +305,8 @@ def band_score(y: Column, lower: Column, upper: Column) -> Column:
     def away(bound):
         return F.abs(F.try_divide(y - bound, y))
 
-    return F.when(y > upper, away(upper)).when(y < lower, away(lower)).otherwise(F.lit(0.0))
+    return (F.when(_beyond(y, upper), away(upper)).when(_beyond(lower, y), away(lower))
+            .otherwise(F.lit(0.0)))
 
 
 def label_band(df: DataFrame, spec: SeriesSpec) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.data import ALONE, SPEC, by_id, frame, from_arrays, noisy
 from tidemark.functions.kernels import beta_ppf
 from tidemark.operators import forecast as fc
-from tidemark.operators import iforest, trend
+from tidemark.operators import iforest, series, trend
 from tidemark.operators import residual_score as rs
 from tidemark.operators.series import HotSeries, hot_series
 
@@ -185,7 +185,7 @@ def test_hot_series_are_scored_in_slots(spark, monkeypatch):
     df = noisy(spark, 300)
     models = iforest.fit_iforest(df, SPEC)
     plain = by_id(iforest.predict_iforest(df, models, SPEC), "anomaly_score_2", "ad_label_2")
-    monkeypatch.setattr(iforest, "ROWS_PER_SCORING_GROUP", 40)
+    monkeypatch.setattr(series, "ROWS_PER_GROUP", 40)
     cut = by_id(iforest.predict_iforest(df, models, SPEC), "anomaly_score_2", "ad_label_2")
     pd.testing.assert_frame_equal(plain, cut)
     alone = iforest.fit_iforest(df, ALONE)

@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import series
 from tidemark.operators.residual_score import draw_rounds
-from tidemark.operators.series import HotSeries, exact_percentile, hot_series, join_on
+from tidemark.operators.series import (
+    HotSeries, exact_percentile, hot_series, join_on, meet, slots_for)
 from tidemark.spec import SeriesSpec
 
 PSI = 256
@@ -27,7 +29,6 @@ EULER = 0.5772156649
 # Closed-form subsamples standing in for the default 1000 random trees: each one
 # is already the mean over infinitely many trees on its rows.
 SUBSAMPLES = 8
-ROWS_PER_SCORING_GROUP = 500_000
 
 
 def average_path(n):
@@ -161,35 +162,28 @@ def score_iforest(df: DataFrame, curves: DataFrame, spec: SeriesSpec, name: str
                   hot: HotSeries | None = None) -> DataFrame:
     """Add the score of every row; series without a curve get NULL.
 
-    Rows meet their series' curve in groups of bounded size: a hot series is
-    spread over as many (series, slot) groups as it needs, each with a copy of
-    the curve, so no task holds a whole series.
+    Rows meet their series' curve in groups of bounded size.
     """
     y, keys = spec.feature, list(spec.groups)
-    hot = hot or hot_series(df, spec, ROWS_PER_SCORING_GROUP)
+    hot = hot or hot_series(df, spec, series.ROWS_PER_GROUP)
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.DoubleType())])
-    slots = F.lit(1)
-    if hot.table is not None:
-        wanted = F.ceil(F.col("_rows") / ROWS_PER_SCORING_GROUP).cast("int").alias("_slots")
-        table = hot.table.select(*keys, wanted)
-        slots = F.coalesce(F.col("_slots"), F.lit(1))
-        table = F.broadcast(table)
-        df, curves = join_on(df, table, keys, "left"), join_on(curves, table, keys, "left")
-    spread = F.pmod(F.xxhash64(*(spec.tie or spec.order)), slots).cast("int")
-    df = df.withColumn("_slot", spread).drop("_slots")
-    curves = curves.withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1))).drop("_slots")
+    if hot.table is None:
+        df, curves = df.withColumn("_slots", F.lit(1)), curves.withColumn("_slots", F.lit(1))
+    else:
+        table = F.broadcast(hot.table.select(*keys, slots_for(F.col("_rows")).alias("_slots")))
+        one = F.coalesce("_slots", F.lit(1))
+        df = join_on(df, table, keys, "left").withColumn("_slots", one)
+        curves = join_on(curves, table, keys, "left").withColumn("_slots", one)
 
     def run(rows: pd.DataFrame, curve: pd.DataFrame) -> pd.DataFrame:
-        out = rows.drop(columns="_slot")
         if len(curve) == 0:
-            return out.assign(**{name: np.nan})
+            return rows.assign(**{name: np.nan})
         c = curve.iloc[0]
         score = curve_score(rows[y].to_numpy(float), np.asarray(c["knots"], float),
                             np.asarray(c["heights"], float), c["path_norm"])
-        return out.assign(**{name: score})
+        return rows.assign(**{name: score})
 
-    pair = df.groupBy(*keys, "_slot").cogroup(curves.groupBy(*keys, "_slot"))
-    scored = pair.applyInPandas(run, schema)
+    scored = meet(df, curves, spec, schema, run)
     return scored.withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
 
 
@@ -210,7 +204,7 @@ def fit_iforest(df: DataFrame, spec: SeriesSpec, contamination: float = 0.01,
                 hot: HotSeries | None = None) -> DataFrame:
     """Model rows: groups, ``knots``, ``heights``, ``path_norm``, ``threshold``."""
     trees = trees or (SUBSAMPLES if mode == "exact" else 1000)
-    hot = hot or hot_series(df, spec, ROWS_PER_SCORING_GROUP)
+    hot = hot or hot_series(df, spec, series.ROWS_PER_GROUP)
     curves = fit_curves(iforest_sample(df, spec, trees, PSI, seed), spec, mode, seed)
     scored = score_iforest(df.select(*spec.groups, *spec.order, spec.feature), curves, spec, hot=hot)
     limits = contamination_threshold(scored, spec, contamination, hot=hot)

@@ -7,12 +7,15 @@ Beta distribution, whose quantile is the score.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.kernels import beta_quantile, t_critical, t_two_sided
+from tidemark.functions.kernels import beta_ppf, beta_quantile, t_critical, t_two_sided
 from tidemark.functions.sampling import DRAW_RANGE, add_hashes, draw, enough, smallest
-from tidemark.operators.series import attach_stats, join_on
+from tidemark.operators.series import attach_stats, join_on, meet, slots_for
 from tidemark.spec import SeriesSpec
 
 # Rounds, confidence level, pool size, and label limits of the score.
@@ -81,41 +84,50 @@ def residual_rounds(df: DataFrame, spec: SeriesSpec, residual: str = "residuals"
             .withColumns({"round_range": width, "round_mean": mean}).drop("_avg"))
 
 
-def _fold(value: Column, size: Column, carry: bool) -> Column:
-    """Beta parameters of one value over the array column ``_rounds``."""
-    zero = F.lit(0).cast("long")
-    start = F.struct((zero + 1).alias("a"), (zero + 1).alias("b"), F.lit(1.0).alias("p"))
-
-    def step(acc, r):
-        inside = (r["round_max"] > value) & (value > r["round_min"])
-        at = (value - r["round_min"]) / r["round_range"]
-        moved = F.when(at < r["round_mean"], at + 0.5).otherwise(at)
-        p = F.when(inside, moved).otherwise(acc["p"] if carry else F.lit(1.0))
-        return F.struct((acc["a"] + (size * (1 - p)).cast("long")).alias("a"),
-                        (acc["b"] + (size * p).cast("long")).alias("b"), p.alias("p"))
-
-    return F.aggregate("_rounds", start, step)
+def fold_rounds(value: np.ndarray, rounds: pd.DataFrame, size: int, carry: bool):
+    """Beta parameters of many values of one series over its rounds."""
+    a, b = np.ones(value.size, dtype="int64"), np.ones(value.size, dtype="int64")
+    share = np.ones(value.size)
+    for r in rounds.sort_values("round").itertuples():
+        inside = (value > r.round_min) & (value < r.round_max)
+        at = (value - r.round_min) / (r.round_range or 1.0)
+        moved = np.where(at < r.round_mean, at + 0.5, at)
+        share = np.where(inside, moved, share if carry else 1.0)
+        b += np.trunc(size * share).astype("int64")
+        a += np.trunc(size * (1 - share)).astype("int64")
+    return a, b
 
 
 def beta_params(df: DataFrame, rounds: DataFrame, sizes: DataFrame, spec: SeriesSpec,
-                residual: str = "residuals", carry: bool = True) -> DataFrame:
-    """Add ``p``, ``a`` and ``b`` of each residual.
+                residual: str = "residuals", carry: bool = True, score: str | None = None) -> DataFrame:
+    """Add ``p``, ``a`` and ``b`` of each residual, and the quantile as ``score``.
 
     Rounds run in order. A value outside a round's range keeps the share of the
-    round before (``carry``), which starts at 1.
+    round before (``carry``), which starts at 1. Rows meet their series' rounds in
+    groups of bounded size, where each round is folded over all values at once.
     """
     if "scaled" not in df.columns:
         df = scaled_residual(df, spec, residual)
-    entry = F.struct("round", "round_min", "round_max", "round_range", "round_mean")
-    per_series = (rounds.groupBy(*spec.groups)
-                  .agg(F.sort_array(F.collect_list(entry)).alias("_rounds")))
-    per_series = join_on(per_series, sizes.select(*spec.groups, "sample_size"), spec.groups)
-    out = join_on(df, per_series, spec.groups)
-    value = F.col(residual)
-    p = F.when(value < F.col("mean_scaled"), F.col("scaled") + 0.5).otherwise(F.col("scaled"))
-    out = out.withColumns({"p": p, "_ab": _fold(value, F.col("sample_size"), carry)})
-    return (out.withColumns({"a": F.col("_ab.a"), "b": F.col("_ab.b")})
-            .drop("_ab", "_rounds", "sample_size", "scaled", "mean_scaled"))
+    p = F.when(F.col(residual) < F.col("mean_scaled"), F.col("scaled") + 0.5).otherwise(F.col("scaled"))
+    df = df.withColumn("p", p).drop("scaled", "mean_scaled")
+    added = [T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]
+    if score:
+        added.append(T.StructField(score, T.DoubleType()))
+    schema = T.StructType(df.schema.fields + added)
+
+    def run(rows: pd.DataFrame, summary: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) == 0 or len(summary) == 0:
+            return rows.head(0).reindex(columns=schema.names)
+        size = int(summary["sample_size"].iloc[0])
+        a, b = fold_rounds(rows[residual].to_numpy(float), summary, size, carry)
+        out = rows.assign(a=a, b=b)
+        return out.assign(**{score: beta_ppf(rows["p"].to_numpy(float), a, b)}) if score else out
+
+    slots = sizes.select(*spec.groups, slots_for(F.col("rows")).alias("_slots"))
+    side = join_on(rounds, sizes.select(*spec.groups, "sample_size", slots_for(F.col("rows")).alias("_slots")),
+                   spec.groups)
+    out = meet(join_on(df, slots, spec.groups), side, spec, schema, run)
+    return out.withColumn(score, F.nanvl(score, F.lit(None).cast("double"))) if score else out
 
 
 def label_two_tail(score: Column) -> Column:
@@ -128,8 +140,7 @@ def beta_score(df: DataFrame, spec: SeriesSpec, residual: str = "residuals",
     """Add ``anomaly_score_1`` and ``ad_label_1`` from the residuals."""
     sizes = sample_sizes(df, spec)
     summary = residual_rounds(df, spec, residual, rounds, seed, sizes)
-    out = beta_params(df, summary, sizes, spec, residual, carry)
-    out = out.withColumn("anomaly_score_1", beta_quantile("p", F.col("a"), F.col("b")))
+    out = beta_params(df, summary, sizes, spec, residual, carry, "anomaly_score_1")
     return (out.withColumn("ad_label_1", label_two_tail(F.col("anomaly_score_1")))
             .drop("p", "a", "b"))
 
@@ -164,6 +175,9 @@ def bayes_value_params(sample: DataFrame, values: DataFrame, spec: SeriesSpec, v
     out = out.drop("_lo", "_hi", "_avg")
     sizes = sample_sizes(sample, spec)
     summary = residual_rounds(sample, spec, y, rounds, seed, sizes)
+    # The groups of the meeting go by the rows that are scored.
+    sizes = join_on(sizes.drop("rows"), values.groupBy(*spec.groups).agg(F.count(F.lit(1)).alias("rows")),
+                    spec.groups)
     return beta_params(out, summary, sizes, spec, value, carry=False)
 
 

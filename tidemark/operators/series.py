@@ -192,6 +192,33 @@ def with_position(df: DataFrame, spec: SeriesSpec, hot: HotSeries | None = None,
     return out.withColumn(position, rank).drop("_start", CHUNK)
 
 
+# Rows of one series that meet its model or summary in one Python group.
+ROWS_PER_GROUP = 500_000
+
+
+def slots_for(rows: Column) -> Column:
+    """Groups to spread a series of so many rows over."""
+    return F.greatest(F.ceil(rows / ROWS_PER_GROUP), F.lit(1)).cast("int")
+
+
+def meet(rows: DataFrame, side: DataFrame, spec: SeriesSpec, schema, run) -> DataFrame:
+    """Run ``run(rows, side)`` on rows of a series and that series' few side rows.
+
+    Both tables carry ``_slots``, the number of groups their series is spread
+    over; each group gets a share of the rows and a copy of the side rows, so no
+    group holds a whole hot series.
+    """
+    groups = list(spec.groups)
+    spread = F.pmod(F.xxhash64(*(spec.tie or spec.order)), F.col("_slots")).cast("int")
+    rows = rows.withColumn("_slot", spread).drop("_slots")
+    every = F.explode(F.sequence(F.lit(0), F.col("_slots") - 1))
+    side = side.withColumn("_slot", every).drop("_slots")
+    # Both tables may come from the same source: give the side columns of its own.
+    side = side.toDF(*side.columns)
+    pair = rows.groupBy(*groups, "_slot").cogroup(side.groupBy(*groups, "_slot"))
+    return pair.applyInPandas(lambda r, s: run(r.drop(columns="_slot"), s), schema)
+
+
 def exact_percentiles(df: DataFrame, groups, value: str, qs: list[float], name: str,
                       hot: HotSeries | None = None) -> DataFrame:
     """Array of exact percentiles per series; see :func:`exact_percentile`."""

@@ -204,6 +204,8 @@ def bootstrap_t_test(df: DataFrame, part: Column, spec: SeriesSpec, seed: int =
     sides, wanted = _pair_plan(levels, cap, df.sparkSession, alpha)
     if any(r["n"] > cap for r in levels):
         rows = cap_sample(rows, ["level"], spec.tie, cap, seed)
+    # What is left is bounded, and is about to be multiplied by the rounds.
+    rows = rows.repartition(*spec.tie)
 
     limit = enough(F.col("_largest").cast("double")) / F.col("n") * F.lit(float(DRAW_RANGE))
     drawn = add_hashes(rows, spec.tie, seed + 1).join(F.broadcast(wanted), "level")

@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.sampling import add_hashes, draw
 from tidemark.operators.forecast import (
     ForecastParams, is_normalized, lag_frame, min_rows_gate, minmax_scale, normal_sums, solve_sums)
-from tidemark.operators.iforest import (
-    ROWS_PER_SCORING_GROUP, fit_curves, iforest_sample, score_iforest)
+from tidemark.operators.iforest import fit_curves, iforest_sample, score_iforest
 from tidemark.operators.residual_score import mean_ci_inlier
 from tidemark.operators.series import (
-    HotSeries, exact_percentiles, hot_series, join_on, with_position)
+    ROWS_PER_GROUP, HotSeries, exact_percentiles, hot_series, join_on, with_position)
 from tidemark.operators.trend import (
     TrendParams, days_since, fit_trend, fit_trend_grid, mape, segment_of, trend_band)
 from tidemark.spec import SeriesSpec
@@ -160,7 +159,7 @@ def objective_iforest(df: DataFrame, spec: SeriesSpec, grid: DataFrame, seed: in
     by_trees = spec.with_groups([*spec.groups, "num_of_trees"])
     curves = fit_curves(sample.withColumn("num_of_trees", F.explode(sizes)), by_trees)
 
-    hot = hot_series(df, spec, ROWS_PER_SCORING_GROUP) if hot is None else hot
+    hot = hot_series(df, spec, ROWS_PER_GROUP) if hot is None else hot
     flagged = mean_ci_inlier(df, spec).select(*spec.groups, *spec.order, spec.feature,
                                               (1 - F.col("inlier")).alias("_outlier"))
     rows = flagged.withColumn("num_of_trees", F.explode(F.array(*[F.lit(n) for n in trees])))

@@ -12,10 +12,9 @@ from tidemark.operators import tuning
 from tidemark.operators.clean import clean_series, collapse_duplicates, times_are_unique
 from tidemark.operators.ensemble import vote_present
 from tidemark.operators.forecast import ForecastParams, fit_forecaster, predict_forecast, residuals
-from tidemark.operators.iforest import (
-    ROWS_PER_SCORING_GROUP, SUBSAMPLES, fit_iforest, predict_iforest)
+from tidemark.operators.iforest import SUBSAMPLES, fit_iforest, predict_iforest
 from tidemark.operators.residual_score import ROUNDS, beta_score, student_t_score, label_two_tail
-from tidemark.operators.series import ROWS_PER_CHUNK, HotSeries, hot_series
+from tidemark.operators.series import ROWS_PER_CHUNK, ROWS_PER_GROUP, HotSeries, hot_series
 from tidemark.operators.splits import split, split_date, with_lookback
 from tidemark.operators.timeparts import accepted_parts, apply_time_parts, select_time_parts
 from tidemark.operators.trend import TrendParams, fit_trend, label_band, trend_band
@@ -94,9 +93,9 @@ def look(frame: DataFrame, spec: SeriesSpec) -> Facts:
     row = per_series.agg(F.max("rows").alias("rows"), F.min("first").alias("first"),
                          F.max("last").alias("last"), F.min("low").alias("low"),
                          F.max("high").alias("high")).first()
-    hot = HotSeries(spec, ROWS_PER_SCORING_GROUP, None)
-    if (row["rows"] or 0) > ROWS_PER_SCORING_GROUP:
-        hot = hot_series(frame, spec, ROWS_PER_SCORING_GROUP)
+    hot = HotSeries(spec, ROWS_PER_GROUP, None)
+    if (row["rows"] or 0) > ROWS_PER_GROUP:
+        hot = hot_series(frame, spec, ROWS_PER_GROUP)
     low, high = row["low"], row["high"]
     normalized = low is not None and 0 <= low < 1 and 0 < high <= 1
     return Facts(row["first"], row["last"], normalized, hot)

@@ -34,7 +34,7 @@ class SeriesSpec:
 
     @property
     def order(self) -> list[str]:
-        return [self.time, *self.tie]
+        return [self.time, *[c for c in self.tie if c != self.time]]
 
     def with_groups(self, groups) -> "SeriesSpec":
         return replace(self, groups=tuple(groups))

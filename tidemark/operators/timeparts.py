@@ -169,7 +169,7 @@ def _rounds_of(n: int) -> int:
 def _pair_plan(levels, cap: int, spark, alpha: float) -> tuple[DataFrame, DataFrame]:
     """Small tables made from the counts per calendar value, of which there are 60
     at most, or as many as years or quarters. Per value and pair the sample size,
-    rounds and critical value; per value the sizes and rounds that its pairs need."""
+    rounds and critical value; per value the most rows and rounds its pairs need."""
     found = sorted((r["level"], min(r["n"], cap), r["center"]) for r in levels)
     pairs, needs = [], {}
     for (a, n_a, _), (b, n_b, _) in combinations(found, 2):
@@ -182,10 +182,9 @@ def _pair_plan(levels, cap: int, spark, alpha: float) -> tuple[DataFrame, DataFr
     rows = [(level, a, b, m, k, crit.get(2 * m - 2)) for a, b, m, k in pairs for level in (a, b)]
     sides = spark.createDataFrame(
         rows, "level string, level_a string, level_b string, m bigint, rounds bigint, _crit double")
-    per_level = [(level, n, center, sorted({m for m, _ in needs[level]}), max(m for m, _ in needs[level]),
-                  max(k for _, k in needs[level])) for level, n, center in found if level in needs]
+    per_level = [(level, n, center, *map(max, zip(*needs[level]))) for level, n, center in found if level in needs]
     wanted = spark.createDataFrame(
-        per_level, "level string, n bigint, center double, _sizes array<bigint>, _largest bigint, _rounds bigint")
+        per_level, "level string, n bigint, center double, _largest bigint, _rounds bigint")
     return sides, wanted
 
 
@@ -211,7 +210,7 @@ def bootstrap_t_test(df: DataFrame, part: Column, spec: SeriesSpec, seed: int =
     drawn = add_hashes(rows, spec.tie, seed + 1).join(F.broadcast(wanted), "level")
     drawn = drawn.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rounds") - 1)))
     drawn = drawn.withColumn("_draw", draw(F.col("round"))).where(F.col("_draw") <= limit)
-    drawn = drawn.select("level", "round", "_draw", *spec.tie, "_sizes", "center",
+    drawn = drawn.select("level", "round", "_draw", *spec.tie, "center",
                          (F.col(y) - F.col("center")).alias("_d"))
     w = Window.partitionBy("level", "round").orderBy("_draw", *spec.tie)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -219,12 +218,11 @@ def bootstrap_t_test(df: DataFrame, part: Column, spec: SeriesSpec, seed: int =
         "m": F.row_number().over(w).cast("long"), "_s": F.sum("_d").over(upto),
         "_q": F.sum(F.col("_d") * F.col("_d")).over(upto)})
     shift = F.col("_s") / F.col("m")
-    moments = ranked.where(F.array_contains("_sizes", F.col("m"))).select(
-        "level", "round", "m", (F.col("center") + shift).alias("mean"),
-        F.greatest(F.col("_q") / F.col("m") - shift * shift, F.lit(0.0)).alias("var"))
-
-    # Each pair takes its two values' moments of the size it needs.
-    runs = moments.join(F.broadcast(sides), ["level", "m"]).where(F.col("round") < F.col("rounds"))
+    # Each pair takes its two values' moments at the rank that is its sample size.
+    runs = ranked.join(F.broadcast(sides), ["level", "m"]).where(F.col("round") < F.col("rounds"))
+    runs = runs.withColumns({
+        "mean": F.col("center") + shift,
+        "var": F.greatest(F.col("_q") / F.col("m") - shift * shift, F.lit(0.0))})
     first = F.col("level") == F.col("level_a")
     picked = [F.max(F.when(first if side == "a" else ~first, F.col(c))).alias(f"{c}_{side}")
               for c in ("mean", "var") for side in ("a", "b")]

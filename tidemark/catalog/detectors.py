@@ -13,32 +13,45 @@ from tidemark.operators import iforest, trend
 TREES = 2
 SEED = 42
 
-_SAMPLE = f"""h AS (SELECT event_type, event_id, value, {sql_hash('event_id', SEED)}, unnest(range({TREES})) AS tree FROM events),
- sample AS (SELECT event_type, tree, value FROM h
-  QUALIFY row_number() OVER (PARTITION BY event_type, tree ORDER BY {sql_draw('tree')}, event_id) <= 256)"""
-
 _C = """(CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2 * (ln({n} - 1) + 0.5772156649::DOUBLE) - 2 * ({n} - 1) / {n}::DOUBLE END)"""
 
-_HEIGHTS = f"""{_SAMPLE},
+
+def sql_heights(trees: int, rows: str = "events") -> str:
+    """CTEs ``sample`` and ``heights``: the closed form at each sampled value."""
+    return f"""h AS (SELECT event_type, event_id, value, {sql_hash('event_id', SEED)}, unnest(range({trees})) AS tree FROM {rows}),
+ sample AS (SELECT event_type, tree, value FROM h
+  QUALIFY row_number() OVER (PARTITION BY event_type, tree ORDER BY {sql_draw('tree')}, event_id) <= 256),
  d AS (SELECT event_type, tree, value AS x, count(*) AS c FROM sample GROUP BY ALL),
  v AS (SELECT *, lead(x) OVER (PARTITION BY event_type, tree ORDER BY x) AS nx FROM d),
  heights AS (SELECT i.event_type, i.tree, i.x, coalesce(sum(CASE WHEN g.x >= i.x THEN (g.nx - g.x) / (g.nx - i.x)
    ELSE (g.nx - g.x) / (i.x - g.x) END), 0) + any_value({_C.format(n='i.c')}) AS height
   FROM v i LEFT JOIN v g ON i.event_type = g.event_type AND i.tree = g.tree AND g.nx IS NOT NULL GROUP BY ALL)"""
 
-_SCORES = f"""{_HEIGHTS},
+
+def sql_tree_scores(trees: int, rows: str = "events") -> str:
+    """Also ``norm`` and ``per_tree``: each row's height by each tree."""
+    return f"""{sql_heights(trees, rows)},
  norm AS (SELECT event_type, {_C.format(n='count(*)')} AS c FROM sample WHERE tree = 0 GROUP BY 1),
- q AS (SELECT event_id, event_type, value, unnest(range({TREES})) AS tree FROM events),
- lo AS (SELECT q.*, h.x AS lx, h.height AS lh FROM q ASOF LEFT JOIN heights h
+ q AS (SELECT event_id, event_type, value, unnest(range({trees})) AS tree FROM {rows}),
+ below AS (SELECT q.*, h.x AS lx, h.height AS lh FROM q ASOF LEFT JOIN heights h
   ON q.event_type = h.event_type AND q.tree = h.tree AND q.value >= h.x),
- hi AS (SELECT lo.*, h.x AS hx, h.height AS hh FROM lo ASOF LEFT JOIN heights h
-  ON lo.event_type = h.event_type AND lo.tree = h.tree AND lo.value <= h.x),
- e AS (SELECT event_id, event_type, avg(CASE WHEN lx IS NULL THEN hh WHEN hx IS NULL OR lx = hx THEN lh
-   ELSE lh + (hh - lh) * (value - lx) / (hx - lx) END) AS height FROM hi GROUP BY 1, 2),
- scores AS (SELECT event_id, event_type, -pow(2.0, -height / c) AS score FROM e JOIN norm USING (event_type))"""
+ around AS (SELECT below.*, h.x AS hx, h.height AS hh FROM below ASOF LEFT JOIN heights h
+  ON below.event_type = h.event_type AND below.tree = h.tree AND below.value <= h.x),
+ per_tree AS (SELECT event_id, event_type, tree, CASE WHEN lx IS NULL THEN hh WHEN hx IS NULL OR lx = hx THEN lh
+   ELSE lh + (hh - lh) * (value - lx) / (hx - lx) END AS height FROM around)"""
+
+
+def sql_scores(trees: int) -> str:
+    """Also ``scores``: each row's score by the forest."""
+    return f"""{sql_tree_scores(trees)},
+ mean_height AS (SELECT event_id, event_type, avg(height) AS height FROM per_tree GROUP BY 1, 2),
+ scores AS (SELECT event_id, event_type, -pow(2.0, -height / c) AS score FROM mean_height JOIN norm USING (event_type))"""
+
+
+_HEIGHTS, _SCORES = sql_heights(TREES), sql_scores(TREES)
 
 
-@query("i1_iforest_sample", f"WITH {_SAMPLE} SELECT event_type, tree::INT AS tree, value FROM sample")
+@query("i1_iforest_sample", f"WITH {_HEIGHTS} SELECT event_type, tree::INT AS tree, value FROM sample")
 def i1(spark, sf):
     return iforest.iforest_sample(events(spark, sf), EVENTS, TREES, seed=SEED)
 
@@ -133,7 +146,7 @@ def b3p(spark, sf):
                       r("intercept").alias("intercept"), r("sigma").alias("sigma"))
 
 
-def _sql_band(rows: str) -> str:
+def sql_band(rows: str) -> str:
     z = z_quantile(0.975)
     return SQL_LINE.format(rows=rows) + f""", b AS (SELECT event_id, value, yhat, yhat - {z!r}::DOUBLE * sigma AS lower,
   yhat + {z!r}::DOUBLE * sigma AS upper FROM (SELECT event_id, value, sigma, intercept + slope * (epoch_us(date_trunc('second', ts)) -
@@ -144,13 +157,13 @@ def _banded(df):
     return trend.trend_band(df, trend.fit_trend(df, EVENTS), EVENTS)
 
 
-@query("b4_trend_band", _sql_band(SQL_EVENTS) + f""" SELECT event_id, {sr('yhat')} AS yhat, {sr('lower')} AS yhat_lower,
+@query("b4_trend_band", sql_band(SQL_EVENTS) + f""" SELECT event_id, {sr('yhat')} AS yhat, {sr('lower')} AS yhat_lower,
  {sr('upper')} AS yhat_upper FROM b""")
 def b4(spark, sf):
     return _banded(events(spark, sf)).select("event_id", *[r(c).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")])
 
 
-@query("b5_label_band", _sql_band(SQL_ZEROS) + f""" SELECT event_id, (value > upper OR value < lower)::INT AS ad_label_3,
+@query("b5_label_band", sql_band(SQL_ZEROS) + f""" SELECT event_id, (value > upper OR value < lower)::INT AS ad_label_3,
  {sr('''CASE WHEN value > upper THEN abs((value - upper) / nullif(value, 0)) WHEN value < lower THEN abs((value - lower) / nullif(value, 0))
   ELSE 0 END''')} AS anomaly_score_3 FROM b""")
 def b5(spark, sf):
@@ -158,7 +171,7 @@ def b5(spark, sf):
     return out.select("event_id", "ad_label_3", r("anomaly_score_3").alias("anomaly_score_3"))
 
 
-@query("b6_mape", _sql_band(SQL_ZEROS) + f""" SELECT event_type, {sr('avg(abs((e.value - yhat) / nullif(e.value, 0))) * 100')} AS mape
+@query("b6_mape", sql_band(SQL_ZEROS) + f""" SELECT event_type, {sr('avg(abs((e.value - yhat) / nullif(e.value, 0))) * 100')} AS mape
  FROM b JOIN (SELECT event_id, event_type, value FROM {SQL_ZEROS}) e USING (event_id) GROUP BY 1""")
 def b6(spark, sf):
     out = _banded(events_zeros(spark, sf))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import EVENTS, SQL_NULLS, events, events_nulls, query, r, sr, st, text
+from tidemark.catalog.base import EVENTS, SQL_EVENTS, SQL_NULLS, events, events_nulls, query, r, sr, st, text
+from tidemark.catalog.detectors import sql_band, sql_scores
 from tidemark.operators import iforest, trend
 from tidemark.session import scratch_path
 from tidemark.streaming import stream as ts
@@ -42,7 +43,16 @@ def _drain(spark, df, build):
     return spark.read.schema(schema).parquet(path)
 
 
-@query("st1_detect_stream")
+_BAND = sql_band(SQL_EVENTS)
+
+
+@query("st1_detect_stream", _BAND + f""", {sql_scores(iforest.SUBSAMPLES)},
+ limits AS (SELECT event_type, quantile_cont(score, 0.01) AS threshold FROM scores GROUP BY 1),
+ two AS (SELECT event_id, score, (score < threshold)::INT AS ad_label_2 FROM scores JOIN limits USING (event_type)),
+ three AS (SELECT event_id, (value > upper OR value < lower)::INT AS ad_label_3, CASE WHEN value > upper THEN
+   abs((value - upper) / nullif(value, 0)) WHEN value < lower THEN abs((value - lower) / nullif(value, 0)) ELSE 0 END AS away FROM b)
+ SELECT event_id, {sr('score')} AS anomaly_score_2, ad_label_2, {sr('away')} AS anomaly_score_3, ad_label_3,
+  greatest(ad_label_2, ad_label_3) AS predicted_label FROM two JOIN three USING (event_id)""")
 def st1(spark, sf):
     df = events(spark, sf).select(*COLUMNS)
     forest, band = iforest.fit_iforest(df, EVENTS), trend.fit_trend(df, EVENTS)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import (
     EVENTS, USERS, events, query, r, sql_draw, sql_hash, sql_t_quantile, sr)
+from tidemark.catalog.detectors import sql_tree_scores
 from tidemark.catalog.tables import SQL_LINE
 from tidemark.operators import tuning as tu
 from tidemark.operators.residual_score import mean_ci_inlier
@@ -114,7 +115,18 @@ def g6f(spark, sf):
     return out.withColumn("macro_f1", r("macro_f1"))
 
 
-@query("g6_objective_iforest")
+@query("g6_objective_iforest", f"""WITH {sql_tree_scores(5, _sql_tail(0.3))},
+ by_size AS (SELECT event_id, event_type, k, avg(height) AS height FROM per_tree, range(1, 6) t(k) WHERE tree < k GROUP BY ALL),
+ scores AS (SELECT event_id, event_type, k, -pow(2.0, -height / c) AS score FROM by_size JOIN norm USING (event_type)),
+ quantiles AS (SELECT event_type, k, quantile_cont(score, [0.1, 0.2, 0.3, 0.4]) AS qs FROM scores GROUP BY ALL),
+ limits AS (SELECT event_type, k, i, qs[i + 1] AS threshold FROM quantiles, range(4) t(i)),
+ truth AS (SELECT event_id, (abs(value - m) >= {sql_t_quantile(0.995, 'n - 1')} * sqrt(v / n))::INT AS actual FROM (SELECT event_id, value,
+  avg(value) OVER w AS m, var_pop(value) OVER w AS v, count(*) OVER w AS n FROM {_sql_tail(0.3)} WINDOW w AS (PARTITION BY event_type))),
+ judged AS (SELECT event_type, k, i, actual, (score < threshold)::INT AS label FROM scores JOIN limits USING (event_type, k) JOIN truth USING (event_id)),
+ counts AS (SELECT event_type, k, i, count(*) FILTER (WHERE actual = 1 AND label = 1) AS tp, count(*) FILTER (WHERE actual <> label) AS wrong,
+  count(*) FILTER (WHERE actual = 0 AND label = 0) AS tn FROM judged GROUP BY ALL)
+ SELECT event_type, i * 5 + k - 1 AS combo_id, {sr("""1 - (coalesce(2 * tp / nullif(2 * tp + wrong, 0), 0)
+  + coalesce(2 * tn / nullif(2 * tn + wrong, 0), 0)) / 2""")} AS error FROM counts""")
 def g6(spark, sf):
     grid = tu.param_grid(spark, tu.DEFAULTS["iso_f"], tu.RANGES["iso_f"])
     tail = tu.tail_window(events(spark, sf), EVENTS, tu.TAIL_SHARE["iso_f"])

@@ -241,14 +241,16 @@ def fit_trend_grid(df: DataFrame, spec: SeriesSpec, params: list[TrendParams],
     empty = F.array().cast("array<double>")
     knots = join_on(starts, found, keys, "left").withColumn("knot_days", F.coalesce("knot_days", empty))
     plain = knots.select(*keys, "start", "knot_days")
-    sums = join_on(segment_sums(known, plain, spec), knots.drop("start"), keys)
+    sums = segment_sums(known, plain, spec)
     schema = T.StructType([df.schema[g] for g in keys] + [
         T.StructField("segment", T.IntegerType()), T.StructField("offsets", T.ArrayType(T.DoubleType())),
         T.StructField("slopes", T.ArrayType(T.DoubleType()))])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        at = np.asarray(part["knot_days"].iloc[0], dtype=float)
-        used = part["_used"].iloc[0]
+    def run(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if len(part) == 0:
+            return pd.DataFrame(columns=schema.names)
+        at = np.asarray(found["knot_days"].iloc[0], dtype=float)
+        used = found["_used"].iloc[0]
         used = [] if used is None else [(u["_param"], u["day"]) for u in used]
         begin = np.concatenate([[-np.inf], at])
         offsets, slopes = np.empty((at.size + 1, len(params))), np.empty((at.size + 1, len(params)))
@@ -267,7 +269,10 @@ def fit_trend_grid(df: DataFrame, spec: SeriesSpec, params: list[TrendParams],
         out = pd.DataFrame({g: [part[g].iloc[0]] * seen.size for g in keys})
         return out.assign(segment=seen, offsets=list(offsets[seen]), slopes=list(slopes[seen]))
 
-    lines = sums.groupBy(*(keys or [F.lit(0).alias("_one")])).applyInPandas(run, schema)
+    # One short group per series: its segments, and its knots once.
+    by = keys or [F.lit(0).alias("_one")]
+    side = knots.toDF(*knots.columns)
+    lines = sums.groupBy(*by).cogroup(side.groupBy(*by)).applyInPandas(run, schema)
     return lines, plain
 
 

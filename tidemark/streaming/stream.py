@@ -26,10 +26,13 @@ def run_incremental(stream: DataFrame, path: str, checkpoint: str,
     replaces it, so a restart after a failure writes each row once.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        # The transformation may look at the batch more than once.
+        batch = batch.persist()
         out = transform(batch) if transform else batch
         out = out.withColumns({"run_date": F.lit(run_date), "batch": F.lit(batch_id)})
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("run_date", "batch").parquet(path))
+        batch.unpersist()
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

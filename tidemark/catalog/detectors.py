@@ -28,11 +28,11 @@ def sql_heights(trees: int, rows: str = "events") -> str:
   FROM v i LEFT JOIN v g ON i.event_type = g.event_type AND i.tree = g.tree AND g.nx IS NOT NULL GROUP BY ALL)"""
 
 
-def sql_tree_scores(trees: int, rows: str = "events") -> str:
-    """Also ``norm`` and ``per_tree``: each row's height by each tree."""
+def sql_tree_scores(trees: int, rows: str = "events", scored: str | None = None) -> str:
+    """Also ``norm`` and ``per_tree``: the height of each row of ``scored`` by each tree."""
     return f"""{sql_heights(trees, rows)},
  norm AS (SELECT event_type, {_C.format(n='count(*)')} AS c FROM sample WHERE tree = 0 GROUP BY 1),
- q AS (SELECT event_id, event_type, value, unnest(range({trees})) AS tree FROM {rows}),
+ q AS (SELECT event_id, event_type, value, unnest(range({trees})) AS tree FROM {scored or rows}),
  below AS (SELECT q.*, h.x AS lx, h.height AS lh FROM q ASOF LEFT JOIN heights h
   ON q.event_type = h.event_type AND q.tree = h.tree AND q.value >= h.x),
  around AS (SELECT below.*, h.x AS hx, h.height AS hh FROM below ASOF LEFT JOIN heights h
@@ -41,9 +41,9 @@ def sql_tree_scores(trees: int, rows: str = "events") -> str:
    ELSE lh + (hh - lh) * (value - lx) / (hx - lx) END AS height FROM around)"""
 
 
-def sql_scores(trees: int) -> str:
+def sql_scores(trees: int, rows: str = "events", scored: str | None = None) -> str:
     """Also ``scores``: each row's score by the forest."""
-    return f"""{sql_tree_scores(trees)},
+    return f"""{sql_tree_scores(trees, rows, scored)},
  mean_height AS (SELECT event_id, event_type, avg(height) AS height FROM per_tree GROUP BY 1, 2),
  scores AS (SELECT event_id, event_type, -pow(2.0, -height / c) AS score FROM mean_height JOIN norm USING (event_type))"""
 

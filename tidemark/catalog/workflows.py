@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import EVENTS, events_nulls, query, r, sql_t_quantile, sr
-from tidemark.catalog.tables import SQL_FILLED, SQL_LINE
+from tidemark.catalog.detectors import sql_scores
+from tidemark.catalog.tables import SQL_FILLED, SQL_LINE, SQL_SPLIT
 from tidemark.functions.kernels import z_quantile
 from tidemark.operators.clean import fill_previous
 from tidemark.operators.ensemble import join_models, vote_present
 from tidemark.operators.forecast import predict_forecast, residuals
+from tidemark.operators.iforest import SUBSAMPLES
 from tidemark.operators.residual_score import label_two_tail, student_t_score
-from tidemark.operators.trend import fit_trend, label_band, trend_band
+from tidemark.operators.trend import TrendParams, fit_trend, label_band, trend_band
 from tidemark.plans import jobs
 from tidemark.session import scratch_path
 from tidemark.sources import store
@@ -54,6 +56,60 @@ def x4(spark, sf):
     return _shown(jobs.detect(events_nulls(spark, sf), EVENTS))
 
 
+# The jobs with those settings of which every label can be said in SQL: a straight
+# trend, p-values for the residuals, no time parts.
+LINEAR = jobs.JobSettings(trend=TrendParams(kind="linear"), score_method="student_t", time_parts=False)
+
+_CUT = f"""{SQL_LINE.format(rows=SQL_FILLED)}, filled AS (SELECT * FROM {SQL_FILLED}),
+ past AS (SELECT * FROM filled WHERE ts < {SQL_SPLIT}), {sql_scores(SUBSAMPLES, 'past', 'filled')},
+ limits AS (SELECT event_type, quantile_cont(score, 0.01) AS threshold FROM scores SEMI JOIN past USING (event_id) GROUP BY 1)"""
+
+_LABELLED = _CUT + f""",
+ predicted AS (SELECT *, CASE WHEN row_number() OVER w >= 2 THEN avg(value) OVER
+   (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) END AS predict
+  FROM filled WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+ res AS (SELECT event_id, event_type, predict, CASE WHEN value = 0 THEN 1000000.0::DOUBLE ELSE abs(value - predict) END AS res
+  FROM predicted WHERE ts >= {SQL_SPLIT} AND predict IS NOT NULL),
+ tv AS (SELECT event_id, predict, abs(res - avg(res) OVER w) / sqrt(var_pop(res) OVER w / count(*) OVER w) AS t, count(*) OVER w - 1 AS dof
+  FROM res WINDOW w AS (PARTITION BY event_type)),
+ one AS (SELECT event_id, predict, (t > {sql_t_quantile(0.975, 'dof')} OR t < {sql_t_quantile(0.525, 'dof')})::INT AS label FROM tv),
+ two AS (SELECT event_id, score, (score < threshold)::INT AS label FROM scores JOIN limits USING (event_type)),
+ line AS (SELECT event_id, ts, value, intercept + slope * (epoch_us(date_trunc('second', ts)) -
+  epoch_us(date_trunc('second', min(ts) OVER (PARTITION BY event_type)))) / 86400e6 AS yhat, {z_quantile(0.975)!r}::DOUBLE * sigma AS half
+  FROM filled JOIN m USING (event_type)),
+ three AS (SELECT event_id, (value > yhat + half OR value < yhat - half)::INT AS label FROM line WHERE ts >= {SQL_SPLIT})
+ SELECT event_id, {sr('predict')} AS predict, {sr('score')} AS anomaly_score_2, coalesce(one.label, 0) AS ad_label_1,
+  two.label AS ad_label_2, three.label AS ad_label_3, (coalesce(one.label, 0) + two.label + three.label >= 2)::INT AS predicted_label
+ FROM three JOIN two USING (event_id) LEFT JOIN one USING (event_id)"""
+
+
+def _labels(out):
+    return out.select("event_id", r("predict").alias("predict"), r("anomaly_score_2").alias("anomaly_score_2"), *LABELS)
+
+
+@query("x1_train_linear", _CUT + f""" SELECT event_type, 'lstm' AS model, 0.0::DOUBLE AS intercept, NULL::DOUBLE AS sigma, NULL::DOUBLE AS threshold FROM m
+ UNION ALL SELECT event_type, 'iso_f', NULL, NULL, {sr('threshold')} FROM limits
+ UNION ALL SELECT event_type, 'prophet', {sr('intercept')}, {sr('sigma')}, NULL FROM m""")
+def x1l(spark, sf):
+    path = scratch_path(spark, "run")
+    jobs.train(events_nulls(spark, sf), EVENTS, path, LINEAR)
+    models = store.load_models(spark, f"{path}/models")
+    return models.select("event_type", F.col("model").cast("string").alias("model"), r("intercept").alias("intercept"),
+                         r("sigma").alias("sigma"), r("threshold").alias("threshold"))
+
+
+@query("x2_predict_linear", _LABELLED)
+def x2l(spark, sf):
+    path, df = scratch_path(spark, "run"), events_nulls(spark, sf)
+    jobs.train(df, EVENTS, path, LINEAR)
+    return _labels(jobs.predict(df, EVENTS, path, LINEAR, run_date="2024-02-01"))
+
+
+@query("x4_detect_linear", _LABELLED)
+def x4l(spark, sf):
+    return _labels(jobs.detect(events_nulls(spark, sf), EVENTS, LINEAR))
+
+
 _PREDICTED = """(SELECT *, CASE WHEN row_number() OVER w >= 2 THEN avg(value) OVER
  (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) END AS predict
  FROM {rows} WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))"""

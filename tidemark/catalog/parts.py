@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import (
     EVENTS, SQL_EVENTS, events, lines, orders, query, r, sql_draw, sql_hash, sql_t_confidence,
-    sql_t_quantile, sr, st)
+    sql_t_quantile, sr)
 from tidemark.functions.dates import PARTS, date_part
 from tidemark.functions.sampling import cap_sample
 from tidemark.operators import timeparts as tp

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.native import with_window_hashes, words
+from tidemark.llm.native import word_runs, words
 
 WINDOW = 13
 #: A document is contaminated from this share of hit words on: one in so many.
@@ -18,11 +18,8 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
     """The windows of the test items: hash, length, gram, item_id. An item with fewer words is one window; one without words, none."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), words(F.col(text)).alias("_words"))
     items = items.filter(F.size("_words") > 0).withColumn("_length", F.least(F.size("_words"), F.lit(window)))
-    hashed = with_window_hashes(items, "_words", list(range(1, window + 1)), "_runs")
-    runs = hashed.select("item_id", "_words", "_length", F.explode("_runs").alias("r")).filter("r.length = _length")
-    return runs.select("item_id", "_words", "_length", F.posexplode("r.hashes").alias("_pos", "hash")).select(
-        "hash", F.col("_length").alias("length"),
-        F.expr("slice(_words, _pos + 1, _length)").alias("gram"), "item_id").distinct()
+    runs = word_runs(items, "_words", list(range(1, window + 1)), "item_id", "_length").filter("length = _length")
+    return runs.select("hash", "length", F.expr("slice(_words, pos + 1, length)").alias("gram"), "item_id").distinct()
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int) -> DataFrame:
@@ -33,8 +30,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id
     if sum(r["count"] for r in found) <= BROADCAST_WINDOWS:
         grams = F.broadcast(grams)
     base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_key"), words(F.col(text)).alias("_words"))
-    runs = with_window_hashes(base, "_words", lengths, "_runs").select("id", "text_key", "_words", F.explode("_runs").alias("r"))
-    places = runs.select("id", "text_key", "_words", F.col("r.length").alias("length"), F.posexplode("r.hashes").alias("pos", "hash"))
+    places = word_runs(base, "_words", lengths, "id", "text_key")
     same = (places.hash == grams.hash) & (places.length == grams.length)
     verified = F.slice(places["_words"], places.pos + F.lit(1), places.length) == grams.gram
     hit = places.join(grams, same & verified).select("id", "text_key", F.struct("pos", places.length).alias("span"), "item_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.native import with_window_hashes, words
+from tidemark.llm.native import word_runs, words
 
 # The phrases that must be found, with their labels.
 PHRASES = {
@@ -44,12 +44,10 @@ def templates(spark: SparkSession, phrases: dict[str, str] | None = None, notice
     df = spark.createDataFrame(rows, "label string, text string, base boolean")
     df = df.select("label", F.col("text").alias("template"), "base", words(F.col("text")).alias("_words"))
     df = df.withColumn("size", F.size("_words")).filter("size > 0")
-    hashed = with_window_hashes(df, "_words", list(range(1, gram + 1)), "_runs")
-    runs = hashed.select("label", "template", "base", "size", "_words", F.explode("_runs").alias("r")).filter(
-        F.col("r.length") == F.least("size", F.lit(gram)))
-    return runs.select("label", "template", "base", "size", "_words", F.col("r.length").alias("length"),
-                       F.posexplode("r.hashes").alias("at", "hash")).select(
-        "hash", "length", F.expr("slice(_words, at + 1, length)").alias("gram"), "template", "label", "base", "at", "size")
+    runs = word_runs(df, "_words", list(range(1, gram + 1)), "label", "template", "base", "size").filter(
+        F.col("length") == F.least("size", F.lit(gram)))
+    return runs.select("hash", "length", F.expr("slice(_words, pos + 1, length)").alias("gram"), "template", "label", "base",
+                       F.col("pos").alias("at"), "size")
 
 
 def license_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None,
@@ -65,26 +63,21 @@ def license_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lengths = sorted(r["length"] for r in grams.select("length").distinct().collect())  # at most `gram` rows
     grams = F.broadcast(grams)
     base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_key"), words(F.col(text)).alias("_words"))
-    runs = with_window_hashes(base, "_words", lengths, "_runs").select("id", "text_key", "_words", F.explode("_runs").alias("r"))
-    places = runs.select("id", "text_key", "_words", F.col("r.length").alias("length"), F.posexplode("r.hashes").alias("pos", "hash"))
+    places = word_runs(base, "_words", lengths, "id", "text_key")
     same = (places.hash == grams.hash) & (places.length == grams.length)
     verified = F.slice(places["_words"], places.pos + F.lit(1), places.length) == grams.gram
     votes = places.join(grams, same & verified).groupBy(
         "id", "text_key", "template", "label", "base", "size", grams.length, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    whole = F.col("base") & (F.size("ats") == F.col("size") - F.col("length") + 1)
-    phrase = votes.filter(whole).select(
-        "id", "text_key", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("size")).alias("end"),
-        F.lit(1.0).alias("score"))
     along = Window.partitionBy("id", "text_key", "template").orderBy("diagonal")
-    band = F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= slack, 0).otherwise(1)).over(along)
-    bands = votes.filter(~F.col("base")).withColumn("band", band).groupBy(
+    near = ~F.col("base") & (F.col("diagonal") - F.lag("diagonal").over(along) <= slack)
+    bands = votes.withColumn("band", F.sum(F.when(near, 0).otherwise(1)).over(along)).groupBy(
         "id", "text_key", "template", "label", "base", "size", "length", "band").agg(
         F.flatten(F.collect_list("ats")).alias("ats"), F.min("first").alias("start"), F.max(F.col("last") + F.col("length")).alias("end"))
     matched = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("length") - 1)))))
-    notice = bands.withColumn("score", matched / F.col("size")).filter(F.col("score") >= share).select(
+    enough = F.when(F.col("base"), F.col("score") == 1.0).otherwise(F.col("score") >= share)
+    return bands.withColumn("score", matched / F.col("size")).filter(enough).select(
         "id", "text_key", "label", "base", "start", "end", "score")
-    return phrase.unionByName(notice)
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -29,35 +29,15 @@ def without_blanks(text: Column) -> Column:
     return text
 
 
-def with_window_hashes(df: DataFrame, word_list: str, lengths: list[int], out: str) -> DataFrame:
-    """Adds ``out``: for each of ``lengths`` a struct (length, hashes) with one hash for
-    every run of that many consecutive words, made by doubling: the hash of a run comes
-    from the hashes of its parts, whose lengths are powers of two.
+def word_runs(df: DataFrame, word_list: str, lengths: list[int], *keep: str) -> DataFrame:
+    """One row for every run of ``lengths`` consecutive words: ``keep``, the word list, pos (from 0), length and hash.
+
+    ``posexplode_outer`` is used as Spark adds a filter on the array's size to the inner form, in which the splitting
+    into words is written out and run once more.
     """
-    step = f"{out}_1"
-    df = df.withColumn(step, F.transform(word_list, lambda w: F.xxhash64(w)))
-    power, made = 1, {1: step}
-    while 2 * power <= max(lengths, default=1):
-        df = df.withColumn(f"{out}_{2 * power}", _joined(made[power], made[power], power))
-        power *= 2
-        made[power] = f"{out}_{power}"
-    structs = []
-    for length in lengths:
-        column, covered = None, 0
-        for part in sorted(made, reverse=True):
-            if length & part:
-                if column is None:
-                    column = made[part]
-                else:
-                    name = f"{out}_{length}_{covered + part}"
-                    df = df.withColumn(name, _joined(column, made[part], covered))
-                    column = name
-                covered += part
-        count = F.greatest(F.size(word_list) - F.lit(length - 1), F.lit(0))
-        structs.append(F.struct(F.lit(length).alias("length"), F.slice(column, F.lit(1), count).alias("hashes")))
-    return df.withColumn(out, F.array(*structs))
-
-
-def _joined(left: str, right: str, shift: int) -> Column:
-    """Hash of the run at each place and the run ``shift`` words on; the places past the end are cut off later."""
-    return F.zip_with(F.col(left), F.slice(right, F.lit(shift + 1), F.size(right)), lambda a, b: F.xxhash64(a, b))
+    placed = df.select(*keep, word_list, F.posexplode_outer(word_list).alias("pos", "_word")).filter("_word IS NOT NULL")
+    run = [F.struct(F.lit(n).alias("length"), F.xxhash64(F.slice(word_list, F.col("pos") + 1, F.lit(n))).alias("hash"))
+           for n in lengths]
+    placed = placed.select(*keep, word_list, "pos", F.explode(F.array(*run)).alias("_run")) if len(run) > 1 else \
+        placed.withColumn("_run", run[0])
+    return placed.select(*keep, word_list, "pos", "_run.length", "_run.hash").filter(F.col("pos") + F.col("length") <= F.size(word_list))

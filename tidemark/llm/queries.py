@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, license_scan
+from tidemark.llm import decontaminate, exact_dedup, language_id, license_scan, pack, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,23 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)""")
 def op7_decontamination(spark, sf):
     return decontaminate.mark_contaminated(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+@query("op6_token_files")
+def op6_token_files(spark, sf):
+    return token_files.round_trip(documents(spark, sf))
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf):
+    return pack.pack_documents(documents(spark, sf))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf):
+    return toxicity.score_held_out(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf):
+    return language_id.identify_held_out(documents(spark, sf))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, language_id, license_scan, pack, token_files, toxicity
+from tidemark.llm import decontaminate, exact_dedup, language_id, license_scan, ngram_join, pack, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op9_toxicity(spark, sf):
 @query("op10_language_id")
 def op10_language_id(spark, sf):
     return language_id.identify_held_out(documents(spark, sf))
+
+
+@query("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark, sf):
+    return ngram_join.similar_documents(documents(spark, sf))

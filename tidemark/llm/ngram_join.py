@@ -19,7 +19,8 @@ SHINGLE = 4
 PERCENT = 85
 #: The so many longest inverted lists come last in the order of shingles. Any order gives the same links.
 LONG_LISTS = 1 << 16
-#: In a later round a list of so many documents is compared whole; in a longer one so many documents are compared with all.
+#: In the second round a list of so many documents is compared whole; in a longer one so many documents are
+#: compared with all, and eight times as many in each further round.
 SHORT_LIST, PIVOTS = 32, 8
 #: Documents that one search compares with its query.
 SEARCH = 256
@@ -202,28 +203,31 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     reps = every.join(classes, "signature").filter("id = rep").dropDuplicates(["signature"]).select("id", "n", "prefix")
     lists = reps.select("id", "n", F.posexplode("prefix").alias("at", "s"))
     lists = lists.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("size > 1")
-    lists, links, first = materialize(lists, "lists"), None, True
-    while True:
-        inside = Window.partitionBy("s").orderBy("id", "n")
-        pivots = F.lit(1) if first else F.when(F.col("size") <= SHORT_LIST, F.col("size")).otherwise(PIVOTS)
-        ranked = lists.withColumn("k", F.row_number().over(inside))
-        label = F.lit(None).cast("long") if first else F.col("label")
-        heads = ranked.filter(F.col("k") <= pivots).select("s", F.col("id").alias("q"), F.col("n").alias("qn"), F.col("at").alias("qat"),
-                                                         F.col("k").alias("qk"), label.alias("qlabel"))
-        met = ranked.join(heads, "s").filter("k > qk AND id <> q").filter(F.lit(first) | (label != F.col("qlabel")))
+    # Sizes in a ratio of at least percent / 100 are in the same band or in neighbouring ones.
+    band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) * (1 - 1e-9))
+    lists = materialize(lists.withColumn("band", band).withColumn("label", F.col("id")), "lists")
+    links = components = None
+    turn = 0
+    while components is None or not lists.isEmpty():
+        pivots = F.lit(1) if not turn else F.when(F.col("size") <= SHORT_LIST, F.col("size")).otherwise(PIVOTS * 8 ** (turn - 1))
+        ranked = lists.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("id", "n")))
+        heads = ranked.filter(F.col("k") <= pivots).select(
+            "s", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), F.col("id").alias("q"), F.col("n").alias("qn"),
+            F.col("at").alias("qat"), F.col("k").alias("qk"), F.col("label").alias("qlabel"))
+        met = ranked.join(heads, ["s", "band"]).filter("k > qk AND label <> qlabel")
         needed = F.ceil((F.col("n") + F.col("qn")) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
         most = F.lit(1) + F.least(F.col("n") - F.col("at") - 1, F.col("qn") - F.col("qat") - 1)
         pairs = materialize(met.filter((needed <= F.least("n", "qn")) & (most >= needed)).select(
             F.least("id", "q").alias("q"), F.greatest("id", "q").alias("x")).distinct(), "pairs")
         found = materialize(_verified(rows, pairs, shingle, percent), "found")
-        links = found if links is None else links.union(found)
-        components = materialize(connected_components(links), "components")
+        if components is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            components = materialize(connected_components(links), "components")
         rest = ranked.filter(F.col("k") > pivots).drop("k", "label", "size")
         rest = rest.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         several = rest.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        lists, first = materialize(rest.join(several.filter("lo <> hi").select("s", "size"), "s"), "lists"), False
-        if lists.isEmpty():
-            break
+        lists = materialize(rest.join(several.filter("lo <> hi").select("s", "size"), "s"), "lists")
+        turn += 1
     ids = every.select("id", "n", "signature").join(classes, "signature", "left").withColumn("node", F.coalesce("rep", "id"))
     joined = ids.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return joined.select(F.expr(f"nullif(id, {NO_ID})").alias("doc_id"), F.col("n").alias("n_shingles"),

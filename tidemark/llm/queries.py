@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, language_id, license_scan, ngram_join, pack, token_files, toxicity
+from tidemark.llm import decontaminate, exact_dedup, fm_index, language_id, license_scan, ngram_join, pack, sparse_suffix, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,22 @@ def op10_language_id(spark, sf):
 @query("op3_ngram_jaccard_join")
 def op3_ngram_jaccard_join(spark, sf):
     return ngram_join.similar_documents(documents(spark, sf))
+
+
+@query("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark, sf):
+    return sparse_suffix.repeated_passages(documents(spark, sf))
+
+
+@query("op5_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS gram
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d)),
+f AS (SELECT gram, min(doc_id) AS first_id FROM g GROUP BY gram HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM g JOIN f USING (gram) WHERE doc_id > first_id),
+k AS (SELECT d.doc_id, x.q, x.word FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d) x JOIN d USING (doc_id)),
+t AS (SELECT k.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY q) AS body FROM k ANTI JOIN r USING (doc_id, q) GROUP BY k.doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)""")
+def op5_substring_dedup(spark, sf):
+    return fm_index.remove_repeats(documents(spark, sf))

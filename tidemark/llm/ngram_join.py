@@ -232,3 +232,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     joined = ids.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return joined.select(F.expr(f"nullif(id, {NO_ID})").alias("doc_id"), F.col("n").alias("n_shingles"),
                          F.expr(f"nullif(component, {NO_ID})").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, that have the smallest doc_id of their component. Documents without a doc_id stay."""
+    gone = similar_documents(docs, doc_id, text, shingle, percent).filter("doc_id > component_id OR (doc_id IS NOT NULL AND component_id IS NULL)")
+    gone = gone.select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone_id"), "left_anti")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import islice
+from struct import pack
 
-#: Words kept with their ids in each Python worker; beyond that the store starts anew.
-KEPT_WORDS = 300_000
+#: Words kept with their ids in each Python worker (some 200 bytes each). A full store keeps the half that came first: common words come early.
+KEPT_WORDS = 1_000_000
 LONG_WORD = 64
 # A word of plain letters and the punctuation after it are always different pre-tokens, so each is looked up alone.
 SPLIT = re.compile("([a-zß-öø-ɏ]+)([.,;:!?]+)")
@@ -33,10 +35,7 @@ class WordEncoder:
         self.tokenizer, self.by_word, self.kept = Tokenizer.from_file(path), by_word, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+        return [pack(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[bytes]) -> None:
         parts = {}
@@ -55,7 +54,7 @@ class WordEncoder:
         out = []
         for start in range(0, len(texts), 200):
             if len(self.kept) > KEPT_WORDS:
-                self.kept = {}
+                self.kept = dict(islice(self.kept.items(), KEPT_WORDS // 2))
             split = [(x or "").encode().lower().split() for x in texts[start : start + 200]]
             missing = set().union(*split) - self.kept.keys()
             long = {w for w in missing if len(w) > LONG_WORD}

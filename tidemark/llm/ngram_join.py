@@ -24,6 +24,8 @@ LONG_LISTS = 1 << 16
 SHORT_LIST, PIVOTS = 32, 8
 #: Documents that one search compares with its query.
 SEARCH = 256
+#: So many rows of ids are broadcast to pick texts or prefixes by; more of them are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 NO_ID = -(1 << 63)
 
 
@@ -127,6 +129,25 @@ def _prefixes(docs: DataFrame, late: np.ndarray, shingle: int, percent: int) ->
     return docs.mapInArrow(run, "id long, n long, signature binary, prefix array<long>")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _likely(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose short lists meet often enough.
+
+    Of two linked sets, let q be the one whose prefix ends first. What they share is in both prefixes or among q's other T - 1
+    shingles, so the prefixes share at least the overlap needed less the larger T, plus one.
+    """
+    known = _small(pairs, pairs.count())
+    sets = prefixes.filter("n > 0").select("id", "n", "prefix")
+    of_q = sets.join(known, F.col("id") == F.col("q")).select("q", "x", F.col("n").alias("qn"), F.col("prefix").alias("q_prefix"))
+    of_x = sets.join(known, F.col("id") == F.col("x")).select("q", "x", "n", "prefix")
+    needed = F.ceil((F.col("n") + F.col("qn")) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
+    rest = F.ceil(F.greatest("n", "qn") * F.lit(percent) / F.lit(100) + 1e-9)
+    return of_q.join(of_x, ["q", "x"]).filter(F.size(F.array_intersect("q_prefix", "prefix")) >= needed - rest + 1).select("q", "x").distinct()
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (q, x) that link, as (a, b). A query's candidates are searched in blocks of bounded size."""
     degree = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / SEARCH).cast("int").alias("blocks"))
@@ -177,7 +198,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
         if held:
             yield flush()
 
-    text = docs.join(wanted, "id").select("id", "text", "roles")
+    wanted = materialize(wanted, "wanted")
+    text = docs.join(_small(wanted, wanted.count()), "id").select("id", "text", "roles")
     rows = text.mapInArrow(sets, "q long, block int, is_query boolean, x long, set binary")
     return rows.repartition("q", "block").sortWithinPartitions("q", "block", F.desc("is_query")).mapInArrow(probe, "a long, b long").distinct()
 
@@ -219,6 +241,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         most = F.lit(1) + F.least(F.col("n") - F.col("at") - 1, F.col("qn") - F.col("qat") - 1)
         pairs = materialize(met.filter((needed <= F.least("n", "qn")) & (most >= needed)).select(
             F.least("id", "q").alias("q"), F.greatest("id", "q").alias("x")).distinct(), "pairs")
+        pairs = materialize(_likely(pairs, every, percent), "likely")
         found = materialize(_verified(rows, pairs, shingle, percent), "found")
         if components is None or not found.isEmpty():
             links = found if links is None else links.union(found)

@@ -27,13 +27,18 @@ def _hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id
     grams = item_windows(benchmark, item_id, item_text, window)
     found = grams.groupBy("length").count().collect()  # at most `window` rows
     lengths = sorted(r["length"] for r in found) or [window]
-    if sum(r["count"] for r in found) <= BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
     base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_key"), words(F.col(text)).alias("_words"))
     places = word_runs(base, "_words", lengths, "id", "text_key")
     same = (places.hash == grams.hash) & (places.length == grams.length)
-    verified = F.slice(places["_words"], places.pos + F.lit(1), places.length) == grams.gram
-    hit = places.join(grams, same & verified).select("id", "text_key", F.struct("pos", places.length).alias("span"), "item_id")
+    verified = F.slice("_words", F.col("pos") + F.lit(1), F.col("span_length")) == F.col("gram")
+    places = places.withColumn("span_length", F.col("length"))
+    if sum(r["count"] for r in found) <= BROADCAST_WINDOWS:
+        hit = places.join(F.broadcast(grams), same & verified)
+    else:  # only ids and hashes are shuffled; the few that meet are verified in their documents
+        met = places.drop("_words").join(grams.hint("merge"), same).select("id", "text_key", "pos", "span_length", "gram", "item_id")
+        texts = base.select(F.col("id").alias("own_id"), F.col("text_key").alias("own_key"), "_words")
+        hit = met.join(texts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))).filter(verified)
+    hit = hit.select("id", "text_key", F.struct("pos", F.col("span_length").alias("length")).alias("span"), "item_id")
     return hit.groupBy("id", "text_key").agg(
         F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
 

@@ -38,3 +38,10 @@ def test_columns(spark):
     t = one.select(kernels.t_critical(0.975, one.id))
     assert t.first()[0] == pytest.approx(2.228138851986303)
     assert kernels.z_quantile(0.975) == pytest.approx(1.959963984540054)
+
+
+def test_student_t_quantile_of_many_degrees():
+    for df in (1e6, 2e7, 1e8, 3e8, 1e12):
+        assert np.allclose(kernels.t_ppf(np.array([0.975, 0.025]), df), [1.959963985, -1.959963985], rtol=3e-6)
+    edge = kernels.t_ppf(np.array([0.975]), 1e5), kernels.t_ppf(np.array([0.975]), 1.0001e5)
+    assert abs(edge[0] - edge[1])[0] < 1e-8

@@ -160,6 +160,10 @@ def t_ppf(q, df):
     x = beta_ppf(2 * tail, df / 2, np.full_like(df, 0.5))
     with np.errstate(divide="ignore", invalid="ignore"):
         size = np.sqrt(df * (1 - x) / x)
+        # For many degrees of freedom x is next to 1 and its digits are lost; the expansion in 1 / df is exact to 1e-15 there.
+        z = np.abs(np.array([NormalDist().inv_cdf(v) if 0 < v < 1 else np.nan for v in tail]))
+        near = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df * df)
+    size = np.where((df > 1e5) & np.isfinite(near), near, size)
     return np.where(q > 0.5, size, -size)
 
 

@@ -234,6 +234,21 @@ def test_piecewise_follows_a_break(spark):
     assert len(row.knot_days) == 39 and row.sigma < 0.25 * line.sigma
 
 
+@pytest.mark.parametrize("offset", [1e3, 1e6, 1e9])
+def test_piecewise_on_large_values(spark, offset):
+    """Noise of size 1 is seen around any level; labels leave out what is within 1e-9 of the level."""
+    n = 1000
+    noise = np.random.default_rng(2).normal(0, 1, n)
+    df = from_arrays(spark, "a", np.arange(n) * 3600, offset + noise)
+    p = trend.TrendParams(kind="piecewise")
+    models = trend.fit_trend(df, SPEC, p)
+    assert 0.9 < models.first().sigma < 1.1
+    out = trend.label_band(trend.trend_band(df, models, SPEC), SPEC).toPandas()
+    assert 0.02 < out.ad_label_3.mean() < 0.09 or offset > 1e8
+    lines, knots = trend.fit_trend_grid(df, SPEC, [p])
+    assert abs(lines.first().offsets[0] - offset) < 10
+
+
 def test_piecewise_against_direct_ridge(spark):
     """The fit from segment sums equals the ridge fit on the rows themselves."""
     rng = np.random.default_rng(5)

@@ -1,13 +1,14 @@
 """The whole jobs on series with planted anomalies."""
 
 from dataclasses import replace
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tests.data import ALONE, SPEC, by_id, frame, noisy
+from tests.data import ALONE, SPEC, START, by_id, frame, noisy
 from tidemark.operators import series
 from tidemark.operators.forecast import ForecastParams
 from tidemark.operators.trend import TrendParams
@@ -16,6 +17,7 @@ from tidemark.sources import store
 
 COLUMNS = ["predict", "anomaly_score_1", "ad_label_1", "anomaly_score_2", "ad_label_2", "anomaly_score_3",
            "ad_label_3", "predicted_label"]
+LABELS = [c for c in COLUMNS if "label" in c]
 SETTINGS = jobs.JobSettings(time_parts=False)
 
 
@@ -56,9 +58,51 @@ def test_train_and_predict_equal_detect(spark, detected, tmp_path):
     assert {r.model: r["count"] for r in models} == {"lstm": 2, "iso_f": 2, "prophet": 2}
     out = by_id(jobs.predict(df, SPEC, path, SETTINGS, run_date="2024-01-01"), *COLUMNS)
     pd.testing.assert_frame_equal(out, detected[0], check_exact=False, rtol=1e-9)
-    # A series without models is left out.
+    # A series without models comes back unlabelled.
     more = df.union(df.where("g = 'a'").withColumn("g", F.lit("new")).withColumn("id", F.col("id") + 5000))
-    assert by_id(jobs.predict(more, SPEC, path, SETTINGS)).id.max() < 5000
+    out = by_id(jobs.predict(more, SPEC, path, SETTINGS), "g", *COLUMNS)
+    new = out[out.g == "new"]
+    assert len(out) == 360 and len(new) == 120 and new.predicted_label.eq(0).all() and new.anomaly_score_2.isna().all()
+    # New rows only: all of them come back.
+    late = df.withColumns({"t": F.col("t") + F.expr("interval 30 days"), "id": F.col("id") + 9000})
+    out = by_id(jobs.predict(late, SPEC, path, SETTINGS), *COLUMNS)
+    assert len(out) == 1200 and out.anomaly_score_2.notna().all()
+
+
+def test_all_raw_rows_and_columns_come_back(spark):
+    """Sparse series, null groups, null features, a series after the split, another column."""
+    df, _ = spiked(spark)
+    late = F.col("t") >= F.lit(START + timedelta(seconds=30000))
+    odd = [df.where("g = 'a'").withColumns({"g": F.lit("sparse"), "y": F.lit(None).cast("double"), "id": F.col("id") + 2000}),
+           df.where("g = 'a'").withColumns({"g": F.lit(None).cast("string"), "id": F.col("id") + 4000}),
+           df.where("g = 'a'").where(late).withColumns({"g": F.lit("late"), "id": F.col("id") + 6000})]
+    for part in odd:
+        df = df.unionByName(part)
+    df = df.withColumns({"y": F.when(F.col("id") % 50 != 0, F.col("y")), "city": F.concat(F.lit("c"), "id"), "predict": F.lit("x")})
+    out = by_id(jobs.detect(df, SPEC, SETTINGS), "g", "y", "city", *COLUMNS)
+    raw = by_id(df.where(F.col("t") >= F.lit(START + timedelta(seconds=int(599 * 60 * 0.8)))), "g", "y", "city")
+    pd.testing.assert_frame_equal(out[raw.columns], raw)
+    assert out.y.isna().sum() > 120 and out[LABELS].notna().all().all()
+    bare = out[(out.g == "sparse") | out.g.isna()]
+    assert len(bare) == 240 and bare.predicted_label.eq(0).all() and bare.anomaly_score_2.isna().all()
+    last = out[out.g == "late"]
+    assert len(last) == 100 and last.anomaly_score_2.isna().all() and last.anomaly_score_3.notna().all()
+
+
+def test_prediction_reads_from_the_saved_date(spark, tmp_path):
+    """The bound reaches the files' scan, and unreadable or repeated rows do no harm."""
+    df, _ = spiked(spark)
+    path = str(tmp_path)
+    jobs.train(df, SPEC, path, SETTINGS)
+    meta = store.load_metadata(spark, f"{path}/metadata")
+    assert START < meta["read_from"] < meta["split_date"] < START + timedelta(seconds=36000)
+    assert meta["split_date"] - meta["read_from"] < timedelta(seconds=60 * 30)
+    df.write.parquet(f"{path}/rows")
+    out = jobs.predict(spark.read.parquet(f"{path}/rows"), SPEC, path, SETTINGS)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(t), GreaterThanOrEqual(t," in plan
+    plain = SPEC.__class__("t", "y", "g")
+    assert jobs.detect(df.union(df), plain, SETTINGS).count() == 480
 
 
 def test_hot_series_change_nothing(spark, detected, monkeypatch):
@@ -112,5 +156,11 @@ def test_tune(spark, tmp_path):
     best = jobs.tune(df, SPEC, "iso_f", str(tmp_path), ranges).toPandas()
     assert set(best.g) == {"a", "b"} and best.contamination.isin([0.1, 0.2]).all()
     assert spark.read.parquet(f"{tmp_path}/params/model=iso_f").count() == 2
+    # Series tuned before keep their parameters; a new one is added.
+    more = df.where("g = 'a'").withColumns({"g": F.lit("c"), "id": F.col("id") + 5000})
+    again = jobs.tune(more, SPEC, "iso_f", str(tmp_path), ranges).toPandas()
+    assert sorted(again.g) == ["a", "b", "c"]
+    kept = again.merge(best, on="g")
+    assert len(kept) == 2 and (kept.combo_id_x == kept.combo_id_y).all()
     half = jobs.tune(df, SPEC, "lstm", implicit=True).toPandas()
     assert set(half.g) == {"a", "b"} and (half.error < 1e-9).all()

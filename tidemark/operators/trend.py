@@ -99,17 +99,20 @@ def segment_of(t: Column, knots: str = "knot_days", most: int = 1 << 14) -> Colu
 def segment_sums(df: DataFrame, knots: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Per (series, segment): row count and sums of t, t*t, y, t*y, y*y.
 
-    ``knots`` has per series ``start`` and the sorted array ``knot_days``.
+    ``knots`` has per series ``start`` and the sorted array ``knot_days``, and may have ``center``,
+    a number taken off each y: sums around the mean keep their digits where values are large.
     """
     y = F.col(spec.feature)
-    rows = join_on(df.where(y.isNotNull()).select(*spec.groups, spec.time, spec.feature),
-                   knots, spec.groups)
+    if "center" in knots.columns:
+        y = y - F.col("center")
+    known = df.where(F.col(spec.feature).isNotNull()).select(*spec.groups, spec.time, spec.feature)
+    rows = join_on(known, knots, spec.groups)
     rows = rows.withColumn("_t", days_since(spec.time, F.col("start")))
     t = F.col("_t")
     return rows.groupBy(*spec.groups, segment_of(t).alias("segment")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(t).alias("sum_t"), F.sum(t * t).alias("sum_tt"),
         F.sum(y).alias("sum_y"), F.sum(t * y).alias("sum_ty"), F.sum(y * y).alias("sum_yy"),
-        F.max(t).alias("max_t"), F.max(F.abs(y)).alias("max_y"))
+        F.max(t).alias("max_t"), F.max(F.abs(F.col(spec.feature))).alias("max_y"))
 
 
 def _solve(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -123,8 +126,11 @@ def _solve(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(matrix, rcond=1e-13, hermitian=True) @ right
 
 
-def hinge_fit(part: pd.DataFrame, knots: np.ndarray, p: TrendParams):
-    """Offset, slope, slope changes and residual deviation from segment sums."""
+def hinge_fit(part: pd.DataFrame, knots: np.ndarray, p: TrendParams, center: float):
+    """Offset, slope, slope changes and residual deviation from segment sums around ``center``.
+
+    The prior is on the offset from 0, so it pulls the centred one towards ``-center``.
+    """
     part = part.sort_values("segment")
     m = knots.size
     width = max(float(part["max_t"].max()), 1e-12)
@@ -151,7 +157,7 @@ def hinge_fit(part: pd.DataFrame, knots: np.ndarray, p: TrendParams):
     def solve(noise, changes):
         prior = np.full(m + 2, noise / p.slope_scale ** 2)
         prior[2:] = noise / (p.change_scale * np.maximum(np.abs(changes), 1e-9))
-        beta = _solve(gram + np.diag(prior), right)
+        beta = _solve(gram + np.diag(prior), right - np.eye(m + 2)[0] * prior[0] * center / size)
         left = total[5] - 2 * beta @ right + beta @ gram @ beta
         return beta, max(left, 0.0) / max(total[0], 1.0)
 
@@ -167,7 +173,7 @@ def hinge_fit(part: pd.DataFrame, knots: np.ndarray, p: TrendParams):
         changes = beta[2:]
         if abs(noise - before) <= 1e-9 * before:
             break
-    return beta[0] * size, beta[1:] * size / width, float(np.sqrt(noise) * size)
+    return center + beta[0] * size, beta[1:] * size / width, float(np.sqrt(noise) * size)
 
 
 def fit_piecewise(df: DataFrame, spec: SeriesSpec, p: TrendParams = TrendParams(),
@@ -175,7 +181,7 @@ def fit_piecewise(df: DataFrame, spec: SeriesSpec, p: TrendParams = TrendParams(
     """Model rows: groups, ``start``, ``knot_days``, ``slopes`` (base slope, then the
     change at each knot), ``intercept``, ``sigma``."""
     known = df.where(F.col(spec.feature).isNotNull())
-    starts = known.groupBy(*spec.groups).agg(F.min(spec.time).alias("start"))
+    starts = known.groupBy(*spec.groups).agg(F.min(spec.time).alias("start"), F.avg(spec.feature).alias("center"))
     grid = changepoint_grid(known, spec, p, hot)
     grid = join_on(grid, starts, spec.groups)
     days = F.sort_array(F.collect_set(days_since("ds", F.col("start"))))
@@ -194,7 +200,7 @@ def fit_piecewise(df: DataFrame, spec: SeriesSpec, p: TrendParams = TrendParams(
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         at = np.asarray(part["knot_days"].iloc[0], dtype=float)
-        intercept, slopes, sigma = hinge_fit(part, at, p)
+        intercept, slopes, sigma = hinge_fit(part, at, p, part["center"].iloc[0])
         row = {g: [part[g].iloc[0]] for g in keys}
         row |= {"start": [part["start"].iloc[0]], "knot_days": [at], "slopes": [slopes],
                 "intercept": [intercept], "sigma": [sigma]}
@@ -225,7 +231,7 @@ def fit_trend_grid(df: DataFrame, spec: SeriesSpec, params: list[TrendParams],
     """
     keys = list(spec.groups)
     known = df.where(F.col(spec.feature).isNotNull())
-    starts = known.groupBy(*keys).agg(F.min(spec.time).alias("start"))
+    starts = known.groupBy(*keys).agg(F.min(spec.time).alias("start"), F.avg(spec.feature).alias("center"))
     placed = with_position(to_ds_y(known.select(*keys, *spec.order, spec.feature), spec), spec, hot)
     share = max(p.changepoint_range for p in params)
     placed = placed.where(F.col("pos") <= F.floor(F.col("n") * share)).select(*keys, "ds", "pos", "n")
@@ -241,7 +247,7 @@ def fit_trend_grid(df: DataFrame, spec: SeriesSpec, params: list[TrendParams],
     empty = F.array().cast("array<double>")
     knots = join_on(starts, found, keys, "left").withColumn("knot_days", F.coalesce("knot_days", empty))
     plain = knots.select(*keys, "start", "knot_days")
-    sums = segment_sums(known, plain, spec)
+    sums = segment_sums(known, knots.select(*keys, "start", "knot_days", "center"), spec)
     schema = T.StructType([df.schema[g] for g in keys] + [
         T.StructField("segment", T.IntegerType()), T.StructField("offsets", T.ArrayType(T.DoubleType())),
         T.StructField("slopes", T.ArrayType(T.DoubleType()))])
@@ -261,7 +267,7 @@ def fit_trend_grid(df: DataFrame, spec: SeriesSpec, params: list[TrendParams],
             merged = part.assign(segment=wide[fine]).groupby("segment", as_index=False).agg(
                 {**{c: "sum" for c in ("rows", "sum_t", "sum_tt", "sum_y", "sum_ty", "sum_yy")},
                  "max_t": "max", "max_y": "max"})
-            intercept, change, _ = hinge_fit(merged, own, p)
+            intercept, change, _ = hinge_fit(merged, own, p, found["center"].iloc[0])
             slope = np.cumsum(change)
             offset = intercept - np.concatenate([[0.0], np.cumsum(change[1:] * own)])
             offsets[:, i], slopes[:, i] = offset[wide], slope[wide]

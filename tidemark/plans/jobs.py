@@ -19,11 +19,18 @@ from tidemark.operators.splits import split, split_date, with_lookback
 from tidemark.operators.timeparts import accepted_parts, apply_time_parts, select_time_parts
 from tidemark.operators.trend import TrendParams, fit_trend, label_band, trend_band
 from tidemark.session import materialize
-from tidemark.sources.readers import coerce_feature, coerce_time
+from tidemark.sources.readers import coerce_feature, coerce_time, since
 from tidemark.sources.store import (
-    has_model, load_metadata, load_models, run_metadata, save_metadata, save_models, write_results)
+    load_metadata, load_models, run_metadata, save_metadata, save_models, table_exists, write_results)
 from tidemark.spec import SeriesSpec
 
+ROW = "_row"
+LABELS = [*[f"ad_label_{i}" for i in (1, 2, 3)], "predicted_label"]
+# Columns that the jobs add to the raw rows; raw columns of these names are replaced.
+ADDED = ["predict", "residuals", *[f"anomaly_score_{i}" for i in (1, 2, 3)], *LABELS]
+# Null features are filled from so many earlier rows.
+FILL_ROWS = 3
+
 
 @dataclass(frozen=True)
 class JobSettings:
@@ -44,24 +51,49 @@ class JobSettings:
     seed: int = 42
 
 
-def ingest(df: DataFrame, spec: SeriesSpec, settings: JobSettings) -> DataFrame:
-    """Typed time and feature; the mean per time where times repeat and that is wanted."""
-    out = coerce_feature(coerce_time(df, spec.time), spec.feature)
+def ingest(df: DataFrame, spec: SeriesSpec, settings: JobSettings) -> tuple[DataFrame, SeriesSpec]:
+    """Raw rows with typed time and feature; the mean per time where times repeat and that is wanted.
+
+    Groups, time and ``tie`` must identify a row, as results are joined back on them. Where the
+    columns of ``tie`` are not all there and rows are not collapsed, the rows are written
+    once with a number.
+    """
+    out = coerce_feature(coerce_time(df, spec.time), spec.feature).drop(*ADDED, ROW)
     if settings.collapse and not times_are_unique(out, spec):
         out = collapse_duplicates(out, spec)
-    return out
+    if not spec.tie or not set(spec.tie) <= set(out.columns):
+        spec = replace(spec, tie=())
+        if not settings.collapse:
+            out = materialize(out.withColumn(ROW, F.monotonically_increasing_id()), "raw")
+    return out, spec
+
+
+def _keys(raw: DataFrame, spec: SeriesSpec) -> list[str]:
+    return [ROW] if ROW in raw.columns else list(dict.fromkeys([*spec.groups, *spec.order]))
+
+
+def with_results(raw: DataFrame, scored: DataFrame, spec: SeriesSpec, date: datetime) -> DataFrame:
+    """All raw rows from ``date`` on with all their columns, and what was found for them.
+
+    Rows that no detector scored (sparse series, null groups, series without a model) get
+    labels 0 and NULL scores. Raw values stay as they were, nulls included.
+    """
+    keys = _keys(raw, spec)
+    added = [c for c in scored.columns if c not in raw.columns]
+    out = since(raw, spec.time, date).join(scored.select(*keys, *added), keys, "left")
+    return out.fillna(0, subset=LABELS).drop(ROW)
 
 
-def prepare(df: DataFrame, spec: SeriesSpec, settings: JobSettings,
-            parts: list[str] | None = None) -> tuple[DataFrame, SeriesSpec, list[str]]:
+def prepare(raw: DataFrame, spec: SeriesSpec, settings: JobSettings, parts: list[str] | None = None,
+            sparse: float = 0.5) -> tuple[DataFrame, SeriesSpec, list[str]]:
     """Cleaned rows with the time parts as further groups, written once.
 
-    ``parts`` are those of an earlier run; None decides them from the data.
+    ``parts`` are those of an earlier run; None decides them from the data. Series with a share of
+    ``sparse`` null features or more are left out, and so are rows without a time.
     """
-    frame = ingest(df, spec, settings)
-    spec = spec if spec.tie and spec.tie[0] in frame.columns else replace(spec, tie=())
-    columns = [*spec.groups, *spec.order, spec.feature]
-    frame = materialize(clean_series(frame.select(*columns), spec), "prepared")
+    columns = list(dict.fromkeys([*spec.groups, *spec.order, spec.feature, *_keys(raw, spec)]))
+    rows = raw.select(*columns).where(F.col(spec.time).isNotNull())
+    frame = materialize(clean_series(rows, spec, sparse, FILL_ROWS), "prepared")
     if parts is None:
         parts = []
         if settings.time_parts:
@@ -143,8 +175,7 @@ def score(frame: DataFrame, spec: SeriesSpec, models: dict[str, DataFrame], date
     out = predict_iforest(out, forest, spec, facts.hot)
     out = trend_band(out, models["prophet"], spec, settings.trend.interval_width)
     out = label_band(out, spec).drop("yhat", "yhat_lower", "yhat_upper")
-    names = [f"{kind}_{i}" for i in (1, 2, 3) for kind in ("ad_label", "anomaly_score")]
-    return vote_present(out.fillna(0, subset=names))
+    return vote_present(out.fillna(0, subset=LABELS[:3]))
 
 
 def _split_date(facts: Facts, spark, settings: JobSettings) -> datetime:
@@ -153,37 +184,67 @@ def _split_date(facts: Facts, spark, settings: JobSettings) -> datetime:
 
 
 def detect(df: DataFrame, spec: SeriesSpec, settings: JobSettings = JobSettings()) -> DataFrame:
-    """Train and predict in memory: the scored rows after the split date."""
-    frame, spec, _ = prepare(df, spec, settings)
+    """Train and predict in memory: all raw rows after the split date with labels and scores."""
+    raw, user = ingest(df, spec, settings)
+    frame, spec, _ = prepare(raw, user, settings)
     facts = look(frame, spec)
+    if facts.first is None:
+        raise ValueError("no series has enough known values to train on")
     date = _split_date(facts, df.sparkSession, settings)
     models = fit_models(frame, spec, date, settings, facts)
-    return score(frame, spec, models, date, settings, facts)
+    return with_results(raw, score(frame, spec, models, date, settings, facts), user, date)
+
+
+def _first_needed(frame: DataFrame, spec: SeriesSpec, date: datetime, settings: JobSettings) -> datetime:
+    """First time that predictions from ``date`` on look back to, over the series that go on after it."""
+    reach = settings.forecast.reach + settings.forecast.warmup + FILL_ROWS
+    rows = with_lookback(frame.select(*spec.groups, *spec.order), spec, date, reach)
+    if spec.groups:
+        rows = rows.join(rows.where("warmup = 0").select(*spec.groups).distinct(), list(spec.groups), "left_semi")
+    return rows.agg(F.min(spec.time)).first()[0] or date
 
 
 def train(df: DataFrame, spec: SeriesSpec, path: str, settings: JobSettings = JobSettings()) -> list[str]:
     """Fit the detectors and save models and run metadata under ``path``."""
-    frame, spec, parts = prepare(df, spec, settings)
+    raw, spec = ingest(df, spec, settings)
+    frame, spec, parts = prepare(raw, spec, settings)
     facts = look(frame, spec)
+    if facts.first is None:
+        raise ValueError("no series has enough known values to train on")
     date = _split_date(facts, df.sparkSession, settings)
     for name, rows in fit_models(frame, spec, date, settings, facts).items():
         save_models(rows, f"{path}/models", name)
-    save_metadata(run_metadata(frame, spec.time, parts), f"{path}/metadata")
+    dates = {"split_date": date, "read_from": _first_needed(frame, spec, date, settings)}
+    meta = run_metadata(frame, spec.time, parts).withColumns({
+        k: F.date_format(F.lit(v), "yyyy-MM-dd HH:mm:ss.SSSSSS") for k, v in dates.items()})
+    save_metadata(meta, f"{path}/metadata")
     return parts
 
 
 def predict(df: DataFrame, spec: SeriesSpec, path: str, settings: JobSettings = JobSettings(),
             run_date: str | None = None) -> DataFrame:
-    """Score the rows after the split date with saved models; with ``run_date``
-    also write them as that day's results."""
+    """All rows from the training's split date on, scored with the saved models; with ``run_date``
+    also written as that day's results.
+
+    Only rows from the saved ``read_from`` on are read: those, and what they look back to. A
+    null that has no known value shortly before it is filled with the mean of the rows read. Each detector
+    labels the series it has a model of.
+    """
     spark = df.sparkSession
     meta = load_metadata(spark, f"{path}/metadata")
     saved = [p for p in meta["time_groups"].split("*") if p]
-    frame, spec, _ = prepare(df, spec, settings, parts=saved)
+    date, first = meta["split_date"], meta["read_from"]
+    recent = df
+    if df.schema[spec.time].dataType.typeName() in ("timestamp", "timestamp_ntz"):
+        # On the column as it is, so that the source can skip what is older.
+        recent = since(df, spec.time, first)
+    raw, user = ingest(recent, spec, settings)
+    raw = since(raw, spec.time, first)
+    # Series too sparse to be trained on have no model; here no series is left out.
+    frame, spec, _ = prepare(raw, user, settings, saved, sparse=2.0)
     models = {m: load_models(spark, f"{path}/models", m) for m in ("lstm", "iso_f", "prophet")}
-    frame = has_model(frame, models["iso_f"], spec.groups)
     facts = look(frame, spec)
-    out = score(frame, spec, models, _split_date(facts, spark, settings), settings, facts)
+    out = with_results(raw, score(frame, spec, models, date, settings, facts), user, date)
     if run_date:
         write_results(out, f"{path}/results", run_date)
         out = spark.read.parquet(f"{path}/results").where(F.col("run_date") == run_date)
@@ -192,14 +253,26 @@ def predict(df: DataFrame, spec: SeriesSpec, path: str, settings: JobSettings =
 
 def tune(df: DataFrame, spec: SeriesSpec, detector: str, path: str | None = None,
          ranges: dict | None = None, implicit: bool = False,
-         settings: JobSettings = JobSettings()) -> DataFrame:
+         settings: JobSettings = JobSettings(), parts: list[str] | None = None) -> DataFrame:
     """Best parameters per series of one detector (``lstm``, ``iso_f``, ``prophet``).
 
     ``implicit`` tries a random half of the grid, as the first training does.
-    Series that already have parameters under ``path`` are left as they are.
+    Series that already have parameters under ``path`` are left as they are, and all are returned.
+    The series are those of the training saved under ``path``, else of ``parts``.
     """
     spark = df.sparkSession
-    frame, spec, _ = prepare(df, spec, settings, parts=[])
+    params = f"{path}/params"
+    raw, spec = ingest(df, spec, settings)
+    if parts is None:
+        parts = []
+        if path and table_exists(spark, f"{path}/metadata"):
+            parts = [p for p in load_metadata(spark, f"{path}/metadata")["time_groups"].split("*") if p]
+    frame, spec, _ = prepare(raw, spec, settings, parts)
+    old = None
+    if path and table_exists(spark, f"{params}/model={detector}"):
+        old = load_models(spark, params, detector)
+        frame = tuning.tune_if_needed(frame, old.select(*spec.groups), spec.groups)
+        frame = materialize(frame, "untuned")
     grid = tuning.param_grid(spark, tuning.DEFAULTS[detector], ranges or tuning.RANGES[detector])
     grid = materialize(tuning.half_grid(grid, settings.seed) if implicit else grid, "grid")
     tail = frame
@@ -209,7 +282,10 @@ def tune(df: DataFrame, spec: SeriesSpec, detector: str, path: str | None = None
                  "prophet": tuning.objective_trend}[detector]
     errors = materialize(objective(tail, spec, grid), "errors")
     best = tuning.best_params(errors, grid, spec.groups)
-    if path:
-        save_models(best, f"{path}/params", detector)
-        best = load_models(spark, f"{path}/params", detector)
-    return best
+    if not path:
+        return best
+    if old is not None:
+        # Written elsewhere first: the table that is replaced is read here.
+        best = materialize(old.unionByName(best.select(*old.columns)), "params")
+    save_models(best, params, detector)
+    return load_models(spark, params, detector)

@@ -31,12 +31,17 @@ def save_models(models: DataFrame, path: str, model: str) -> None:
 
 def load_models(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
     """Models of all detectors, or the columns and rows of one."""
-    rows = spark.read.option("mergeSchema", "true").parquet(path)
     if model is None:
-        return rows
+        return spark.read.option("mergeSchema", "true").parquet(path)
     return spark.read.parquet(f"{path}/model={model}")
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything under ``path``, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def has_model(df: DataFrame, models: DataFrame, groups) -> DataFrame:
     """Rows of the series that have a model."""
     groups = list(groups)
@@ -59,4 +64,7 @@ def save_metadata(meta: DataFrame, path: str) -> None:
 
 
 def load_metadata(spark: SparkSession, path: str) -> dict:
-    return spark.read.schema("min_date string, max_date string, time_groups string").json(path).first().asDict()
+    """The saved row as a dict; ``split_date`` and ``read_from`` as times."""
+    schema = "min_date string, max_date string, time_groups string, split_date string, read_from string"
+    rows = spark.read.schema(schema).json(path)
+    return rows.withColumns({c: F.to_timestamp(c) for c in ("split_date", "read_from")}).first().asDict()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import EVENTS, events_nulls, query, r, sql_t_quantile, sr
+from tidemark.catalog.base import EVENTS, SQL_NULLS, events_nulls, query, r, sql_t_quantile, sr
 from tidemark.catalog.detectors import sql_scores
 from tidemark.catalog.tables import SQL_FILLED, SQL_LINE, SQL_SPLIT
 from tidemark.functions.kernels import z_quantile
@@ -110,6 +110,35 @@ def x4l(spark, sf):
     return _labels(jobs.detect(events_nulls(spark, sf), EVENTS, LINEAR))
 
 
+_SOME_WITHOUT_TYPE = "(SELECT * REPLACE (CASE WHEN event_id % 13 <> 0 THEN event_type END AS event_type) FROM " + SQL_NULLS + ")"
+
+
+def _rows(out):
+    """The raw columns of every row, and whether the forest scored it."""
+    return out.select("event_id", "user_id", "event_type", r("value").alias("value"),
+                      F.col("anomaly_score_2").isNotNull().cast("int").alias("scored"),
+                      F.col("predicted_label").isNotNull().cast("int").alias("predicted_label"))
+
+
+@query("x4_detect_all_rows", f"""WITH e AS (SELECT * FROM {_SOME_WITHOUT_TYPE})
+ SELECT event_id, user_id, event_type, {sr('value')} AS value, (event_type IS NOT NULL)::INT AS scored, 1 AS predicted_label
+ FROM e WHERE ts >= {SQL_SPLIT.replace('FROM events', 'FROM e WHERE event_type IS NOT NULL')}""")
+def x4a(spark, sf):
+    """Null features, null groups and further columns: every row from the split date on comes back as it was."""
+    some = F.when(F.col("event_id") % 13 != 0, F.col("event_type"))
+    return _rows(jobs.detect(events_nulls(spark, sf).withColumn("event_type", some), EVENTS, LINEAR))
+
+
+@query("x2_predict_new_rows", f"""SELECT event_id, user_id, event_type, {sr('value')} AS value, 1 AS scored, 1 AS predicted_label
+ FROM {SQL_NULLS}""")
+def x2n(spark, sf):
+    """Rows that all come after the training's: each of them comes back scored."""
+    path, df = scratch_path(spark, "run"), events_nulls(spark, sf)
+    jobs.train(df, EVENTS, path, LINEAR)
+    later = df.withColumn("ts", F.col("ts") + F.expr("interval 1000 days"))
+    return _rows(jobs.predict(later, EVENTS, path, LINEAR))
+
+
 _PREDICTED = """(SELECT *, CASE WHEN row_number() OVER w >= 2 THEN avg(value) OVER
  (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) END AS predict
  FROM {rows} WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))"""

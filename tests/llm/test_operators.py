@@ -219,7 +219,8 @@ def ids():
 
 
 def test_words_encode_as_whole_texts_do(ids):
-    texts = ["It's 'tis a,'s b.'t don't, o'clock!!", "école, École. é—, x y z", "a1b2 3.14 #tag @you http://x.y/z?q=1", "İstanbul ΣΣ …. —,", None]
+    texts = ["It's 'tis a,'s b.'t don't, o'clock!!", "école, École. é—, x y z", "a1b2 3.14 #tag @you http://x.y/z?q=1", "İstanbul ΣΣ …. —,", None,
+             "Ʃİ& ɏİ. É's ÉCOLE## a\x1cb ẞ. ﬁn! x" + "y" * 200 + "...", "<|endoftext|>b <|ENDOFTEXT|> a"]
     made = tokens.WordEncoder(tokens.default_path()).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in made] == [ids(t, 0)[:-1] for t in texts]
 

@@ -11,11 +11,12 @@ from struct import pack
 #: Words kept with their ids in each Python worker (some 200 bytes each). A full store keeps the half that came first: common words come early.
 KEPT_WORDS = 1_000_000
 LONG_WORD = 64
-# A word of plain letters and the punctuation after it are always different pre-tokens, so each is looked up alone.
-SPLIT = re.compile("([a-zß-öø-ɏ]+)([.,;:!?]+)")
-
-# Words of these letters are one pre-token and stay as they are when normalised.
-PLAIN = re.compile("[a-zß-öø-ÿ]+")
+# Letters and the punctuation after them are always different pre-tokens, so each is looked up alone. The apostrophe is not among it.
+SPLIT = re.compile(r"([a-zß-öø-ÿÀ-ÖØ-Þ]+)([!-&(-/:-@\[-`{-~]+)")
+# Words of these letters are one pre-token; normalising only lower-cases them, letter by letter.
+PLAIN = re.compile("[a-zß-öø-ÿÀ-ÖØ-Þ]+")
+# The special tokens begin like this. They are looked for before lower-casing, so texts with it are encoded whole.
+SPECIAL = "<|"
 
 
 def byte_characters() -> dict[int, str]:
@@ -31,6 +32,21 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class KeptWords(dict):
+    """Words and their ids; a word that is not there yet is encoded when it is asked for."""
+
+    def __init__(self, encode, words=()):
+        super().__init__(words)
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        parts = SPLIT.fullmatch(word.decode()) if len(word) <= LONG_WORD else None
+        ids = b"".join([self[x.encode()] for x in parts.groups()]) if parts else self.encode(word.decode())
+        if len(word) <= LONG_WORD:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts as the tokenizer does, without special tokens, as little-endian unsigned 32-bit ids.
 
@@ -42,47 +58,36 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.kept = Tokenizer.from_file(path), by_word, {}
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.model, self.written = self.tokenizer.model, byte_characters()
-        tried = ["the", "zß", "éclair", "ÿäö", "word"]
+        tried = ["the", "zß", "éclair", "ÿäö", "word", "Écoles", "þÞ"]
         self.direct = by_word and [self._plain(x) for x in tried] == self._ids(tried)
+        self.kept = KeptWords(self._word)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [pack(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _plain(self, word: str) -> bytes:
         """The model alone on a word of plain letters: several times as fast as normalising and splitting it first."""
+        word = word.lower()
         found = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.written))
         return pack(f"<{len(found)}I", *[x.id for x in found])
 
-    def _learn(self, missing: set[bytes]) -> None:
-        parts = {}
-        for word in missing:
-            m = SPLIT.fullmatch(word.decode())
-            parts[word] = [x.encode() for x in m.groups()] if m else [word]
-        new = [x.decode() for x in {p for x in parts.values() for p in x} - self.kept.keys()]
-        plain = {x for x in new if self.direct and PLAIN.fullmatch(x)}
-        self.kept.update((x.encode(), self._plain(x)) for x in plain)
-        rest = [x for x in new if x not in plain]
-        self.kept.update(zip([x.encode() for x in rest], self._ids(rest), strict=True))
-        for word, x in parts.items():
-            if len(x) > 1:
-                self.kept[word] = self.kept[x[0]] + self.kept[x[1]]
+    def _word(self, word: str) -> bytes:
+        return self._plain(word) if self.direct and PLAIN.fullmatch(word) else self._ids([word])[0]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return self._ids([x or "" for x in texts])
         out = []
-        for start in range(0, len(texts), 200):
+        for text in texts:
+            text = text or ""
             if len(self.kept) > KEPT_WORDS:
-                self.kept = dict(islice(self.kept.items(), KEPT_WORDS // 2))
-            split = [(x or "").encode().lower().split() for x in texts[start : start + 200]]
-            missing = set().union(*split) - self.kept.keys()
-            long = {w for w in missing if len(w) > LONG_WORD}
-            self._learn(missing - long)
-            once = dict(zip(long, self._ids([w.decode() for w in long]), strict=True)) if long else {}
-            kept = self.kept
-            out += [b"".join([once[w] if w in once else kept[w] for w in s]) if once else b"".join([kept[w] for w in s]) for s in split]
+                self.kept = KeptWords(self._word, islice(self.kept.items(), KEPT_WORDS // 2))
+            if SPECIAL in text:
+                out += self._ids([text])
+            else:
+                out.append(b"".join(map(self.kept.__getitem__, text.encode().lower().split())))
         return out
 
 

@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import datetime, timezone
 from types import SimpleNamespace
 
 import pytest
@@ -50,6 +50,28 @@ def test_coerce_time(spark):
     assert (row.given, row.unread) == (9, 1)
 
 
+def test_coerce_time_further_formats(spark):
+    second = datetime(2024, 1, 2, 3, 4, 5)
+    given = {"2024-01-02T03:04:05.123Z": second.replace(microsecond=123000), "2024-01-02 03:04:05+00:00": second,
+             "2024-01-02T03:04:05.5+02:00": datetime(2024, 1, 2, 1, 4, 5, 500000), "31/12/2024": datetime(2024, 12, 31),
+             "2 Jan 2024": datetime(2024, 1, 2), "2 January 2024 03:04:05": second, "Jan 2, 2024": datetime(2024, 1, 2),
+             "1/2/2024 03:04 PM": datetime(2024, 1, 2, 15, 4), "2024-01-02 03:04:05 AM": second, "20240102030405": second,
+             "2024-01-02T03:04": datetime(2024, 1, 2, 3, 4), "2024-02-30": None, "13/13/2024": None}
+    df = spark.createDataFrame([(k,) for k in given], "t string")
+    assert [r.t for r in readers.coerce_time(df, "t").collect()] == list(given.values())
+    for kind in ("int", "long"):
+        df = spark.createDataFrame([(20240102,), (86400,), (20241399,), (None,)], f"t {kind}")
+        assert [r.t for r in readers.coerce_time(df, "t").collect()] == [
+            datetime(2024, 1, 2), datetime(1970, 1, 2), datetime.fromtimestamp(20241399, timezone.utc).replace(tzinfo=None), None]
+
+
+def test_no_local_scratch_folder_on_a_cluster():
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(SimpleNamespace(conf=conf, sparkContext=context))
+
+
 def test_database_options():
     q = "SELECT * FROM visits"
     plain = readers.jdbc_options("postgresql", q, "db", "shop", "u", "p", time="t", lower_bound="2024-01-01", limit=10)

@@ -29,13 +29,15 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf) -> S
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a temporary folder
-    made and set for this session.
+    Only where a local session names none (tests, a laptop) is a temporary folder
+    made and set for this session; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

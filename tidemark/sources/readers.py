@@ -14,12 +14,16 @@ from tidemark.spec import SeriesSpec
 SEPARATORS = (",", ";", ":")
 ENCODING = "ISO-8859-1"
 
-# Time formats tried in order; the first that parses a cell wins.
+# Time formats tried in order; the first that parses a cell wins. Where day and month could be either, the month comes first.
 TIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "yyyyMMdd",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm[XXX]", "yyyy-MM-dd'T'HH:mm[XXX]",
+    "yyyy-MM-dd hh:mm[:ss] a", "yyyy-MM-dd", "yyyy/MM/dd HH:mm[:ss]", "yyyy/MM/dd",
+    "M/d/yyyy HH:mm[:ss]", "M/d/yyyy hh:mm[:ss] a", "M/d/yyyy", "d/M/yyyy HH:mm[:ss]", "d/M/yyyy hh:mm[:ss] a", "d/M/yyyy",
+    "d MMM yyyy[ HH:mm][:ss]", "d MMMM yyyy[ HH:mm][:ss]", "MMM d, yyyy[ HH:mm][:ss]", "MMMM d, yyyy[ HH:mm][:ss]",
+    "yyyyMMdd", "yyyyMMddHHmmss",
 )
+# Whole numbers in this range are dates written as yyyyMMdd; all others are seconds since 1970.
+DATE_NUMBERS = (19000101, 29991231)
 
 JDBC = {
     # kind: (URL prefix, default port, driver class); Redshift speaks the PostgreSQL protocol.
@@ -123,11 +127,18 @@ def preview(df: DataFrame, spec: SeriesSpec, n: int = 10) -> DataFrame:
 
 
 def coerce_time(df: DataFrame, time: str, formats=TIME_FORMATS) -> DataFrame:
-    """Time as timestamp; text goes through the formats, a cell none fits is NULL."""
+    """Time as timestamp; text goes through the formats, a cell none fits is NULL.
+
+    Whole numbers are dates (``20240102``) where they can be one, else seconds since 1970.
+    """
     if isinstance(df.schema[time].dataType, T.StringType):
         text = F.trim(time)
         parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
         return df.withColumn(time, parsed)
+    if isinstance(df.schema[time].dataType, (T.IntegerType, T.LongType)):
+        date = F.try_to_timestamp(F.col(time).cast("string"), F.lit("yyyyMMdd"))
+        seconds = F.col(time).cast("timestamp")
+        return df.withColumn(time, F.when(F.col(time).between(*DATE_NUMBERS), F.coalesce(date, seconds)).otherwise(seconds))
     return df.withColumn(time, F.col(time).cast("timestamp"))
 
 

@@ -64,7 +64,8 @@ def save_metadata(meta: DataFrame, path: str) -> None:
 
 
 def load_metadata(spark: SparkSession, path: str) -> dict:
-    """The saved row as a dict; ``split_date`` and ``read_from`` as times."""
+    """The saved row's values as a dict; ``split_date`` and ``read_from`` as times."""
     schema = "min_date string, max_date string, time_groups string, split_date string, read_from string"
     rows = spark.read.schema(schema).json(path)
-    return rows.withColumns({c: F.to_timestamp(c) for c in ("split_date", "read_from")}).first().asDict()
+    row = rows.withColumns({c: F.to_timestamp(c) for c in ("split_date", "read_from")}).first()
+    return {k: v for k, v in row.asDict().items() if v is not None}

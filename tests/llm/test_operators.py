@@ -125,6 +125,39 @@ def test_a_changed_notice_is_found(spark):
     assert rows_of(found, "doc_id", "labels") == [(1, "mit-grant"), (2, "")]
 
 
+LICENSED = {
+    "Licensed under the Apache License, Version 1.0.": "apache,apache-1.0-notice",
+    "Licensed under the Apache License, Version 1.1.": "apache,apache-1.1-notice",
+    "Licensed under the Apache License, Version 2.0.": "apache,apache-2.0-notice",
+    "Licensed under the Apache License, Version 2": "apache,apache-2.0-notice",
+    "This work is licensed under the GNU General Public License, version 1": "gpl,gpl-1.0-notice",
+    "This work is licensed under the GNU General Public License, version 2": "gpl,gpl-2.0-notice",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0-notice",
+    "This work is licensed under the GNU General Public License (GPL) v2": "gpl,gpl-2.0-notice",
+    "This work is licensed under the GNU General Public License.": "gpl",
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.": "lgpl-2.1-notice",
+    "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0-notice",
+    "This work is licensed under the GNU Affero General Public License, version 3": "agpl-3.0-notice",
+    **{f"Licensed under CC BY-NC {v}.": f"cc-by,cc-by-nc-{v}-notice" for v in ("1.0", "2.0", "2.5", "3.0", "4.0")},
+    "Licensed under CC BY-NC-SA 4.0.": "cc-by",
+    "Released under the MIT License.": "mit,mit-notice",
+    "Released under the MIT No Attribution License.": "",
+    "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/": "",
+    "You may not use this file except in compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0-grant",
+    "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+    "Foundation, either version 3 of the License, or any later version": "",
+    "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+    "Foundation, either version 2 of the License, or any later version": "gpl,gpl-grant",
+}
+
+
+def test_versions_of_a_license_are_told_apart(spark):
+    rows = [(k, f"one two three. {text} Four five six seven.") for k, text in enumerate(LICENSED)]
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {rows[r.doc_id][1]: r.labels for r in found} == {rows[k][1]: labels for k, labels in enumerate(LICENSED.values())}
+
+
 def shingles(text):
     words = lowered(text, r"[^\x20\x09-\x0D]+")
     return {tuple(words[k : k + 4]) for k in range(len(words) - 3)} if len(words) > 3 else {tuple(words)} if words else set()

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import (decontaminate, exact_dedup, fm_index, language_id, license_scan, ngram_join, pack, queries,
+from tidemark.llm import (decontaminate, exact_dedup, fm_index, language_id, license_scan, ngram_join, pack, passages, queries,
                           sparse_suffix, token_files, tokens, toxicity)
 
 SCHEMA = "doc_id long, text string, lang string, id string, n string, digest string, q string"
@@ -229,6 +229,30 @@ def test_repeated_passages(docs, shard_words):
     assert spans == {w[0]: w[2] for w in want if w[2]}
 
 
+@pytest.mark.parametrize("index", [fm_index, sparse_suffix])
+def test_a_passage_in_many_surroundings_meets_in_bounded_shards(spark, index):
+    """No index holds more than the budget and one anchor within it, though the passage's anchors have many times as many words."""
+    rng, budget, holders = random.Random(9), 1000, index.smallest_holders
+
+    def bounded(hashed, bounds, ids, places, window):
+        assert len(hashed) <= 2 * budget, len(hashed)
+        return holders(hashed, bounds, ids, places, window)
+
+    def alone(n):
+        return " ".join(f"u{rng.random()}" for _ in range(n))
+
+    rows = [(k, f"{alone(60)} {PASSAGE} {alone(60)}") for k in range(60)]
+    rows += [(60 + k, f"{alone(9)} {BASE} {alone(9)}") for k in range(2)] + [(62, rows[5][1]), (5, alone(70))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = passages.shared_spans(df, bounded, "doc_id", "text", shard_words=budget)
+    gone = {}
+    for r in spans.collect():
+        assert r.by < r.id
+        gone.setdefault((r.id, r.key), set()).update(range(r["first"], r["last"]))
+    want = {(key, passages._text_key(text)): n for (key, text), (_, _, n, _) in zip(rows, brute_removed(rows), strict=True) if n}
+    assert {k: len(v) for k, v in gone.items()} == want and len(want) > 60
+
+
 def test_indexes_agree_on_random_words():
     rng = np.random.default_rng(2)
     for _ in range(30):

@@ -3,7 +3,9 @@
 A window is ``window`` consecutive words. Its anchor is the run of ``ANCHOR`` words with the smallest hash inside it, so equal windows have
 equal anchors; the consecutive windows of a document with one anchor make a segment. Segments meet by the
 anchor's hash. Equal segments are merged first (with partial aggregation, so a passage in any number of documents sends one
-row a task), and only different segments of one anchor, each once, are compared by the operator's own index.
+row a task), and only different segments of one anchor, each once, are compared by the operator's own index. An anchor with more
+words of different segments than a shard may hold is taken apart into its windows; those meet by anchor and own hash, and the index
+compares the words of two holders of each.
 """
 
 from __future__ import annotations
@@ -79,6 +81,32 @@ def anchored_segments(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     return rows.mapInArrow(run, SEGMENTS)
 
 
+def anchored_windows(rows: DataFrame, window: int, anchor: int, hot: np.ndarray) -> DataFrame:
+    """Every window of the segments whose anchor is in ``hot`` (sorted): m, own hash s, id, spot and length, as a segment of its own."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            for row, data, offsets in bt.pieces(part.column(1)):
+                text, begin, length, m, _ = _segments(data, offsets, window, anchor)
+                some = np.flatnonzero(np.isin(m.view(np.int64), hot))
+                if not len(some):
+                    continue
+                starts, ends, words = bt.spans(data, offsets, bt.BLANK)
+                own = bt.run_hashes(bt.hashes(data, starts, ends), window).view(np.int64)
+                raw = data.tobytes()
+                keys = np.zeros(len(offsets) - 1, np.int64)
+                for k in np.unique(text[some]):
+                    keys[k] = zlib.crc32(raw[offsets[k] : offsets[k + 1]])
+                count = length[some] - window + 1
+                which = np.repeat(some, count)
+                first = begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(m[which].view(np.int64)), pa.array(own[words[text[which]] + first]), pa.array(ids[row + text[which]].astype(np.int64)),
+                     pa.array((keys[text[which]] << 31) + first), pa.array(np.full(len(which), window, np.int32))], names=["m", "s", "id", "spot", "length"])
+
+    return rows.mapInArrow(run, SEGMENTS)
+
+
 def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The words of the wanted segments, one row each: m, s, id, text."""
     lists = wanted.groupBy("id").agg(F.collect_list(F.struct("m", "s", "spot", "length")).alias("segments"))
@@ -103,8 +131,11 @@ def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(lists, "id").select("id", "text", "segments").mapInArrow(run, "m long, s long, id long, text string")
 
 
-def _compared(fetched: DataFrame, shard: Shard, window: int, anchor: int, shard_words: int) -> DataFrame:
-    """For every segment the runs of windows that a smaller document has: m, s, runs of (from, to, by) in words of the segment."""
+def _compared(fetched: DataFrame, shard: Shard, window: int, anchor: int, shard_words: int, by: tuple[str, ...] = ("m",)) -> DataFrame:
+    """For every segment the runs of windows that a smaller document has: m, s, runs of (from, to, by) in words of the segment.
+
+    Segments that agree on ``by`` meet in one index.
+    """
     runs = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("by", pa.int64())]))
 
     def solve(held: list) -> pa.RecordBatch:
@@ -132,16 +163,17 @@ def _compared(fetched: DataFrame, shard: Shard, window: int, anchor: int, shard_
                 hashed = bt.hashes(data, starts, ends)
                 for k in range(len(offsets) - 1):
                     m, s, own = (x[row + k] for x in keys)
-                    if m != now and words >= shard_words:
+                    key = (m, s)[: len(by)]
+                    if key != now and words >= shard_words:
                         yield solve(held)
                         held, words = [], 0
-                    now = m
+                    now = key
                     held.append((m, s, own, hashed[counts[k] : counts[k + 1]]))
                     words += counts[k + 1] - counts[k]
         if held:
             yield solve(held)
 
-    dealt = fetched.repartition("m").sortWithinPartitions("m", "s")
+    dealt = fetched.repartition(*by).sortWithinPartitions("m", "s")
     return dealt.mapInArrow(run, "m long, s long, runs array<struct<`from`:int,`to`:int,by:long>>")
 
 
@@ -154,11 +186,36 @@ def shared_spans(docs: DataFrame, shard: Shard, doc_id: str, text: str, window:
                                               F.max("length").alias("length"))
     met = Window.partitionBy("m")
     several = F.min("first").over(met) < F.max("first").over(met)
-    found = materialize(distinct.withColumn("several", several).filter("several OR first < last"), "segments")
+    found = distinct.withColumns({"several": several, "words": F.sum("length").over(met)}).filter("several OR first < last")
+    found = materialize(found, "segments")
+    large = found.filter("several").groupBy("m").agg(F.max("words").alias("words")).filter(F.col("words") > shard_words)
+    # At most one anchor for every `shard_words` words of segments.
+    hot = np.sort(np.array([r.m for r in large.select("m").collect()], np.int64))
+    if len(hot):
+        found = found.join(F.broadcast(large.select("m")), "m", "left_anti")
     compared = _compared(_fetched(rows, found.filter("several").withColumnRenamed("first", "id")), shard, window, anchor, shard_words)
     compared = materialize(compared, "compared")
     told = found.join(compared, ["m", "s"], "left").filter("first < last OR runs IS NOT NULL").select("m", "s", "first", "runs")
     own = F.when(F.col("id") > F.col("first"), F.array(F.struct(F.lit(0).alias("from"), F.col("length").alias("to"), F.col("first").alias("by")))).otherwise(F.col("runs"))
     hit = segments.join(told, ["m", "s"]).select("id", "spot", F.explode(own).alias("r"))
+    if len(hot):
+        hit = hit.unionByName(_hot_hits(rows, hot, shard, window, anchor, shard_words))
     begin = F.col("spot").bitwiseAND(F.lit(0x7FFFFFFF))
     return hit.select("id", F.shiftright("spot", 31).alias("key"), (begin + F.col("r.from")).alias("first"), (begin + F.col("r.to")).alias("last"), F.col("r.by").alias("by"))
+
+
+def _hot_hits(rows: DataFrame, hot: np.ndarray, shard: Shard, window: int, anchor: int, shard_words: int) -> DataFrame:
+    """The windows at the ``hot`` anchors that a smaller document has: id, spot, r (from, to, by).
+
+    Of each window that several documents have, its smallest and its largest document send their words to the index, which decides.
+    """
+    windows = anchored_windows(rows, window, anchor, hot)
+    shared = windows.groupBy("m", "s").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min_by("spot", "id").alias("spot"),
+                                           F.max_by("spot", "id").alias("last_spot")).filter("first < last")
+    shared = materialize(shared, "windows")
+    ends = F.inline(F.array(F.struct(F.col("first").alias("id"), "spot"), F.struct(F.col("last").alias("id"), F.col("last_spot").alias("spot"))))
+    wanted = shared.select("m", "s", F.lit(window).alias("length"), ends)
+    compared = materialize(_compared(_fetched(rows, wanted), shard, window, anchor, shard_words, ("m", "s")), "compared")
+    told = compared.select("m", "s", F.col("runs")[0]["by"].alias("by")).distinct()
+    r = F.struct(F.lit(0).alias("from"), F.col("length").alias("to"), "by")
+    return windows.join(told, ["m", "s"]).filter("id > by").select("id", "spot", r.alias("r"))

@@ -181,6 +181,24 @@ def test_forest_scores(spark):
     assert np.corrcoef(out.anomaly_score_2, other.anomaly_score_2)[0, 1] > 0.9
 
 
+def test_each_of_the_trees_has_a_sample_of_its_own(spark):
+    """1000 samples of 256 see nearly every value of a long series; a short series needs one sample."""
+    df = noisy(spark, 9000, series=("long",)).unionByName(noisy(spark, 100, series=("short",)))
+    models = {r.g: r for r in iforest.fit_iforest(df, SPEC).select("g", "knots", "heights").collect()}
+    assert len(models["long"].knots) > 8900
+    x, height = iforest.expected_path(np.array([r.y for r in df.where("g = 'short'").collect()]))
+    assert models["short"].knots == x.tolist() and models["short"].heights == pytest.approx(height.tolist())
+
+
+def test_many_rounds_draw_as_few_do(spark, monkeypatch):
+    from tidemark.operators import residual_score
+
+    df = noisy(spark, 700)
+    many = sorted(map(tuple, iforest.iforest_sample(df, SPEC, 70).collect()))
+    monkeypatch.setattr(residual_score, "FEW_ROUNDS", 70)
+    assert sorted(map(tuple, iforest.iforest_sample(df, SPEC, 70).collect())) == many and len(many) == 2 * 70 * 256
+
+
 def test_hot_series_are_scored_in_slots(spark, monkeypatch):
     df = noisy(spark, 300)
     models = iforest.fit_iforest(df, SPEC)

@@ -55,7 +55,7 @@ _BAND = sql_band(SQL_EVENTS)
   greatest(ad_label_2, ad_label_3) AS predicted_label FROM two JOIN three USING (event_id)""")
 def st1(spark, sf):
     df = events(spark, sf).select(*COLUMNS)
-    forest, band = iforest.fit_iforest(df, EVENTS), trend.fit_trend(df, EVENTS)
+    forest, band = iforest.fit_iforest(df, EVENTS, trees=iforest.SUBSAMPLES), trend.fit_trend(df, EVENTS)
     path, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-checkpoint")
     for arrivals in _arrivals(spark, df):
         ts.detect_stream(arrivals, EVENTS, forest, band, path, checkpoint).awaitTermination()

@@ -130,7 +130,8 @@ def g6f(spark, sf):
 def g6(spark, sf):
     grid = tu.param_grid(spark, tu.DEFAULTS["iso_f"], tu.RANGES["iso_f"])
     tail = tu.tail_window(events(spark, sf), EVENTS, tu.TAIL_SHARE["iso_f"])
-    out = tu.objective_iforest(tail.select("event_id", "ts", "event_type", "value"), EVENTS, grid)
+    # The SQL has one subsample for 200 trees.
+    out = tu.objective_iforest(tail.select("event_id", "ts", "event_type", "value"), EVENTS, grid, trees_per_subsample=200)
     return out.select("event_type", "combo_id", r("error").alias("error"))
 
 

@@ -57,8 +57,8 @@ def x4(spark, sf):
 
 
 # The jobs with those settings of which every label can be said in SQL: a straight
-# trend, p-values for the residuals, no time parts.
-LINEAR = jobs.JobSettings(trend=TrendParams(kind="linear"), score_method="student_t", time_parts=False)
+# trend, p-values for the residuals, no time parts, and a forest as small as that of the SQL.
+LINEAR = jobs.JobSettings(trees=SUBSAMPLES, trend=TrendParams(kind="linear"), score_method="student_t", time_parts=False)
 
 _CUT = f"""{SQL_LINE.format(rows=SQL_FILLED)}, filled AS (SELECT * FROM {SQL_FILLED}),
  past AS (SELECT * FROM filled WHERE ts < {SQL_SPLIT}), {sql_scores(SUBSAMPLES, 'past', 'filled')},

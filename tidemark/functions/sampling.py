@@ -8,8 +8,11 @@ is the ``m`` rows with the smallest draws.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.series import join_on
 
@@ -39,6 +42,20 @@ def enough(size: Column) -> Column:
     return size + 60 + F.sqrt(F.lit(3600.0) + size * 120.0)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def rounds_within(h1: pd.Series, h2: pd.Series, limit: pd.Series, rounds: pd.Series) -> pd.Series:
+    """The rounds from 0 on, less than ``rounds``, in which :func:`draw` gives at most ``limit``."""
+    h1, h2, limit, rounds = (c.to_numpy()[:, None] for c in (h1, h2, limit, rounds))
+    out, step = [], 1000
+    for k in range(0, len(h1), step):
+        at = slice(k, k + step)
+        number = np.arange(rounds[at].max())
+        fits = ((h1[at] + (number + 1) * h2[at]) % DRAW_RANGE <= limit[at]) & (number < rounds[at])
+        row, hit = np.nonzero(fits)
+        out += np.split(hit.astype(np.int32), np.cumsum(np.bincount(row, minlength=len(fits)))[:-1])
+    return pd.Series(out, dtype=object)
+
+
 def below_threshold(draw_: Column, size: Column, count: Column) -> Column:
     """Cheap row filter ahead of the ranking in :func:`smallest`."""
     return draw_ <= enough(size.cast("double")) / count * F.lit(float(DRAW_RANGE))

@@ -26,8 +26,10 @@ from tidemark.spec import SeriesSpec
 PSI = 256
 EULER = 0.5772156649
 
-# Closed-form subsamples standing in for the default 1000 random trees: each one
-# is already the mean over infinitely many trees on its rows.
+# Trees of a forest, each on a sample of its own; in mode ``exact`` each one is the
+# mean over infinitely many random trees on its rows.
+TREES = 1000
+# Trees of the registered queries whose SQL draws the samples too.
 SUBSAMPLES = 8
 
 
@@ -77,12 +79,17 @@ def random_tree(values: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
     return np.array(cuts), np.array(heights)
 
 
-def iforest_sample(df: DataFrame, spec: SeriesSpec, trees: int = SUBSAMPLES, psi: int = PSI,
-                   seed: int = 42) -> DataFrame:
-    """Rows (groups, ``tree``, feature): up to ``psi`` random rows per series and tree."""
+def iforest_sample(df: DataFrame, spec: SeriesSpec, trees: int = TREES, psi: int = PSI,
+                   seed: int = 42, once: bool = False) -> DataFrame:
+    """Rows (groups, ``tree``, feature): up to ``psi`` random rows per series and tree.
+
+    With ``once``, series of ``psi`` rows or less have tree 0 only, as all their samples are the same.
+    """
     known = df.where(F.col(spec.feature).isNotNull())
     sizes = known.groupBy(*spec.groups).agg(F.count(F.lit(1)).alias("known"))
     sizes = sizes.withColumn("sample_size", F.least(F.lit(psi), F.col("known")).cast("long"))
+    if once:
+        sizes = sizes.withColumn("rounds", F.when(F.col("known") <= psi, 1).otherwise(trees))
     drawn = draw_rounds(known, sizes, spec, trees, spec.feature, seed)
     return drawn.withColumnRenamed("round", "tree")
 
@@ -203,9 +210,9 @@ def fit_iforest(df: DataFrame, spec: SeriesSpec, contamination: float = 0.01,
                 trees: int | None = None, mode: str = "exact", seed: int = 42,
                 hot: HotSeries | None = None) -> DataFrame:
     """Model rows: groups, ``knots``, ``heights``, ``path_norm``, ``threshold``."""
-    trees = trees or (SUBSAMPLES if mode == "exact" else 1000)
+    trees = trees or TREES
     hot = hot or hot_series(df, spec, series.ROWS_PER_GROUP)
-    curves = fit_curves(iforest_sample(df, spec, trees, PSI, seed), spec, mode, seed)
+    curves = fit_curves(iforest_sample(df, spec, trees, PSI, seed, mode == "exact"), spec, mode, seed)
     scored = score_iforest(df.select(*spec.groups, *spec.order, spec.feature), curves, spec, hot=hot)
     limits = contamination_threshold(scored, spec, contamination, hot=hot)
     return join_on(curves, limits, spec.groups)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.kernels import beta_ppf, beta_quantile, t_critical, t_two_sided
-from tidemark.functions.sampling import DRAW_RANGE, add_hashes, draw, enough, smallest
+from tidemark.functions.sampling import DRAW_RANGE, add_hashes, draw, enough, rounds_within, smallest
 from tidemark.operators.series import attach_stats, join_on, meet, slots_for
 from tidemark.spec import SeriesSpec
 
@@ -22,6 +22,8 @@ from tidemark.spec import SeriesSpec
 ROUNDS = 30
 ALPHA = 0.01
 POOL = 10000
+# Up to so many rounds each row is drawn for all of them in place.
+FEW_ROUNDS = 64
 LOW, HIGH = 0.05, 0.95
 
 
@@ -43,14 +45,21 @@ def draw_rounds(df: DataFrame, sizes: DataFrame, spec: SeriesSpec, rounds: int,
                 value: str, seed: int = 0) -> DataFrame:
     """Rows (groups, ``round``, ``value``) of ``rounds`` random subsets per series.
 
-    ``sizes`` has per series ``known`` (rows to draw from) and ``sample_size``.
+    ``sizes`` has per series ``known`` (rows to draw from) and ``sample_size``, and
+    may have ``rounds``, the number of rounds of the series up to ``rounds``.
     A row stays only in the rounds in which its draw is small enough, so what is
-    shuffled and ranked is bounded by rounds * sample size, not by the series.
+    shuffled and ranked is bounded by rounds * sample size, not by the series. Many rounds
+    are drawn in Arrow batches, ahead of the explode.
     """
     limit = enough(F.col("sample_size").cast("double")) / F.col("known") * F.lit(float(DRAW_RANGE))
+    last = (F.col("rounds") if "rounds" in sizes.columns else F.lit(rounds)).cast("int").alias("_rounds")
     rows = add_hashes(df.select(*spec.groups, *spec.tie, value), spec.tie, seed)
-    rows = join_on(rows, sizes.select(*spec.groups, "known", "sample_size"), spec.groups)
-    rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    rows = join_on(rows, sizes.select(*spec.groups, "known", "sample_size", last), spec.groups)
+    if rounds <= FEW_ROUNDS:
+        every = F.sequence(F.lit(0), F.col("_rounds") - 1)
+    else:
+        every = rounds_within("_h1", "_h2", limit, "_rounds")
+    rows = rows.withColumn("round", F.explode(every))
     rows = rows.withColumn("_draw", draw(F.col("round"))).where(F.col("_draw") <= limit)
     chosen = smallest(rows, [*spec.groups, "round"], spec.tie, F.col("sample_size"))
     return chosen.select(*spec.groups, "round", value)

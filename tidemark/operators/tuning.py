@@ -46,7 +46,7 @@ TAIL_SHARE = {"iso_f": 0.3, "prophet": 0.1, "lstm": 1.0}
 SPARK_TYPES = {int: "int", float: "double", str: "string"}
 
 # Trees that one closed-form subsample stands for.
-TREES_PER_SUBSAMPLE = 200
+TREES_PER_SUBSAMPLE = 1
 
 
 def grid_steps(spec: str) -> tuple[Decimal, Decimal, int]:
@@ -153,7 +153,7 @@ def objective_iforest(df: DataFrame, spec: SeriesSpec, grid: DataFrame, seed: in
     shares = sorted({p["contamination"] for p in pairs})
     per_size = {n: max(1, n // trees_per_subsample) for n in trees}
 
-    sample = iforest_sample(df, spec, max(per_size.values()), seed=seed)
+    sample = iforest_sample(df, spec, max(per_size.values()), seed=seed, once=True)
     wanted = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in per_size.items()])
     sizes = F.transform(F.filter(wanted, lambda w: w["k"] > F.col("tree")), lambda w: w["n"])
     by_trees = spec.with_groups([*spec.groups, "num_of_trees"])

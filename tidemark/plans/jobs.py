@@ -12,7 +12,7 @@ from tidemark.operators import tuning
 from tidemark.operators.clean import clean_series, collapse_duplicates, times_are_unique
 from tidemark.operators.ensemble import vote_present
 from tidemark.operators.forecast import ForecastParams, fit_forecaster, predict_forecast, residuals
-from tidemark.operators.iforest import SUBSAMPLES, fit_iforest, predict_iforest
+from tidemark.operators.iforest import TREES, fit_iforest, predict_iforest
 from tidemark.operators.residual_score import ROUNDS, beta_score, student_t_score, label_two_tail
 from tidemark.operators.series import ROWS_PER_CHUNK, ROWS_PER_GROUP, HotSeries, hot_series
 from tidemark.operators.splits import split, split_date, with_lookback
@@ -37,7 +37,7 @@ class JobSettings:
     forecast: ForecastParams = field(default_factory=ForecastParams)
     trend: TrendParams = field(default_factory=lambda: TrendParams(kind="piecewise"))
     contamination: float = 0.01
-    trees: int = SUBSAMPLES
+    trees: int = TREES
     forest_mode: str = "exact"
     # "train": fit before the split date; "window": refit on the scored rows.
     forest_fit_on: str = "train"

@@ -47,3 +47,19 @@ def test_every_operator_is_registered():
     have = {q.split("_")[0] for q in entry.queries()}
     assert set(wanted) <= have
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_without_sql_do_the_whole_job(spark, sf_dir, monkeypatch):
+    """All combinations of the ranges are tried, and the sampled forest has 1000 trees."""
+    from tidemark.operators import iforest, tuning
+
+    grids, trees = [], []
+    best, sample = tuning.best_params, iforest.iforest_sample
+    monkeypatch.setattr(tuning, "best_params", lambda errors, grid, groups: grids.append(grid.count()) or best(errors, grid, groups))
+    monkeypatch.setattr(iforest, "iforest_sample", lambda df, spec, n, *a: trees.append(n) or sample(df, spec, n, *a))
+    entry.queries()["x3_tune"](spark, sf_dir)
+    assert grids == [20]
+    entry.queries()["i2_fit_iforest_sampled"](spark, sf_dir)
+    assert trees == [1000]
+    found = entry.queries()["g7_objective_piecewise"](spark, sf_dir)
+    assert {r.combo_id for r in found.select("combo_id").distinct().collect()} == set(range(20))

@@ -70,8 +70,8 @@ def _scored(spark, sf):
 
 @query("i2_fit_iforest_sampled")
 def i2s(spark, sf):
-    """Real random trees, 100 per series."""
-    models = iforest.fit_iforest(events(spark, sf), EVENTS, 0.01, 100, "sampled")
+    """Real random trees, 1000 per series."""
+    models = iforest.fit_iforest(events(spark, sf), EVENTS, 0.01, mode="sampled")
     return models.select("event_type", F.size("knots").alias("cuts"), r("path_norm").alias("path_norm"),
                          r("threshold").alias("threshold"))
 

@@ -14,6 +14,7 @@ from tidemark.operators.forecast import predict_forecast, residuals
 from tidemark.operators.iforest import SUBSAMPLES
 from tidemark.operators.residual_score import label_two_tail, student_t_score
 from tidemark.operators.trend import TrendParams, fit_trend, label_band, trend_band
+from tidemark.operators.tuning import RANGES
 from tidemark.plans import jobs
 from tidemark.session import scratch_path
 from tidemark.sources import store
@@ -45,8 +46,7 @@ def x2(spark, sf):
 
 @query("x3_tune")
 def x3(spark, sf):
-    ranges = {"contamination": "0.1*0.5", "num_of_trees": "200*600"}
-    out = jobs.tune(events_nulls(spark, sf), EVENTS, "iso_f", ranges=ranges)
+    out = jobs.tune(events_nulls(spark, sf), EVENTS, "iso_f", ranges=RANGES["iso_f"])
     return out.select("event_type", "combo_id", r("error").alias("error"), r("contamination").alias("contamination"),
                       "num_of_trees")
 

@@ -341,6 +341,11 @@ def test_languages(spark):
     assert {r.lang_pred for r in language_id.identify_held_out(df.filter("lang IS NULL")).collect()} == {"und"}
 
 
+def test_clean_texts_stay_where_no_language_was_learned(spark):
+    df = spark.createDataFrame([(1, "plain words here", None), (2, "12 34 !!", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_identified(df).collect()} == {1, 4}
+
+
 def test_toxicity(spark):
     rng, rows, marks = random.Random(6), [], []
     for k in range(300):

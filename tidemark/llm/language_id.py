@@ -171,8 +171,8 @@ def identify_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.0) -> DataFrame:
     """The documents, with all their columns, whose text shows a language with a share of at least ``least``.
 
-    The model learns from all rows with a language. ``und`` always goes: null texts and texts without a letter, and all
-    texts where nothing was learned.
+    The model learns from all rows with a language. Null texts and texts without a letter always go; where nothing
+    was learned, all others stay, as nothing speaks against them.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_languages(docs, F.lit(True), text, lang))
     names = docs.columns
@@ -183,7 +183,7 @@ def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for row, data, offsets in bt.pieces(column):
                 best = model.value.mixtures(data, offsets).max(1, initial=0.0)
                 texts = column.slice(row, len(best)).to_pylist()
-                keep = [b > 0 and b >= least and has_letter(t) for b, t in zip(best, texts, strict=True)]
+                keep = [has_letter(t) and (not model.value.langs or b > 0 and b >= least) for b, t in zip(best, texts, strict=True)]
                 yield part.slice(row, len(best)).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, fm_index, language_id, license_scan, ngram_join, pack, sparse_suffix, token_files, toxicity
+from tidemark.llm import (
+    decontaminate, exact_dedup, fm_index, language_id, license_scan, ngram_join, pack, sharding, sparse_suffix, token_files, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +112,37 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha
 FROM d LEFT JOIN t USING (doc_id)""")
 def op5_substring_dedup(spark, sf):
     return fm_index.remove_repeats(documents(spark, sf))
+
+
+def _turns() -> str:
+    """The rounds of the permutation, each a table made from the one before."""
+    out = []
+    for k in range(sharding.ROUNDS):
+        half, other, side = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        mixed = f"('0x' || substr(md5('{sharding.SEED}:{k}:' || {other}), 1, 15))::BIGINT"
+        out.append(f"t{k + 1} AS (SELECT n, a, b, total, {other}, ({half} + {mixed} % {side}) % {side} AS {half} FROM t{k})")
+    return ",\n".join(out)
+
+
+@query("op13_sharding", f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295) AS text_crc32
+      FROM d, crc),
+numbered AS (SELECT *, row_number() OVER (ORDER BY md5(coalesce(doc_id::VARCHAR, 'null')), text_crc32, size) - 1 AS number FROM c),
+total AS (SELECT count(*) AS total, ceil(sqrt(count(*)))::BIGINT AS root FROM documents),
+grid AS (SELECT a, (total + a - 1) // a AS b, total
+         FROM (SELECT total, unnest(range(root, least(root + {sharding.SIDES}, root + root // 2) + 1)) AS a FROM total)
+         ORDER BY a * ((total + a - 1) // a), a LIMIT 1),
+t0 AS (SELECT n, a, b, total, n // b AS l, n % b AS r FROM (SELECT *, unnest(range(a * b)) AS n FROM grid)),
+{_turns()},
+once AS (SELECT n, total, l * b + r AS p FROM t{sharding.ROUNDS}),
+walk AS (SELECT n, total, p FROM once WHERE n < total
+         UNION ALL SELECT walk.n, walk.total, once.p FROM walk JOIN once ON once.n = walk.p WHERE walk.p >= walk.total)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {sharding.SHARDS})::INTEGER AS shard, p // {sharding.SHARDS} AS slot,
+       NULL::INTEGER AS grown_shard
+FROM numbered JOIN walk ON n = number AND p < total""")
+def op13_sharding(spark, sf):
+    return sharding.place_documents(documents(spark, sf))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
-    decontaminate, exact_dedup, fm_index, language_id, license_scan, ngram_join, pack, sharding, sparse_suffix, token_files, toxicity)
+    align, decontaminate, exact_dedup, fm_index, language_id, license_scan, ngram_join, pack, sharding, sparse_suffix, token_files, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +114,11 @@ def op5_substring_dedup(spark, sf):
     return fm_index.remove_repeats(documents(spark, sf))
 
 
+@query("op11_cross_tokenizer_alignment")
+def op11_cross_tokenizer_alignment(spark, sf):
+    return align.alignment_counts(documents(spark, sf))
+
+
 def _turns() -> str:
     """The rounds of the permutation, each a table made from the one before."""
     out = []

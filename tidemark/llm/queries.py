@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
-    align, decontaminate, exact_dedup, fm_index, language_id, license_scan, ngram_join, pack, sharding, sparse_suffix, token_files, toxicity)
+    align, decontaminate, exact_dedup, fm_index, language_id, license_scan, ngram_join, pack, repair, sharding, sparse_suffix, token_files, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,6 +15,12 @@ ORACLES: dict[str, str] = {}
 SQL_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: CRC-32: its table, the bytes of a text, and the checksum of a list `bytes`.
+SQL_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)"""
+SQL_BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: ('0x' || h)::BIGINT)"
+SQL_CRC = "xor(list_reduce(list_prepend(4294967295, bytes), lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295)"
+
 
 def query(name: str, sql: str | None = None):
     def add(f):
@@ -119,6 +125,51 @@ def op11_cross_tokenizer_alignment(spark, sf):
     return align.alignment_counts(documents(spark, sf))
 
 
+_edges = ", ".join(f"('{kind}', {a}, {b}, {x >> repair.SLOT}, '{repair.letters_of(x, 1)}')" for kind, matrix in repair.EDGES.items()
+                   for a, row in enumerate(matrix) for b, x in enumerate(row) if x is not None)
+
+
+@query("op12_conversation_repair", f"""
+WITH RECURSIVE {SQL_CRC_TABLE},
+b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {SQL_BYTES.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} AS bytes FROM conversations),
+h AS (SELECT conv_id, turn, role, text, {SQL_CRC} % 20 AS harm FROM b, crc),
+r AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+             CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT conv_id, turn, role, text, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS time FROM r),
+f AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS initial_before,
+             CASE WHEN body = '' THEN 'blank' WHEN time > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM o),
+kind AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'X' WHEN fault = 'truncated' THEN upper(own) ELSE own END AS kind
+         FROM (SELECT *, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS own FROM f)),
+edge(kind, src, dst, price, letters) AS (VALUES {_edges}),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (initial_before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM kind GROUP BY conv_id),
+path AS (SELECT conv_id, 0 AS k, 0 AS state, {{'cost': 0, 'audit': ''}} AS v FROM sums
+         UNION ALL SELECT p.conv_id, p.k + 1, dst, min({{'cost': p.v.cost + price, 'audit': p.v.audit || letters}})
+         FROM path p JOIN kind ON kind.conv_id IS NOT DISTINCT FROM p.conv_id AND kind.k = p.k + 1 JOIN edge ON edge.kind = kind.kind AND src = state
+         GROUP BY p.conv_id, p.k, dst),
+best AS (SELECT p.conv_id, min({{'cost': p.v.cost + price, 'audit': p.v.audit || letters}}) AS v
+         FROM path p JOIN sums s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.n = p.k JOIN edge ON kind = '.' AND src = state GROUP BY p.conv_id),
+letter AS (SELECT conv_id, unnest(range(1, len(v.audit) + 1)) AS at, v.audit AS audit FROM best),
+placed AS (SELECT conv_id, at, audit[at] AS letter, len(regexp_replace(audit[1:at], 'I', '', 'g')) AS k FROM letter),
+kept AS (SELECT p.conv_id, at, letter, role, text, row_number() OVER (PARTITION BY p.conv_id ORDER BY at) AS place,
+                first_value(letter = 'K' AND initial = 's') OVER (PARTITION BY p.conv_id ORDER BY at) AS begun
+         FROM placed p LEFT JOIN kind ON kind.conv_id IS NOT DISTINCT FROM p.conv_id AND kind.k = p.k AND letter <> 'I' WHERE letter <> 'D'),
+line AS (SELECT conv_id, at, CASE WHEN letter = 'K' THEN role WHEN (place - coalesce(begun, false)::INTEGER) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+                || coalesce(text, '') AS line FROM kept),
+body AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY at) AS body FROM line GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.v.cost, 0) AS cost, coalesce(best.v.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN body ON body.conv_id IS NOT DISTINCT FROM c.conv_id""")
+def op12_conversation_repair(spark, sf):
+    return repair.damage_and_repair(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
 def _turns() -> str:
     """The rounds of the permutation, each a table made from the one before."""
     out = []
@@ -130,12 +181,9 @@ def _turns() -> str:
 
 
 @query("op13_sharding", f"""
-WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
-    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
-d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
-             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
-c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295) AS text_crc32
-      FROM d, crc),
+WITH RECURSIVE {SQL_CRC_TABLE},
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {SQL_BYTES.format("coalesce(text, '')")} AS bytes FROM documents),
+c AS (SELECT doc_id, size, {SQL_CRC} AS text_crc32 FROM d, crc),
 numbered AS (SELECT *, row_number() OVER (ORDER BY md5(coalesce(doc_id::VARCHAR, 'null')), text_crc32, size) - 1 AS number FROM c),
 total AS (SELECT count(*) AS total, ceil(sqrt(count(*)))::BIGINT AS root FROM documents),
 grid AS (SELECT a, (total + a - 1) // a AS b, total

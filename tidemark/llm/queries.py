@@ -154,14 +154,14 @@ path AS (SELECT conv_id, 0 AS k, 0 AS state, {{'cost': 0, 'audit': ''}} AS v FRO
          GROUP BY p.conv_id, p.k, dst),
 best AS (SELECT p.conv_id, min({{'cost': p.v.cost + price, 'audit': p.v.audit || letters}}) AS v
          FROM path p JOIN sums s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.n = p.k JOIN edge ON kind = '.' AND src = state GROUP BY p.conv_id),
-letter AS (SELECT conv_id, unnest(range(1, len(v.audit) + 1)) AS at, v.audit AS audit FROM best),
-placed AS (SELECT conv_id, at, audit[at] AS letter, len(regexp_replace(audit[1:at], 'I', '', 'g')) AS k FROM letter),
-kept AS (SELECT p.conv_id, at, letter, role, text, row_number() OVER (PARTITION BY p.conv_id ORDER BY at) AS place,
-                first_value(letter = 'K' AND initial = 's') OVER (PARTITION BY p.conv_id ORDER BY at) AS begun
+letter AS (SELECT conv_id, unnest(range(1, len(v.audit) + 1)) AS pos, v.audit AS audit FROM best),
+placed AS (SELECT conv_id, pos, audit[pos] AS letter, len(regexp_replace(audit[1:pos], 'I', '', 'g')) AS k FROM letter),
+kept AS (SELECT p.conv_id, pos, letter, role, text, row_number() OVER (PARTITION BY p.conv_id ORDER BY pos) AS place,
+                first_value(letter = 'K' AND initial = 's') OVER (PARTITION BY p.conv_id ORDER BY pos) AS begun
          FROM placed p LEFT JOIN kind ON kind.conv_id IS NOT DISTINCT FROM p.conv_id AND kind.k = p.k AND letter <> 'I' WHERE letter <> 'D'),
-line AS (SELECT conv_id, at, CASE WHEN letter = 'K' THEN role WHEN (place - coalesce(begun, false)::INTEGER) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+line AS (SELECT conv_id, pos, CASE WHEN letter = 'K' THEN role WHEN (place - coalesce(begun, false)::INTEGER) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
                 || coalesce(text, '') AS line FROM kept),
-body AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY at) AS body FROM line GROUP BY conv_id)
+body AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM line GROUP BY conv_id)
 SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
        coalesce(illegal, 0) AS illegal, coalesce(best.v.cost, 0) AS cost, coalesce(best.v.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM c.conv_id

@@ -137,9 +137,10 @@ h AS (SELECT conv_id, turn, role, text, {SQL_CRC} % 20 AS harm FROM b, crc),
 r AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
              CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
              unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+u AS (SELECT *, row_number() OVER () AS own FROM r),
 o AS (SELECT conv_id, turn, role, text, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
-             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
-             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS time FROM r),
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, own) AS k,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, own) AS time FROM u),
 f AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS initial_before,
              CASE WHEN body = '' THEN 'blank' WHEN time > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM o),
 kind AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'X' WHEN fault = 'truncated' THEN upper(own) ELSE own END AS kind

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.native import without_blanks
@@ -60,12 +60,17 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sal
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
-    """The documents that stay, with all their columns; of rows repeated with id and text, one."""
-    groups = copy_groups(docs, doc_id, text, salts).select(
-        F.col("digest").alias("_keep_digest"), F.col("keep_id").alias("_keep_id"), F.col("keep_points").alias("_keep_points"))
+    """The documents that stay, with all their columns, whatever their names; of rows repeated with id and text, one.
+
+    Texts move three times: twice for the groups and once to meet their group. The keys of that join are never null (a null id has a mark of
+    its own), so what is left of repeated rows is merged where the join has put them. Rows that repeat both id and text meet in one task.
+    """
+    def keys(own: Column, points: Column) -> list[Column]:
+        return [F.coalesce(own, F.lit(0).cast("long")).alias("own"), own.isNull().alias("missing"), points.alias("points")]
+
+    groups = copy_groups(docs, doc_id, text, salts).select("digest", *keys(F.col("keep_id"), F.col("keep_points")))
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_keep_digest", F.unhex(F.sha2(without_blanks(body), 256))).withColumn(
-        "_keep_points", F.char_length(body)).withColumn("_keep_id", F.col(doc_id).cast("long"))
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ("_keep_digest", "_keep_id", "_keep_points")]
-    kept = keyed.alias("d").join(groups.alias("g"), same[0] & same[1] & same[2], "left_semi")
-    return kept.dropDuplicates(["_keep_digest", "_keep_id", "_keep_points"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.sha2(without_blanks(body), 256)).alias("digest"),
+                        *keys(F.col(doc_id).cast("long"), F.char_length(body)))
+    same = ["digest", "own", "missing", "points"]
+    return keyed.join(groups, same, "left_semi").dropDuplicates(same).select("row.*")

@@ -258,7 +258,20 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, with all their columns, that have the smallest doc_id of their component. Documents without a doc_id stay."""
-    gone = similar_documents(docs, doc_id, text, shingle, percent).filter("doc_id > component_id OR (doc_id IS NOT NULL AND component_id IS NULL)")
-    gone = gone.select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone_id"), "left_anti")
+    """The documents, with all their columns, that have the smallest doc_id of their component; a missing id comes after all others.
+
+    Rows are judged one by one. Where ids are unique and known they name the rows. Where one is repeated or missing, the rows are written once with
+    a number each and compared by it, so another text under the same id is not touched; of rows with the smallest id, one stays.
+    """
+    ids = docs.select(F.col(doc_id).cast("long").alias("own"))
+    if ids.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("own IS NULL OR n > 1").isEmpty():
+        gone = similar_documents(docs, doc_id, text, shingle, percent).filter("doc_id > component_id").select(F.col("doc_id").alias("own"))
+        rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("own"))
+        return rows.join(gone, "own", "left_anti").select("row.*")
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+    places = similar_documents(rows.select("number", F.col("row").getField(text).alias("text")), "number", "text", shingle, percent)
+    owned = places.select(F.col("doc_id").alias("number"), F.col("component_id").alias("component")).join(
+        rows.select("number", F.col("row").getField(doc_id).cast("long").alias("own")), "number")
+    rank = F.struct(F.col("own").isNull().alias("missing"), "own", "number")
+    kept = owned.groupBy("component").agg(F.min(rank).alias("best")).select("best.number")
+    return rows.join(kept, "number", "left_semi").select("row.*")

@@ -77,17 +77,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """The documents without the contaminated ones (``mode="documents"``), or all of them with the hit words taken
     out (``mode="spans"``: a document with a hit becomes its other words in lower case, joined by blanks). All columns stay.
     """
-    hits = _hits(docs, benchmark, doc_id, text, item_id, item_text, window).select(
-        F.col("id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), F.col("spans").alias("_hit_spans"))
-    met = F.col(doc_id).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text) == F.col("_hit_key"))
+    hits, rows = _hits(docs, benchmark, doc_id, text, item_id, item_text, window), docs.alias("d")
+    own, said = F.col(f"d.{doc_id}"), F.col(f"d.{text}")
+    met = own.eqNullSafe(F.col("h.id")) & (F.xxhash64(said) == F.col("h.text_key"))
     if mode == "spans":
-        inside = F.flatten(F.transform("_hit_spans", lambda s: F.sequence(s.pos, s.pos + s.length - 1)))
-        rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(words(F.col(text))) - 1), inside),
-                           lambda i: F.get(words(F.col(text)), i))
-        cut = F.when(F.col("_hit_id").isNull() & F.col("_hit_spans").isNull(), F.col(text)).otherwise(F.array_join(rest, " "))
-        joined = docs.join(hits, met, "left").withColumn("_cut", cut)
-        return joined.select(*[F.col("_cut").alias(c) if c == text else F.col(c) for c in docs.columns])
-    n = F.size(words(F.col(text)))
-    bad = hits.withColumn("_hit_covered", _covered(F.col("_hit_spans"))).drop("_hit_spans")
+        inside = F.flatten(F.transform("h.spans", lambda s: F.sequence(s.pos, s.pos + s.length - 1)))
+        rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(words(said)) - 1), inside), lambda i: F.get(words(said), i))
+        cut = F.when(F.col("h.spans").isNull(), said).otherwise(F.array_join(rest, " "))
+        return rows.join(hits.alias("h"), met, "left").select(*[(cut if c == text else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    n = F.size(words(said))
+    bad = hits.withColumn("covered", _covered(F.col("spans"))).drop("spans")
     # Only documents with a hit are judged, so the word count is taken from the few that meet one.
-    return docs.join(bad, met & (F.lit(one_in) * F.col("_hit_covered") >= n), "left_anti")
+    return rows.join(bad.alias("h"), met & (F.lit(one_in) * F.col("h.covered") >= n), "left_anti")

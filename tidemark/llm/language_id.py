@@ -49,7 +49,13 @@ class LanguageModel:
     table: np.ndarray
 
     def mixtures(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Proportions of the languages for each text; rows of zeros for texts without letters.
+        """Proportions of the languages for each text; rows of zeros for texts without letters."""
+        return self.fitted(data, offsets)[0]
+
+    def fitted(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions of the languages for each text, and what languages add over the background alone, in which every cell is equally
+        likely: the log likelihood that words win in their best language, words that win nothing left to the background, less
+        half the log of the number of words. Zeros for texts without letters.
 
         A word (a run of letters) is one draw from the mixture; its likelihood in a language is the product of its trigrams'.
         The proportions are estimated for all languages first. Then sets of the 1, 2, ... most frequent
@@ -57,10 +63,10 @@ class LanguageModel:
         each language, is taken.
         """
         n, k = len(offsets) - 1, len(self.langs)
-        out = np.zeros((n, k))
+        out, gain = np.zeros((n, k)), np.zeros(n)
         starts, ends, words = bt.spans(data, offsets, ~bt.LETTER)
         if not len(starts) or not k:
-            return out
+            return out, gain
         at, cells = _trigrams(data, offsets)
         ll = np.add.reduceat(self.table[cells], np.searchsorted(at, starts), axis=0)
         top = ll.max(1, keepdims=True)
@@ -87,7 +93,9 @@ class LanguageModel:
             better = value > best
             best, chosen = np.where(better, value, best), np.where(better[:, None], q, chosen)
         out[full] = chosen
-        return out
+        inside = np.add.reduceat(np.ones(len(at)), np.searchsorted(at, starts))
+        gain[full] = np.add.reduceat(np.maximum(top[:, 0] + inside * np.log(CELLS), 0.0), first) - 0.5 * np.log(many + 1.0)
+        return out, gain
 
 
 def fit_languages(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -168,10 +176,11 @@ def identify_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.0) -> DataFrame:
-    """The documents, with all their columns, whose text shows a language with a share of at least ``least``.
+def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", margin: float = 0.0) -> DataFrame:
+    """The documents, with all their columns, in whose text the learned languages can be told.
 
-    The model learns from all rows with a language. Null texts and texts without a letter always go; where nothing
+    A text stays when languages explain it better than the background alone does, by ``margin`` at least and with the penalty of
+    ``LanguageModel.fitted``: one ordinary word does, also beside keys or numbers; long runs of random letters do not. The model learns from all rows with a language. Null texts and texts without a letter always go; where nothing
     was learned, all others stay, as nothing speaks against them.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_languages(docs, F.lit(True), text, lang))
@@ -181,9 +190,9 @@ def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for part in parts:
             column = part.column(names.index(text))
             for row, data, offsets in bt.pieces(column):
-                best = model.value.mixtures(data, offsets).max(1, initial=0.0)
-                texts = column.slice(row, len(best)).to_pylist()
-                keep = [has_letter(t) and (not model.value.langs or b > 0 and b >= least) for b, t in zip(best, texts, strict=True)]
-                yield part.slice(row, len(best)).filter(pa.array(keep, pa.bool_()))
+                gain = model.value.fitted(data, offsets)[1]
+                texts = column.slice(row, len(gain)).to_pylist()
+                keep = [has_letter(t) and (not model.value.langs or bool(g >= margin)) for g, t in zip(gain, texts, strict=True)]
+                yield part.slice(row, len(gain)).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

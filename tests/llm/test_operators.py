@@ -380,4 +380,4 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark, docs, bench, labe
 
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(dict.fromkeys(
-        sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])))) and len(queries.QUERIES) == 10
+        sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])))) and len(queries.QUERIES) == 13

@@ -184,12 +184,55 @@ def test_forest_scores(spark):
 def test_each_of_the_trees_has_a_sample_of_its_own(spark):
     """1000 samples of 256 see nearly every value of a long series; a short series needs one sample."""
     df = noisy(spark, 9000, series=("long",)).unionByName(noisy(spark, 100, series=("short",)))
-    models = {r.g: r for r in iforest.fit_iforest(df, SPEC).select("g", "knots", "heights").collect()}
+    models = {r.g: r for r in iforest.fit_iforest(df, SPEC, most=None).select("g", "knots", "heights").collect()}
     assert len(models["long"].knots) > 8900
     x, height = iforest.expected_path(np.array([r.y for r in df.where("g = 'short'").collect()]))
     assert models["short"].knots == x.tolist() and models["short"].heights == pytest.approx(height.tolist())
 
 
+@pytest.mark.parametrize("mode, most, error", [("exact", iforest.KNOTS, 0.02), ("exact", 300, 0.3), ("sampled", iforest.KNOTS, 0.08), ("sampled", 300, 0.4)])
+def test_a_bounded_forest_is_close_to_the_whole_one(spark, mode, most, error):
+    """At most ``most`` knots; the error kept with the model bounds the distance of all path lengths and scores."""
+    df = noisy(spark, 6000, series=("long",)).unionByName(noisy(spark, 100, series=("short",)))
+    df = df.withColumn("y", F.when(F.col("id") == 5, 400.0).otherwise(F.round("y", 3)))
+    sample = iforest.iforest_sample(df, SPEC, 200, once=mode == "exact")
+    trees = iforest.tree_curves(sample, SPEC, mode)
+    whole, bounded = ({r.g: r for r in iforest.fit_curves(sample, SPEC, mode, most=m).collect()} for m in (None, most))
+    assert trees.select(F.max(F.size("curve.knots"))).first()[0] <= iforest.PSI
+    assert len(whole["long"].knots) > 4000 and len(bounded["long"].knots) <= most and whole["long"].path_error == 0
+    x = np.sort(np.concatenate([np.array(whole["long"].knots), np.linspace(-50, 500, 4000)]))
+    for g in ("long", "short"):
+        a, b = (iforest.interpolated(x, np.array(m[g].knots), np.array(m[g].heights)) for m in (whole, bounded))
+        assert np.abs(a - b).max() <= bounded[g].path_error + 1e-9 <= error
+        scores = [iforest.curve_score(x, np.array(m[g].knots), np.array(m[g].heights), m[g].path_norm) for m in (whole, bounded)]
+        assert np.abs(scores[0] - scores[1]).max() <= np.log(2) * bounded[g].path_error / bounded[g].path_norm + 1e-9
+
+
+def test_the_merged_curve_is_the_mean_of_its_trees(spark, monkeypatch):
+    """Three levels of merging give the plain mean, weighted by trees."""
+    monkeypatch.setattr(iforest, "MERGED", 3)
+    sample = iforest.iforest_sample(noisy(spark, 700, series=("a",)), SPEC, 20)
+    for mode in ("exact", "sampled"):
+        trees = iforest.tree_curves(sample, SPEC, mode).collect()
+        got = iforest.fit_curves(sample, SPEC, mode, most=10**6).first()
+        x = np.linspace(-30, 30, 997)
+        want = np.mean([iforest.interpolated(x, np.array(t.curve.knots), np.array(t.curve.heights)) for t in trees], axis=0)
+        assert iforest.interpolated(x, np.array(got.knots), np.array(got.heights)) == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("groups", [SPEC, ALONE])
+def test_models_too_large_to_send_meet_rows_by_key(spark, monkeypatch, groups):
+    df = noisy(spark, 300)
+    models = iforest.fit_iforest(df, groups, trees=20)
+    sent = iforest.score_iforest(df, models, groups)
+    assert "CoGroup" not in sent._jdf.queryExecution().toString()
+    plain = by_id(sent, "anomaly_score_2")
+    monkeypatch.setattr(iforest, "MODEL_BYTES", 10)
+    met = iforest.score_iforest(df, models, groups)
+    assert "CoGroup" in met._jdf.queryExecution().toString()
+    pd.testing.assert_frame_equal(plain, by_id(met, "anomaly_score_2"))
+
+
 def test_many_rounds_draw_as_few_do(spark, monkeypatch):
     from tidemark.operators import residual_score
 
@@ -204,6 +247,7 @@ def test_hot_series_are_scored_in_slots(spark, monkeypatch):
     models = iforest.fit_iforest(df, SPEC)
     plain = by_id(iforest.predict_iforest(df, models, SPEC), "anomaly_score_2", "ad_label_2")
     monkeypatch.setattr(series, "ROWS_PER_GROUP", 40)
+    monkeypatch.setattr(iforest, "MODEL_BYTES", 10)
     cut = by_id(iforest.predict_iforest(df, models, SPEC), "anomaly_score_2", "ad_label_2")
     pd.testing.assert_frame_equal(plain, cut)
     alone = iforest.fit_iforest(df, ALONE)

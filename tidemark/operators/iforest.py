@@ -9,7 +9,6 @@ real trees. Either way a series ends up with one curve: path length over value.
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,7 @@ from tidemark.operators import series
 from tidemark.operators.residual_score import draw_rounds
 from tidemark.operators.series import (
     HotSeries, exact_percentile, hot_series, join_on, meet, slots_for)
+from tidemark.session import materialize
 from tidemark.spec import SeriesSpec
 
 PSI = 256
@@ -29,6 +29,12 @@ EULER = 0.5772156649
 # Trees of a forest, each on a sample of its own; in mode ``exact`` each one is the
 # mean over infinitely many random trees on its rows.
 TREES = 1000
+#: Knots of a model's curve, as many as eight trees have.
+KNOTS = 8 * PSI
+#: Curves that are merged at a time.
+MERGED = 32
+#: Models of at most so many bytes are sent to every task; larger ones meet the rows by key.
+MODEL_BYTES = 32 << 20
 # Trees of the registered queries whose SQL draws the samples too.
 SUBSAMPLES = 8
 
@@ -108,69 +114,167 @@ def tree_heights(sample: DataFrame, spec: SeriesSpec) -> DataFrame:
     return sample.groupBy(*spec.groups, "tree").applyInPandas(run, schema)
 
 
-def _curves_exact(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    curves = [expected_path(p) for p in parts]
-    knots = np.unique(np.concatenate([x for x, _ in curves]))
-    total = np.zeros(knots.size)
-    for x, height in curves:
-        total += np.interp(knots, x, height)
-    return knots, total / len(curves)
+def interpolated(x: np.ndarray, knots: np.ndarray, heights: np.ndarray) -> np.ndarray:
+    """A curve at ``x``: linear between knots, or a step curve where there is one more height than knots."""
+    if heights.size == knots.size + 1:
+        return heights[np.searchsorted(knots, x, side="left")]
+    return np.interp(x, knots, heights)
 
 
-def _curves_sampled(parts: list[np.ndarray], seeds) -> tuple[np.ndarray, np.ndarray]:
-    trees = [random_tree(p, np.random.default_rng(s)) for p, s in zip(parts, seeds)]
-    base = sum(h[0] for _, h in trees)
-    cuts = np.concatenate([c for c, _ in trees])
-    jumps = np.concatenate([np.diff(h) for _, h in trees])
-    order = np.argsort(cuts, kind="stable")
-    levels = base + np.concatenate([[0.0], np.cumsum(jumps[order])])
-    return cuts[order], levels / len(trees)
+def merged(curves: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of curves (knots, heights, trees), weighted by their trees, at all of their knots."""
+    total = sum(n for _, _, n in curves)
+    if any(h.size == x.size + 1 for x, h, _ in curves):
+        cuts = np.concatenate([x for x, _, _ in curves])
+        jumps = np.concatenate([np.diff(h) * n for _, h, n in curves])
+        order = np.argsort(cuts, kind="stable")
+        steps = np.concatenate([[0.0], np.cumsum(jumps[order])])
+        return cuts[order], (sum(h[0] * n for _, h, n in curves) + steps) / total
+    knots = np.unique(np.concatenate([x for x, _, _ in curves]))
+    return knots, sum(np.interp(knots, x, h) * n for x, h, n in curves) / total
 
 
-def fit_curves(sample: DataFrame, spec: SeriesSpec, mode: str = "exact", seed: int = 42) -> DataFrame:
-    """One row per series: the forest as a curve (``knots``, ``heights``) and the
-    normaliser ``path_norm``. A group holds trees * 256 rows at most."""
-    y, keys = spec.feature, list(spec.groups)
-    schema = T.StructType([sample.schema[g] for g in keys] + [
-        T.StructField("knots", T.ArrayType(T.DoubleType())),
-        T.StructField("heights", T.ArrayType(T.DoubleType())),
-        T.StructField("path_norm", T.DoubleType())])
+def reduced(knots: np.ndarray, heights: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """A curve with at most ``most`` knots, and how far it is from the given one at most.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        parts = {t: v.to_numpy(float) for t, v in part.groupby("tree")[y]}
-        trees = sorted(parts)
-        values = [parts[t] for t in trees]
-        if mode == "exact":
-            knots, heights = _curves_exact(values)
-        else:
-            name = zlib.crc32(repr([part[g].iloc[0] for g in keys]).encode())
-            knots, heights = _curves_sampled(values, [[seed, name, int(t)] for t in trees])
-        row = {g: [part[g].iloc[0]] for g in keys}
-        row |= {"knots": [knots], "heights": [heights],
-                "path_norm": [float(average_path(values[0].size))]}
-        return pd.DataFrame(row)
-
-    # Without groups there is one series, and its sample is the one bounded group.
-    return sample.groupBy(*(keys or [F.lit(0).alias("_one")])).applyInPandas(run, schema)
+    Knots are kept where the curve bends or jumps most; the distance is measured at all knots, where it is largest.
+    """
+    if knots.size <= most:
+        return knots, heights, 0.0
+    if heights.size == knots.size + 1:
+        weight = np.abs(np.diff(heights))
+        weight += (weight.sum() + 1e-300) / weight.size
+        run = np.minimum((np.cumsum(weight) - weight / 2) / weight.sum() * most, most - 1e-9).astype(int)
+        first = np.flatnonzero(np.diff(run, prepend=-1))  # the first cut of each run of cuts stays
+        low, high = (f.reduceat(heights[1:], first) for f in (np.minimum, np.maximum))
+        return knots[first], np.concatenate([heights[:1], (low + high) / 2]), float((high - low).max() / 2)
+    slope = np.diff(heights) / np.diff(knots)
+    width = (knots[2:] - knots[:-2]) / 2
+    bend = np.sqrt(np.abs(np.diff(slope)) * width)
+    weight = np.concatenate([[0.0], bend + (bend.sum() + 1e-300) / bend.size, [0.0]])
+    at = np.searchsorted(np.cumsum(weight), np.linspace(0, weight.sum(), most))
+    kept = np.unique(np.concatenate([[0], np.clip(at, 0, knots.size - 1)[1:-1], [knots.size - 1]]))
+    error = np.abs(np.interp(knots, knots[kept], heights[kept]) - heights).max()
+    return knots[kept], heights[kept], float(error)
+
+
+CURVE = "struct<knots: array<double>, heights: array<double>, trees: int, error: double>"
+
+
+def _series_name(spec: SeriesSpec):
+    return F.to_json(F.struct(*spec.groups), {"ignoreNullFields": "false"}) if spec.groups else F.lit("{}")
+
+
+def tree_curves(sample: DataFrame, spec: SeriesSpec, mode: str = "exact", seed: int = 42) -> DataFrame:
+    """One row per series and tree: ``size`` (rows of the tree's sample) and ``curve``, the path length over the value."""
+    @F.pandas_udf(CURVE)
+    def grow(values: pd.Series, name: pd.Series, tree: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v, n, t in zip(values, name, tree, strict=True):
+            v = np.asarray(v, float)
+            x, height = expected_path(v) if mode == "exact" else random_tree(v, np.random.default_rng([seed, n, t]))
+            rows.append((x, height, 1, 0.0))
+        return pd.DataFrame(rows, columns=["knots", "heights", "trees", "error"])
+
+    rows = sample.groupBy(*spec.groups, "tree").agg(F.collect_list(spec.feature).alias("values"))
+    name = F.crc32(_series_name(spec).cast("binary"))
+    return rows.select(*spec.groups, "tree", F.size("values").alias("size"), grow("values", name, "tree").alias("curve"))
+
+
+def merge_curves(curves: DataFrame, groups, most: int | None = None) -> DataFrame:
+    """One row per group from rows with ``tree`` (a number), ``size`` and ``curve``: ``size`` and the mean ``curve``.
+
+    ``MERGED`` curves at a time are merged, level by level; on the way a curve keeps twice ``most`` knots, so no step sees more than
+    MERGED times as many.
+    """
+    @F.pandas_udf(CURVE)
+    def merge(parts: pd.Series, limit: pd.Series) -> pd.DataFrame:
+        rows = []
+        for some, most in zip(parts, limit, strict=True):
+            some = sorted(some, key=lambda c: c["tree"])
+            each = [(np.asarray(c["curve"]["knots"], float), np.asarray(c["curve"]["heights"], float), c["curve"]["trees"]) for c in some]
+            total = sum(n for _, _, n in each)
+            knots, heights = merged(each)
+            error = sum(c["curve"]["error"] * c["curve"]["trees"] for c in some) / total
+            if most > 0:
+                knots, heights, more = reduced(knots, heights, most)
+                error += more
+            rows.append((knots, heights, total, error))
+        return pd.DataFrame(rows, columns=["knots", "heights", "trees", "error"])
+
+    last = curves.agg(F.max("tree")).first()[0] if most else 0
+    while True:
+        bucket = F.call_function("div", F.col("tree").cast("long"), F.lit(MERGED).cast("long")) if most else F.lit(0).cast("long")
+        packed = curves.select(*groups, bucket.alias("bucket"), "size", F.struct("tree", "curve").alias("part"))
+        curves = packed.groupBy(*groups, "bucket").agg(F.max("size").alias("size"), F.collect_list("part").alias("parts"))
+        last = (last or 0) // MERGED
+        limit = F.lit(0 if not most else 2 * most if last else most)
+        curves = curves.select(*groups, F.col("bucket").alias("tree"), "size", merge("parts", limit).alias("curve"))
+        if not last:
+            return curves.drop("tree")
+
+
+def as_models(curves: DataFrame, groups) -> DataFrame:
+    """The columns of a model: ``knots``, ``heights``, ``path_norm`` and ``path_error``, written once."""
+    n = F.col("size")
+    norm = F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2 * (F.log(n - 1) + EULER) - 2 * (n - 1) / n)
+    return materialize(curves.select(*groups, "curve.knots", "curve.heights", norm.cast("double").alias("path_norm"),
+                                     F.col("curve.error").alias("path_error")), "curves")
+
+
+def fit_curves(sample: DataFrame, spec: SeriesSpec, mode: str = "exact", seed: int = 42, most: int | None = KNOTS) -> DataFrame:
+    """One row per series: the forest as a curve (``knots``, ``heights``), the normaliser ``path_norm``, and ``path_error``, how far
+    its path lengths are from those of the whole forest at most.
+
+    A curve has at most ``most`` knots; None keeps those of all trees.
+    """
+    trees = materialize(tree_curves(sample, spec, mode, seed), "trees")
+    return as_models(merge_curves(trees, spec.groups, most), spec.groups)
 
 
 def curve_score(y: np.ndarray, knots: np.ndarray, heights: np.ndarray, norm: float) -> np.ndarray:
     """``-2 ** (-E[h] / norm)``; linear between knots, or a step curve where there
     is one more height than knots. A missing value is scored as 0."""
-    y = np.where(np.isnan(y), 0.0, y)
-    if heights.size == knots.size + 1:
-        height = heights[np.searchsorted(knots, y, side="left")]
-    else:
-        height = np.interp(y, knots, heights)
+    height = interpolated(np.where(np.isnan(y), 0.0, y), knots, heights)
     return -np.power(2.0, -height / norm) if norm > 0 else np.full(y.shape, -0.5)
 
 
+def _sent(models: DataFrame, spec: SeriesSpec) -> dict[str, tuple] | None:
+    """The models by the name of their series, where their measured size allows it. Read ``models`` from storage."""
+    sizes = models.agg(F.sum(8 * (F.size("knots") + F.size("heights")) + 400).alias("bytes")).first()["bytes"] or 0
+    if sizes > MODEL_BYTES:
+        return None
+    rows = models.select(_series_name(spec).alias("name"), "knots", "heights", "path_norm").collect()
+    return {r["name"]: (np.asarray(r["knots"], float), np.asarray(r["heights"], float), r["path_norm"]) for r in rows}
+
+
 def score_iforest(df: DataFrame, curves: DataFrame, spec: SeriesSpec, name: str = "anomaly_score_2",
                   hot: HotSeries | None = None) -> DataFrame:
     """Add the score of every row; series without a curve get NULL.
 
-    Rows meet their series' curve in groups of bounded size.
+    Models that are small by measure are sent to the tasks and looked up in place, so rows do not move and only the
+    feature and the series' name reach Python. Larger tables of models meet the rows by key in groups of bounded size.
     """
+    sent = _sent(curves, spec)
+    if sent is None:
+        return _score_by_key(df, curves, spec, name, hot)
+    shared = df.sparkSession.sparkContext.broadcast(sent)
+
+    @F.pandas_udf("double")
+    def look_up(value: pd.Series, names: pd.Series) -> pd.Series:
+        out = np.full(len(value), np.nan)
+        code, series_names = pd.factorize(names)
+        for k, one in enumerate(series_names):
+            if one in shared.value:
+                mine = code == k
+                out[mine] = curve_score(value.to_numpy(float)[mine], *shared.value[one])
+        return pd.Series(out)
+
+    score = look_up(F.col(spec.feature).cast("double"), _series_name(spec))
+    return df.withColumn(name, score).withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
+
+
+def _score_by_key(df: DataFrame, curves: DataFrame, spec: SeriesSpec, name: str, hot: HotSeries | None) -> DataFrame:
     y, keys = spec.feature, list(spec.groups)
     hot = hot or hot_series(df, spec, series.ROWS_PER_GROUP)
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.DoubleType())])
@@ -208,11 +312,11 @@ def label_iforest(score, threshold):
 
 def fit_iforest(df: DataFrame, spec: SeriesSpec, contamination: float = 0.01,
                 trees: int | None = None, mode: str = "exact", seed: int = 42,
-                hot: HotSeries | None = None) -> DataFrame:
-    """Model rows: groups, ``knots``, ``heights``, ``path_norm``, ``threshold``."""
+                hot: HotSeries | None = None, most: int | None = KNOTS) -> DataFrame:
+    """Model rows: groups, ``knots``, ``heights``, ``path_norm``, ``path_error``, ``threshold``."""
     trees = trees or TREES
     hot = hot or hot_series(df, spec, series.ROWS_PER_GROUP)
-    curves = fit_curves(iforest_sample(df, spec, trees, PSI, seed, mode == "exact"), spec, mode, seed)
+    curves = fit_curves(iforest_sample(df, spec, trees, PSI, seed, mode == "exact"), spec, mode, seed, most)
     scored = score_iforest(df.select(*spec.groups, *spec.order, spec.feature), curves, spec, hot=hot)
     limits = contamination_threshold(scored, spec, contamination, hot=hot)
     return join_on(curves, limits, spec.groups)

@@ -7,15 +7,12 @@ Beta distribution, whose quantile is the score.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.functions.kernels import beta_ppf, beta_quantile, t_critical, t_two_sided
+from tidemark.functions.kernels import beta_quantile, t_critical, t_two_sided
 from tidemark.functions.sampling import DRAW_RANGE, add_hashes, draw, enough, rounds_within, smallest
-from tidemark.operators.series import attach_stats, join_on, meet, slots_for
+from tidemark.operators.series import attach_stats, join_on
 from tidemark.spec import SeriesSpec
 
 # Rounds, confidence level, pool size, and label limits of the score.
@@ -93,18 +90,25 @@ def residual_rounds(df: DataFrame, spec: SeriesSpec, residual: str = "residuals"
             .withColumns({"round_range": width, "round_mean": mean}).drop("_avg"))
 
 
-def fold_rounds(value: np.ndarray, rounds: pd.DataFrame, size: int, carry: bool):
-    """Beta parameters of many values of one series over its rounds."""
-    a, b = np.ones(value.size, dtype="int64"), np.ones(value.size, dtype="int64")
-    share = np.ones(value.size)
-    for r in rounds.sort_values("round").itertuples():
-        inside = (value > r.round_min) & (value < r.round_max)
-        at = (value - r.round_min) / (r.round_range or 1.0)
-        moved = np.where(at < r.round_mean, at + 0.5, at)
-        share = np.where(inside, moved, share if carry else 1.0)
-        b += np.trunc(size * share).astype("int64")
-        a += np.trunc(size * (1 - share)).astype("int64")
-    return a, b
+def fold_rounds(value: Column, rounds: Column, size: Column, carry: bool) -> Column:
+    """Beta parameters (struct ``a``, ``b``) of a value over the rounds of its series, an array in their order."""
+    one = F.lit(1).cast("long")
+    start = F.struct(one.alias("a"), one.alias("b"), F.lit(1.0).alias("share"))
+
+    def step(state: Column, r: Column) -> Column:
+        inside = (value > r["round_min"]) & (value < r["round_max"])
+        at = (value - r["round_min"]) / F.when(r["round_range"] == 0, 1.0).otherwise(r["round_range"])
+        moved = F.when(at < r["round_mean"], at + 0.5).otherwise(at)
+        return F.struct(state["a"], state["b"], F.when(inside, moved).otherwise(state["share"] if carry else F.lit(1.0)).alias("share"))
+
+    def count(state: Column) -> Column:
+        share = state["share"]
+        return F.struct((state["a"] + (size * (1 - share)).cast("long")).alias("a"), (state["b"] + (size * share).cast("long")).alias("b"),
+                        share.alias("share"))
+
+    # The share is bound first, as both sums use it.
+    return F.aggregate(rounds, start, lambda s, r: F.get(F.transform(F.array(step(s, r)), count), F.lit(0)),
+                       lambda s: F.struct(s["a"], s["b"]))
 
 
 def beta_params(df: DataFrame, rounds: DataFrame, sizes: DataFrame, spec: SeriesSpec,
@@ -112,31 +116,19 @@ def beta_params(df: DataFrame, rounds: DataFrame, sizes: DataFrame, spec: Series
     """Add ``p``, ``a`` and ``b`` of each residual, and the quantile as ``score``.
 
     Rounds run in order. A value outside a round's range keeps the share of the
-    round before (``carry``), which starts at 1. Rows meet their series' rounds in
-    groups of bounded size, where each round is folded over all values at once.
+    round before (``carry``), which starts at 1. The rounds of a series are one array column, joined by measured size
+    and folded in place; rows of a series without rounds are left out.
     """
     if "scaled" not in df.columns:
         df = scaled_residual(df, spec, residual)
     p = F.when(F.col(residual) < F.col("mean_scaled"), F.col("scaled") + 0.5).otherwise(F.col("scaled"))
     df = df.withColumn("p", p).drop("scaled", "mean_scaled")
-    added = [T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]
-    if score:
-        added.append(T.StructField(score, T.DoubleType()))
-    schema = T.StructType(df.schema.fields + added)
-
-    def run(rows: pd.DataFrame, summary: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) == 0 or len(summary) == 0:
-            return rows.head(0).reindex(columns=schema.names)
-        size = int(summary["sample_size"].iloc[0])
-        a, b = fold_rounds(rows[residual].to_numpy(float), summary, size, carry)
-        out = rows.assign(a=a, b=b)
-        return out.assign(**{score: beta_ppf(rows["p"].to_numpy(float), a, b)}) if score else out
-
-    slots = sizes.select(*spec.groups, slots_for(F.col("rows")).alias("_slots"))
-    side = join_on(rounds, sizes.select(*spec.groups, "sample_size", slots_for(F.col("rows")).alias("_slots")),
-                   spec.groups)
-    out = meet(join_on(df, slots, spec.groups), side, spec, schema, run)
-    return out.withColumn(score, F.nanvl(score, F.lit(None).cast("double"))) if score else out
+    each = F.array_sort(F.collect_list(F.struct("round", "round_min", "round_max", "round_range", "round_mean")))
+    side = join_on(rounds.groupBy(*spec.groups).agg(each.alias("_rounds")), sizes.select(*spec.groups, "sample_size"), spec.groups)
+    out = join_on(df, side, spec.groups)
+    out = out.withColumn("_ab", fold_rounds(F.col(residual), F.col("_rounds"), F.col("sample_size"), carry))
+    out = out.withColumns({"a": F.col("_ab.a"), "b": F.col("_ab.b")}).drop("_ab", "_rounds", "sample_size")
+    return out.withColumn(score, beta_quantile("p", F.col("a"), F.col("b"))) if score else out
 
 
 def label_two_tail(score: Column) -> Column:

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.sampling import add_hashes, draw
 from tidemark.operators.forecast import (
     ForecastParams, is_normalized, lag_frame, min_rows_gate, minmax_scale, normal_sums, solve_sums)
-from tidemark.operators.iforest import fit_curves, iforest_sample, score_iforest
+from tidemark.operators.iforest import KNOTS, as_models, iforest_sample, merge_curves, score_iforest, tree_curves
 from tidemark.operators.residual_score import mean_ci_inlier
 from tidemark.operators.series import (
     ROWS_PER_GROUP, HotSeries, exact_percentiles, hot_series, join_on, with_position)
 from tidemark.operators.trend import (
     TrendParams, days_since, fit_trend, fit_trend_grid, mape, segment_of, trend_band)
+from tidemark.session import materialize
 from tidemark.spec import SeriesSpec
 
 # Default parameters of the detectors, and the ranges that are tuned.
@@ -154,10 +155,15 @@ def objective_iforest(df: DataFrame, spec: SeriesSpec, grid: DataFrame, seed: in
     per_size = {n: max(1, n // trees_per_subsample) for n in trees}
 
     sample = iforest_sample(df, spec, max(per_size.values()), seed=seed, once=True)
-    wanted = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in per_size.items()])
-    sizes = F.transform(F.filter(wanted, lambda w: w["k"] > F.col("tree")), lambda w: w["n"])
+    # Each tree is fitted once. Trees between two sizes are merged first; a forest is the mean of all such merged curves up to its size.
     by_trees = spec.with_groups([*spec.groups, "num_of_trees"])
-    curves = fit_curves(sample.withColumn("num_of_trees", F.explode(sizes)), by_trees)
+    wanted = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in per_size.items()])
+    between = F.size(F.filter(wanted, lambda w: w["k"] <= F.col("_number")))
+    fitted = materialize(tree_curves(sample, spec), "trees").withColumnRenamed("tree", "_number").withColumn("_class", between)
+    classes = merge_curves(fitted.withColumnRenamed("_number", "tree"), [*spec.groups, "_class"], KNOTS)
+    sizes = F.transform(F.slice(wanted, F.col("_class") + 1, F.lit(len(trees))), lambda w: w["n"])
+    curves = classes.withColumn("num_of_trees", F.explode(sizes)).withColumnRenamed("_class", "tree")
+    curves = as_models(merge_curves(curves, by_trees.groups, KNOTS), by_trees.groups)
 
     hot = hot_series(df, spec, ROWS_PER_GROUP) if hot is None else hot
     flagged = mean_ci_inlier(df, spec).select(*spec.groups, *spec.order, spec.feature,

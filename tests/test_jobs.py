@@ -164,3 +164,55 @@ def test_tune(spark, tmp_path):
     assert len(kept) == 2 and (kept.combo_id_x == kept.combo_id_y).all()
     half = jobs.tune(df, SPEC, "lstm", implicit=True).toPandas()
     assert set(half.g) == {"a", "b"} and (half.error < 1e-9).all()
+
+
+def test_training_tunes_once_and_uses_what_it_finds(spark, tmp_path, monkeypatch):
+    """The first training saves parameters of every series; the next leaves them, and adds those of a new series."""
+    from tidemark.operators import tuning
+
+    df, _ = spiked(spark)
+    path = str(tmp_path)
+    small = {"iso_f": {"contamination": "0.05*0.25", "num_of_trees": "4*12"}, "lstm": {"batch_size": "8*24"},
+             "prophet": {"interval_width": "0.5*0.95*0.2", "n_changepoints": "3*9"}}
+    monkeypatch.setattr(tuning, "RANGES", small)
+    first = replace(SETTINGS, tune_first=True, trees=8)
+    jobs.train(df, SPEC, path, first)
+    tuned = {m: {r.g: r for r in store.load_models(spark, f"{path}/params", m).collect()} for m in tuning.DEFAULTS}
+    assert all(sorted(t) == ["a", "b"] for t in tuned.values())
+    assert {r.num_of_trees for r in tuned["iso_f"].values()} <= {4, 8}
+    models = {r.g: r for r in store.load_models(spark, f"{path}/models", "prophet").collect()}
+    assert all(models[g].interval_width == tuned["prophet"][g].interval_width for g in "ab")
+    assert all(len(models[g].knot_days) == tuned["prophet"][g].n_changepoints for g in "ab")
+    more = df.unionByName(df.where("g = 'a'").withColumns({"g": F.lit("c"), "id": F.col("id") + 5000}))
+    jobs.train(more, SPEC, path, first)
+    again = {r.g: r for r in store.load_models(spark, f"{path}/params", "iso_f").collect()}
+    assert sorted(again) == ["a", "b", "c"] and all(again[g].combo_id == tuned["iso_f"][g].combo_id for g in "ab")
+
+
+def test_series_have_parameters_of_their_own(spark, tmp_path):
+    df, _ = spiked(spark)
+    path = str(tmp_path)
+    forest = spark.createDataFrame([("a", 0.2, 3), ("b", 0.05, None)], "g string, contamination double, num_of_trees int")
+    band = spark.createDataFrame([("a", 0.1, 0.1, 5), ("b", None, 0.4, 9)], "g string, interval_width double, changepoint_range double, n_changepoints int")
+    lstm = spark.createDataFrame([("a", 400), ("b", 8)], "g string, batch_size int")
+    for name, table in (("iso_f", forest), ("prophet", band), ("lstm", lstm)):
+        store.save_models(table, f"{path}/params", name)
+    settings = replace(SETTINGS, trees=6)
+    jobs.train(df, SPEC, path, settings)
+    found = {m: {r.g: r for r in store.load_models(spark, f"{path}/models", m).collect()} for m in tuned_names()}
+    assert sorted(found["lstm"]) == ["b"]  # 480 rows are fewer than two batches of 400
+    assert [len(found["prophet"][g].knot_days) for g in "ab"] == [5, 9]
+    assert [found["prophet"][g].interval_width for g in "ab"] == [0.1, 0.95]
+    out = by_id(jobs.predict(df, SPEC, path, settings), "g", *COLUMNS)
+    flagged = out.groupby("g").ad_label_2.mean()
+    assert flagged["a"] > 0.12 and flagged["b"] < 0.12
+    assert out[out.g == "a"].ad_label_3.mean() > 0.3 > out[out.g == "b"].ad_label_3.mean()
+    # A series' model is that of a job with its parameters for all.
+    alone = jobs.JobSettings(time_parts=False, trees=3, contamination=0.2, trend=TrendParams(kind="piecewise", n_changepoints=5))
+    jobs.train(df, SPEC, f"{path}/alone", alone)
+    want = {r.g: r for r in store.load_models(spark, f"{path}/alone/models", "iso_f").collect()}["a"]
+    assert found["iso_f"]["a"].threshold == pytest.approx(want.threshold) and found["iso_f"]["a"].knots == want.knots
+
+
+def tuned_names():
+    return ("lstm", "iso_f", "prophet")

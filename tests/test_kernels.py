@@ -45,3 +45,20 @@ def test_student_t_quantile_of_many_degrees():
         assert np.allclose(kernels.t_ppf(np.array([0.975, 0.025]), df), [1.959963985, -1.959963985], rtol=3e-6)
     edge = kernels.t_ppf(np.array([0.975]), 1e5), kernels.t_ppf(np.array([0.975]), 1.0001e5)
     assert abs(edge[0] - edge[1])[0] < 1e-8
+
+
+def test_student_t_tail_of_many_degrees():
+    """Next to the normal tail, from any number of degrees on; the two ways meet at the limit."""
+    for df in (1e9, 1e10, 1e12, 1e15):
+        assert kernels.t_sf(np.array([0.01, -0.01, 0.0, 2.0]), df) == pytest.approx([0.4960106437, 0.5039893563, 0.5, 0.0227501319], abs=1e-9)
+    t = np.array([0.01, 0.7, 3.0, 12.0, 29.9, 30.1, 200.0])
+    few, many = kernels.t_sf(t, kernels.MANY), kernels.t_sf(t, kernels.MANY * (1 + 1e-9))
+    assert many == pytest.approx(few, rel=1e-6) and np.isnan(kernels.t_sf(np.array([np.nan]), 1e9)).all()
+
+
+def test_limits_are_loud(monkeypatch):
+    big = kernels.betainc(np.array([3e9]), np.array([5e9]), np.array([0.375]))
+    assert big[0] == pytest.approx(0.5, abs=1e-4)
+    monkeypatch.setattr(kernels, "betainc", lambda a, b, x: np.full_like(x, np.nan))
+    with pytest.raises(ArithmeticError):
+        kernels.beta_ppf(0.3, 2.0, 3.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import EVENTS, SQL_NULLS, events_nulls, query, r, sql_t_quantile, sr
-from tidemark.catalog.detectors import sql_scores
+from tidemark.catalog.detectors import sql_scores, sql_tree_scores
 from tidemark.catalog.tables import SQL_FILLED, SQL_LINE, SQL_SPLIT
 from tidemark.functions.kernels import z_quantile
 from tidemark.operators.clean import fill_previous
@@ -98,6 +98,30 @@ def x1l(spark, sf):
                          r("sigma").alias("sigma"), r("threshold").alias("threshold"))
 
 
+@query("x1_train_tuned", f"""{SQL_LINE.format(rows=SQL_FILLED)}, filled AS (SELECT * FROM {SQL_FILLED}),
+ past AS (SELECT * FROM filled WHERE ts < {SQL_SPLIT}), {sql_tree_scores(SUBSAMPLES, 'past', 'filled')},
+ params AS (SELECT event_type, count(*) % 5 AS k, count(*) % 2 AS odd FROM events GROUP BY 1),
+ mean_height AS (SELECT event_id, event_type, k, avg(height) AS height FROM per_tree JOIN params USING (event_type) WHERE tree < 4 + k GROUP BY ALL),
+ scores AS (SELECT event_id, event_type, k, -pow(2.0, -height / c) AS score FROM mean_height JOIN norm USING (event_type)),
+ limits AS (SELECT event_type, quantile_cont(score, [0.01, 0.02, 0.03, 0.04, 0.05])[1 + k] AS threshold FROM scores SEMI JOIN past USING (event_id) GROUP BY event_type, k)
+ SELECT event_type, 'iso_f' AS model, NULL::DOUBLE AS sigma, {sr('threshold')} AS threshold, NULL::DOUBLE AS interval_width FROM limits
+ UNION ALL SELECT event_type, 'prophet', {sr('sigma')}, NULL, CASE WHEN odd = 1 THEN 0.9 ELSE 0.95 END FROM m JOIN params USING (event_type)""")
+def x1t(spark, sf):
+    """Each series is fitted with parameters of its own: contamination, number of trees and width of the band."""
+    path, df = scratch_path(spark, "run"), events_nulls(spark, sf)
+    rows = df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    forest = rows.select("event_type", F.round((F.col("n") % 5 + 1) * 0.01, 9).alias("contamination"), (F.col("n") % 5 + 4).cast("int").alias("num_of_trees"),
+                         F.lit(0.8).alias("split_ratio"))
+    band = rows.select("event_type", F.when(F.col("n") % 2 == 1, 0.9).otherwise(0.95).alias("interval_width"), F.lit(0.1).alias("changepoint_range"),
+                       F.lit(50).alias("n_changepoints"))
+    store.save_models(forest, f"{path}/params", "iso_f")
+    store.save_models(band, f"{path}/params", "prophet")
+    jobs.train(df, EVENTS, path, LINEAR)
+    models = store.load_models(spark, f"{path}/models").where("model <> 'lstm'")
+    return models.select("event_type", F.col("model").cast("string").alias("model"), r("sigma").alias("sigma"), r("threshold").alias("threshold"),
+                         r("interval_width").alias("interval_width"))
+
+
 @query("x2_predict_linear", _LABELLED)
 def x2l(spark, sf):
     path, df = scratch_path(spark, "run"), events_nulls(spark, sf)
@@ -129,6 +153,14 @@ def x4a(spark, sf):
     return _rows(jobs.detect(events_nulls(spark, sf).withColumn("event_type", some), EVENTS, LINEAR))
 
 
+@query("x4_detect_repeated_rows", f"""SELECT event_id, user_id, event_type, {sr('value')} AS value, 1 AS scored, 1 AS predicted_label
+ FROM (SELECT *, unnest(range(CASE WHEN event_id % 10 = 0 THEN 3 ELSE 1 END)) AS time FROM {SQL_NULLS}) WHERE ts >= {SQL_SPLIT}""")
+def x4d(spark, sf):
+    """Rows that are there three times come back three times."""
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("event_id") % 10 == 0, 3).otherwise(1)))
+    return _rows(jobs.detect(events_nulls(spark, sf).withColumn("_time", times).drop("_time"), EVENTS, LINEAR))
+
+
 @query("x2_predict_new_rows", f"""SELECT event_id, user_id, event_type, {sr('value')} AS value, 1 AS scored, 1 AS predicted_label
  FROM {SQL_NULLS}""")
 def x2n(spark, sf):

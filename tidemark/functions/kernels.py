@@ -7,6 +7,7 @@ scored row (beta score).
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import numpy as np
@@ -44,9 +45,11 @@ def _fraction(a, b, x):
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    m = 0
+    m, most = 0, 20_000 + 100 * np.sqrt(max(a.max(initial=0), b.max(initial=0)))  # some root of the larger parameter is needed
     while live.size:
         m += 1
+        if m > most:
+            raise ArithmeticError(f"the incomplete beta function did not converge in {m} terms")
         for odd in (False, True):
             if odd:
                 num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
@@ -58,7 +61,7 @@ def _fraction(a, b, x):
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = d * c
             h = h * step
-        done = (np.abs(step - 1.0) < 1e-15) | (m >= 20000)
+        done = np.abs(step - 1.0) < 4e-16 * (1 + m**0.5)
         if done.any():
             out[live[done]] = h[done]
             keep = ~done
@@ -121,7 +124,7 @@ def beta_ppf(p, a, b):
     log_beta = gammaln(a) + gammaln(b) - gammaln(a + b)
     lo, hi = np.zeros_like(p), np.ones_like(p)
     x = _first_guess(p, a, b)
-    for _ in range(200):
+    for _ in range(1200):  # enough to halve the bracket down to the smallest number
         err = betainc(a, b, x) - p
         hi = np.where(err > 0, x, hi)
         lo = np.where(err <= 0, x, lo)
@@ -142,14 +145,26 @@ def beta_ppf(p, a, b):
                 v[keep] for v in (live, p, a, b, lo, hi, x, log_beta))
             if live.size == 0:
                 return out
-    out[live] = x
-    return out
+    raise ArithmeticError("a quantile of the Beta distribution was not found")
+
+
+#: Beyond so many degrees of freedom Student's t goes by its expansion around the normal distribution.
+MANY = 1e5
 
 
 def t_sf(t, df):
     """P(T > t) for Student's t."""
     t, df = (v.astype(float).ravel() for v in np.broadcast_arrays(t, df))
-    tail = 0.5 * betainc(df / 2, np.full_like(df, 0.5), df / (df + t * t))
+    many = df > MANY
+    few = np.where(many, MANY, df)
+    tail = 0.5 * betainc(few / 2, np.full_like(few, 0.5), few / (few + t * t))
+    if many.any():
+        x, n = np.abs(t[many]), df[many]
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = x - (x**3 + x) / (4 * n) + (13 * x**5 + 8 * x**3 + 3 * x) / (96 * n * n)
+            far = (8 * n + 1) / (8 * n + 3) * np.sqrt(n * np.log1p(x * x / n))
+            z = np.where(x < 30, near, far)
+        tail[many] = [0.5 * math.erfc(v / math.sqrt(2)) for v in z]
     return np.where(t >= 0, tail, 1 - tail)
 
 
@@ -163,7 +178,7 @@ def t_ppf(q, df):
         # For many degrees of freedom x is next to 1 and its digits are lost; the expansion in 1 / df is exact to 1e-15 there.
         z = np.abs(np.array([NormalDist().inv_cdf(v) if 0 < v < 1 else np.nan for v in tail]))
         near = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df * df)
-    size = np.where((df > 1e5) & np.isfinite(near), near, size)
+    size = np.where((df > MANY) & np.isfinite(near), near, size)
     return np.where(q > 0.5, size, -size)
 
 

@@ -149,10 +149,14 @@ def holdout_split(df: DataFrame, spec: SeriesSpec, p: ForecastParams = ForecastP
     return kept.withColumn("is_holdout", flag)
 
 
-def min_rows_gate(df: DataFrame, spec: SeriesSpec, batch_size: int = 16) -> DataFrame:
-    """Series with more than two batches of rows; others are not trained."""
+def min_rows_gate(df: DataFrame, spec: SeriesSpec, batch_size: int = 16, params: DataFrame | None = None) -> DataFrame:
+    """Series with more than two batches of rows; others are not trained. ``params`` may have per series its own ``batch_size``."""
+    batch = F.lit(batch_size)
     counted = attach_stats(df, spec.groups, F.count(F.lit(1)).alias("_rows"))
-    return counted.where(F.col("_rows") > 2 * batch_size).drop("_rows")
+    if params is not None:
+        counted = join_on(counted, params.select(*spec.groups, F.col("batch_size").alias("_batch")), spec.groups, "left")
+        batch = F.coalesce(F.col("_batch"), batch)
+    return counted.where(F.col("_rows") > 2 * batch).drop("_rows", "_batch")
 
 
 def normal_sums(frame: DataFrame, groups, lag: int) -> DataFrame:
@@ -199,11 +203,11 @@ def solve_sums(sums: DataFrame, groups, lag: int) -> DataFrame:
 
 
 def fit_forecaster(df: DataFrame, spec: SeriesSpec, p: ForecastParams = ForecastParams(),
-                   normalized: bool | None = None, hot: HotSeries | None = None) -> DataFrame:
+                   normalized: bool | None = None, hot: HotSeries | None = None, params: DataFrame | None = None) -> DataFrame:
     """Model rows: groups, ``intercept``, ``coefficients``, ``scale_min``, ``scale_max``."""
     if normalized is None:
         normalized = is_normalized(df, spec.feature).first()["normalized"]
-    df = min_rows_gate(df, spec, p.batch_size)
+    df = min_rows_gate(df, spec, p.batch_size, params)
     bounds = scale_bounds(df, spec, normalized)
     value = spec.feature + "_norm"
     frame = lag_frame(scale(df, bounds, spec, value), spec, value, p, hot)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tidemark.operators import series
 from tidemark.operators.residual_score import draw_rounds
 from tidemark.operators.series import (
-    HotSeries, exact_percentile, hot_series, join_on, meet, slots_for)
+    HotSeries, exact_percentile, exact_percentiles, hot_series, join_on, meet, slots_for)
 from tidemark.session import materialize
 from tidemark.spec import SeriesSpec
 
@@ -33,6 +33,8 @@ TREES = 1000
 KNOTS = 8 * PSI
 #: Curves that are merged at a time.
 MERGED = 32
+#: Different contaminations that the series of one fit may have.
+MOST_SHARES = 1000
 #: Models of at most so many bytes are sent to every task; larger ones meet the rows by key.
 MODEL_BYTES = 32 << 20
 # Trees of the registered queries whose SQL draws the samples too.
@@ -86,16 +88,21 @@ def random_tree(values: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
 
 
 def iforest_sample(df: DataFrame, spec: SeriesSpec, trees: int = TREES, psi: int = PSI,
-                   seed: int = 42, once: bool = False) -> DataFrame:
+                   seed: int = 42, once: bool = False, params: DataFrame | None = None) -> DataFrame:
     """Rows (groups, ``tree``, feature): up to ``psi`` random rows per series and tree.
 
-    With ``once``, series of ``psi`` rows or less have tree 0 only, as all their samples are the same.
+    With ``once``, series of ``psi`` rows or less have tree 0 only, as all their samples are the same. ``params`` may have
+    per series its own ``num_of_trees``.
     """
     known = df.where(F.col(spec.feature).isNotNull())
     sizes = known.groupBy(*spec.groups).agg(F.count(F.lit(1)).alias("known"))
     sizes = sizes.withColumn("sample_size", F.least(F.lit(psi), F.col("known")).cast("long"))
-    if once:
-        sizes = sizes.withColumn("rounds", F.when(F.col("known") <= psi, 1).otherwise(trees))
+    own = F.lit(trees)
+    if params is not None:
+        sizes = join_on(sizes, params.select(*spec.groups, F.col("num_of_trees").alias("_trees")), spec.groups, "left")
+        own = F.coalesce(F.col("_trees"), own)
+        trees = max(trees, params.agg(F.max("num_of_trees")).first()[0] or 0)
+    sizes = sizes.withColumn("rounds", F.when(F.lit(once) & (F.col("known") <= psi), 1).otherwise(own)).drop("_trees")
     drawn = draw_rounds(known, sizes, spec, trees, spec.feature, seed)
     return drawn.withColumnRenamed("round", "tree")
 
@@ -312,14 +319,26 @@ def label_iforest(score, threshold):
 
 def fit_iforest(df: DataFrame, spec: SeriesSpec, contamination: float = 0.01,
                 trees: int | None = None, mode: str = "exact", seed: int = 42,
-                hot: HotSeries | None = None, most: int | None = KNOTS) -> DataFrame:
-    """Model rows: groups, ``knots``, ``heights``, ``path_norm``, ``path_error``, ``threshold``."""
+                hot: HotSeries | None = None, most: int | None = KNOTS, params: DataFrame | None = None) -> DataFrame:
+    """Model rows: groups, ``knots``, ``heights``, ``path_norm``, ``path_error``, ``threshold``.
+
+    ``params`` has per series ``contamination`` and ``num_of_trees``; a series without them, or a null, has the arguments' values.
+    """
     trees = trees or TREES
     hot = hot or hot_series(df, spec, series.ROWS_PER_GROUP)
-    curves = fit_curves(iforest_sample(df, spec, trees, PSI, seed, mode == "exact"), spec, mode, seed, most)
+    curves = fit_curves(iforest_sample(df, spec, trees, PSI, seed, mode == "exact", params), spec, mode, seed, most)
     scored = score_iforest(df.select(*spec.groups, *spec.order, spec.feature), curves, spec, hot=hot)
-    limits = contamination_threshold(scored, spec, contamination, hot=hot)
-    return join_on(curves, limits, spec.groups)
+    if params is None:
+        return join_on(curves, contamination_threshold(scored, spec, contamination, hot=hot), spec.groups)
+    shares = params.select(*spec.groups, F.coalesce("contamination", F.lit(contamination)).alias("_share"))
+    # The shares that occur are few: they come from a grid.
+    levels = sorted({r["_share"] for r in shares.select("_share").distinct().limit(MOST_SHARES + 1).collect()} | {contamination})
+    if len(levels) > MOST_SHARES:
+        raise ValueError(f"more than {MOST_SHARES} different contaminations")
+    limits = exact_percentiles(scored, spec.groups, "anomaly_score_2", levels, "_limits", hot)
+    limits = join_on(limits, shares, spec.groups, "left")
+    own = F.array_position(F.array(*[F.lit(x) for x in levels]), F.coalesce("_share", F.lit(contamination)))
+    return join_on(curves, limits.select(*spec.groups, F.get("_limits", own.cast("int") - 1).alias("threshold")), spec.groups)
 
 
 def predict_iforest(df: DataFrame, models: DataFrame, spec: SeriesSpec,

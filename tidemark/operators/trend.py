@@ -21,6 +21,10 @@ from tidemark.operators.series import HotSeries, join_on, position_in, with_posi
 from tidemark.spec import SeriesSpec
 
 
+#: Different interval widths that the models of one table may have.
+MOST_WIDTHS = 100
+
+
 @dataclass(frozen=True)
 class TrendParams:
     interval_width: float = 0.95
@@ -45,17 +49,27 @@ def days_since(time: Column | str, start: Column) -> Column:
 
 
 def changepoint_grid(df: DataFrame, spec: SeriesSpec, p: TrendParams = TrendParams(),
-                     hot: HotSeries | None = None) -> DataFrame:
+                     hot: HotSeries | None = None, params: DataFrame | None = None) -> DataFrame:
     """Rows (groups, ``knot``, ``ds``): knots at evenly spaced rows of the first
-    share of the history; fewer where the history is short."""
+    share of the history; fewer where the history is short. ``params`` may have per series
+    its own ``changepoint_range`` and ``n_changepoints``."""
     placed = with_position(to_ds_y(df.select(*spec.groups, *spec.order, spec.feature), spec), spec, hot)
+    if params is not None:
+        own = params.select(*spec.groups, F.col("changepoint_range").alias("_range"), F.col("n_changepoints").alias("_most"))
+        placed = join_on(placed, own, spec.groups, "left")
     return knots_of(placed, p).select(*spec.groups, "knot", "ds")
 
 
 def knots_of(placed: DataFrame, p: TrendParams) -> DataFrame:
-    """The rows (with ``pos`` and ``n``) that are knots, and their ``knot`` number."""
-    early = F.floor(F.col("n") * p.changepoint_range)
-    count = F.when(early <= p.n_changepoints, early - 1).otherwise(F.lit(p.n_changepoints))
+    """The rows (with ``pos`` and ``n``) that are knots, and their ``knot`` number.
+
+    Columns ``_range`` and ``_most``, if there, hold the series' own parameters.
+    """
+    share, most = F.lit(p.changepoint_range), F.lit(p.n_changepoints)
+    if "_range" in placed.columns:
+        share, most = F.coalesce("_range", share), F.coalesce("_most", most)
+    early = F.floor(F.col("n") * share)
+    count = F.when(early <= most, early - 1).otherwise(most)
     first = placed.where(F.col("pos") <= early).withColumns({"_early": early, "_count": count})
     # Knot j sits at row round(j * (early - 1) / count); a row can be hit at most
     # once, by the j next to its own position.
@@ -177,12 +191,12 @@ def hinge_fit(part: pd.DataFrame, knots: np.ndarray, p: TrendParams, center: flo
 
 
 def fit_piecewise(df: DataFrame, spec: SeriesSpec, p: TrendParams = TrendParams(),
-                  hot: HotSeries | None = None) -> DataFrame:
+                  hot: HotSeries | None = None, params: DataFrame | None = None) -> DataFrame:
     """Model rows: groups, ``start``, ``knot_days``, ``slopes`` (base slope, then the
     change at each knot), ``intercept``, ``sigma``."""
     known = df.where(F.col(spec.feature).isNotNull())
     starts = known.groupBy(*spec.groups).agg(F.min(spec.time).alias("start"), F.avg(spec.feature).alias("center"))
-    grid = changepoint_grid(known, spec, p, hot)
+    grid = changepoint_grid(known, spec, p, hot, params)
     grid = join_on(grid, starts, spec.groups)
     days = F.sort_array(F.collect_set(days_since("ds", F.col("start"))))
     found = grid.groupBy(*spec.groups).agg(days.alias("knot_days"))
@@ -211,13 +225,32 @@ def fit_piecewise(df: DataFrame, spec: SeriesSpec, p: TrendParams = TrendParams(
 
 
 def fit_trend(df: DataFrame, spec: SeriesSpec, p: TrendParams = TrendParams(),
-              hot: HotSeries | None = None) -> DataFrame:
-    """Trend models of one shape for both kinds: a line has no knots."""
+              hot: HotSeries | None = None, params: DataFrame | None = None) -> DataFrame:
+    """Trend models of one shape for both kinds: a line has no knots.
+
+    ``params`` has per series ``changepoint_range``, ``n_changepoints`` and ``interval_width``; a series without them, or a null,
+    has those of ``p``. The width stays with the model.
+    """
     if p.kind == "piecewise":
-        return fit_piecewise(df, spec, p, hot)
-    line = fit_linear(df, spec)
-    return (line.withColumn("knot_days", F.array().cast("array<double>"))
-            .withColumn("slopes", F.array("slope")).drop("slope"))
+        out = fit_piecewise(df, spec, p, hot, params)
+    else:
+        out = fit_linear(df, spec).withColumn("knot_days", F.array().cast("array<double>"))
+        out = out.withColumn("slopes", F.array("slope")).drop("slope")
+    if params is None:
+        return out
+    out = join_on(out, params.select(*spec.groups, "interval_width"), spec.groups, "left")
+    return out.withColumn("interval_width", F.coalesce("interval_width", F.lit(p.interval_width)))
+
+
+def _deviations(models: DataFrame, width: float) -> Column:
+    """Standard deviations on each side of the band: those of the model's own width where it has one."""
+    if "interval_width" not in models.columns:
+        return F.lit(z_quantile((1 + width) / 2))
+    widths = [r[0] for r in models.select("interval_width").distinct().limit(MOST_WIDTHS + 1).collect()]  # from a grid
+    if len(widths) > MOST_WIDTHS:
+        raise ValueError(f"more than {MOST_WIDTHS} different interval widths")
+    own = [F.when(F.col("interval_width") == w, z_quantile((1 + w) / 2)) for w in widths if w is not None]
+    return F.coalesce(*own, F.lit(z_quantile((1 + width) / 2)))
 
 
 def fit_trend_grid(df: DataFrame, spec: SeriesSpec, params: list[TrendParams],
@@ -284,9 +317,9 @@ def fit_trend_grid(df: DataFrame, spec: SeriesSpec, params: list[TrendParams],
 
 def trend_band(df: DataFrame, models: DataFrame, spec: SeriesSpec,
                interval_width: float = 0.95) -> DataFrame:
-    """Add ``yhat``, ``yhat_lower`` and ``yhat_upper``."""
-    z = z_quantile((1 + interval_width) / 2)
-    used = models.select(*spec.groups, "start", "knot_days", "slopes", "intercept", "sigma")
+    """Add ``yhat``, ``yhat_lower`` and ``yhat_upper``; a model with an ``interval_width`` of its own is used with that."""
+    z = _deviations(models, interval_width)
+    used = models.select(*spec.groups, "start", "knot_days", "slopes", "intercept", (F.col("sigma") * z).alias("_half"))
     out = join_on(df, used, spec.groups, "left")
     out = out.withColumn("_t", days_since(spec.time, F.col("start")))
     t = F.col("_t")
@@ -295,10 +328,10 @@ def trend_band(df: DataFrame, models: DataFrame, spec: SeriesSpec,
                    lambda s, change: F.greatest(t - s, F.lit(0.0)) * change),
         F.lit(0.0), lambda acc, v: acc + v)
     yhat = F.col("intercept") + F.get("slopes", F.lit(0)) * t + bends
-    half = F.col("sigma") * z
+    half = F.col("_half")
     out = out.withColumn("yhat", yhat)
     out = out.withColumns({"yhat_lower": F.col("yhat") - half, "yhat_upper": F.col("yhat") + half})
-    return out.drop("_t", "start", "knot_days", "slopes", "intercept", "sigma")
+    return out.drop("_t", "start", "knot_days", "slopes", "intercept", "_half")
 
 
 def _beyond(a: Column, b: Column) -> Column:

@@ -48,15 +48,16 @@ class JobSettings:
     time_parts: bool = True
     compat: bool = True
     collapse: bool = False
+    # Whether training first tunes the series that have no parameters, on half of the combinations.
+    tune_first: bool = False
     seed: int = 42
 
 
 def ingest(df: DataFrame, spec: SeriesSpec, settings: JobSettings) -> tuple[DataFrame, SeriesSpec]:
     """Raw rows with typed time and feature; the mean per time where times repeat and that is wanted.
 
-    Groups, time and ``tie`` must identify a row, as results are joined back on them. Where the
-    columns of ``tie`` are not all there and rows are not collapsed, the rows are written
-    once with a number.
+    Groups, time and ``tie`` must identify a row, as results are joined back on them. Where they do not (the key columns are counted once), or
+    the columns of ``tie`` are not all there, and rows are not collapsed, the rows are written once with a number.
     """
     out = coerce_feature(coerce_time(df, spec.time), spec.feature).drop(*ADDED, ROW)
     if settings.collapse and not times_are_unique(out, spec):
@@ -65,9 +66,18 @@ def ingest(df: DataFrame, spec: SeriesSpec, settings: JobSettings) -> tuple[Data
         spec = replace(spec, tie=())
         if not settings.collapse:
             out = materialize(out.withColumn(ROW, F.monotonically_increasing_id()), "raw")
+    elif not settings.collapse and not _identified(out, spec):
+        out = materialize(out.withColumn(ROW, F.monotonically_increasing_id()), "raw")
+        spec = replace(spec, tie=(*spec.tie, ROW))
     return out, spec
 
 
+def _identified(rows: DataFrame, spec: SeriesSpec) -> bool:
+    """Whether no two rows agree in groups, time and tie."""
+    keys = list(dict.fromkeys([*spec.groups, *spec.order]))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+
+
 def _keys(raw: DataFrame, spec: SeriesSpec) -> list[str]:
     return [ROW] if ROW in raw.columns else list(dict.fromkeys([*spec.groups, *spec.order]))
 
@@ -134,16 +144,18 @@ def look(frame: DataFrame, spec: SeriesSpec) -> Facts:
 
 
 def fit_models(frame: DataFrame, spec: SeriesSpec, date: datetime, settings: JobSettings,
-               facts: Facts) -> dict[str, DataFrame]:
+               facts: Facts, params: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Model tables of the three detectors. The trend sees the whole history, the
-    other two the rows before the split date."""
+    other two the rows before the split date. ``params`` has tables of tuned parameters by detector;
+    series that are not in them have those of the settings."""
+    own = (params or {}).get
     past, _ = split(frame, spec.time, date)
     windows = facts.hot.above(ROWS_PER_CHUNK)
     return {
-        "lstm": fit_forecaster(past, spec, settings.forecast, facts.normalized, windows),
+        "lstm": fit_forecaster(past, spec, settings.forecast, facts.normalized, windows, own("lstm")),
         "iso_f": fit_iforest(past, spec, settings.contamination, settings.trees,
-                             settings.forest_mode, settings.seed, facts.hot),
-        "prophet": fit_trend(frame, spec, settings.trend, windows),
+                             settings.forest_mode, settings.seed, facts.hot, params=own("iso_f")),
+        "prophet": fit_trend(frame, spec, settings.trend, windows, own("prophet")),
     }
 
 
@@ -205,14 +217,25 @@ def _first_needed(frame: DataFrame, spec: SeriesSpec, date: datetime, settings:
 
 
 def train(df: DataFrame, spec: SeriesSpec, path: str, settings: JobSettings = JobSettings()) -> list[str]:
-    """Fit the detectors and save models and run metadata under ``path``."""
+    """Fit the detectors and save models and run metadata under ``path``.
+
+    Each series is fitted with its own tuned parameters under ``path``. With ``settings.tune_first``, series that
+    have none are tuned ahead; without it they get those of the settings.
+    """
     raw, spec = ingest(df, spec, settings)
     frame, spec, parts = prepare(raw, spec, settings)
     facts = look(frame, spec)
     if facts.first is None:
         raise ValueError("no series has enough known values to train on")
     date = _split_date(facts, df.sparkSession, settings)
-    for name, rows in fit_models(frame, spec, date, settings, facts).items():
+    params = {}
+    for detector in tuning.DEFAULTS:
+        if settings.tune_first:
+            _tune(frame, spec, detector, path, None, True, settings.seed)
+        known = tuned_params(df.sparkSession, spec, detector, path)
+        if known is not None:
+            params[detector] = known
+    for name, rows in fit_models(frame, spec, date, settings, facts, params).items():
         save_models(rows, f"{path}/models", name)
     dates = {"split_date": date, "read_from": _first_needed(frame, spec, date, settings)}
     meta = run_metadata(frame, spec.time, parts).withColumns({
@@ -268,13 +291,29 @@ def tune(df: DataFrame, spec: SeriesSpec, detector: str, path: str | None = None
         if path and table_exists(spark, f"{path}/metadata"):
             parts = [p for p in load_metadata(spark, f"{path}/metadata")["time_groups"].split("*") if p]
     frame, spec, _ = prepare(raw, spec, settings, parts)
-    old = None
-    if path and table_exists(spark, f"{params}/model={detector}"):
-        old = load_models(spark, params, detector)
-        frame = tuning.tune_if_needed(frame, old.select(*spec.groups), spec.groups)
-        frame = materialize(frame, "untuned")
+    return _tune(frame, spec, detector, path, ranges, implicit, settings.seed)
+
+
+def tuned_params(spark, spec: SeriesSpec, detector: str, path: str | None) -> DataFrame | None:
+    """The parameters saved under ``path``; None where there are none, or they are of series with other groups."""
+    if not path or not table_exists(spark, f"{path}/params/model={detector}"):
+        return None
+    table = load_models(spark, f"{path}/params", detector)
+    parameters = {*tuning.DEFAULTS[detector], "combo_id", "error", "model"}
+    return table if set(table.columns) - parameters == set(spec.groups) else None
+
+
+def _tune(frame: DataFrame, spec: SeriesSpec, detector: str, path: str | None, ranges: dict | None,
+          implicit: bool, seed: int) -> DataFrame:
+    """:func:`tune` on a prepared frame."""
+    spark, params = frame.sparkSession, f"{path}/params"
+    old = tuned_params(spark, spec, detector, path)
+    if old is not None:
+        frame = materialize(tuning.tune_if_needed(frame, old.select(*spec.groups), spec.groups), "untuned")
+        if frame.isEmpty():
+            return old
     grid = tuning.param_grid(spark, tuning.DEFAULTS[detector], ranges or tuning.RANGES[detector])
-    grid = materialize(tuning.half_grid(grid, settings.seed) if implicit else grid, "grid")
+    grid = materialize(tuning.half_grid(grid, seed) if implicit else grid, "grid")
     tail = frame
     if tuning.TAIL_SHARE[detector] < 1:
         tail = tuning.tail_window(frame, spec, tuning.TAIL_SHARE[detector])

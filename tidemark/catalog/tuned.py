@@ -187,7 +187,9 @@ def g9(spark, sf):
     return out.select("user_id", r("contamination").alias("contamination"))
 
 
-@query("g10_tune_if_needed", f"SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM {_SQL_TUNED})")
+@query("g10_tune_if_needed", """SELECT user_id, event_type FROM events GROUP BY ALL HAVING count(*) FILTER (event_id % 5 = 0) = 0""")
 def g10(spark, sf):
-    series = events(spark, sf).select("user_id").distinct()
-    return tu.tune_if_needed(series, _tuned(spark, sf), ["user_id"])
+    """Series are the users' event types; those with an event whose number is a multiple of 5 have parameters."""
+    df = events(spark, sf)
+    tuned = df.where("event_id % 5 = 0").select("user_id", "event_type").distinct()
+    return tu.tune_if_needed(df.select("user_id", "event_type").distinct(), tuned, ["user_id", "event_type"])

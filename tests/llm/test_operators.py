@@ -253,6 +253,23 @@ def test_a_passage_in_many_surroundings_meets_in_bounded_shards(spark, index):
     assert {k: len(v) for k, v in gone.items()} == want and len(want) > 60
 
 
+@pytest.mark.parametrize("index", [fm_index, sparse_suffix])
+def test_every_hit_is_decided_by_the_index(spark, docs, index):
+    """An index that finds nothing leaves nothing, whole copies included; each group of segments shows it two documents at most."""
+    def blind(hashed, bounds, ids, places, window):
+        return [np.full(max(0, n - window + 1), np.iinfo(np.int64).max) for n in np.diff(bounds)]
+
+    assert passages.shared_spans(docs, blind, "doc_id", "text").count() == 0
+    copies = spark.createDataFrame([(k, BASE) for k in range(40)], "doc_id long, text string").repartition(4)
+
+    def few(hashed, bounds, ids, places, window):
+        assert set(ids.tolist()) == {0, 39}
+        return index.smallest_holders(hashed, bounds, ids, places, window)
+
+    spans = passages.shared_spans(copies, few, "doc_id", "text").collect()
+    assert {r.id for r in spans} == set(range(1, 40)) and {r.by for r in spans} == {0}
+
+
 def test_indexes_agree_on_random_words():
     rng = np.random.default_rng(2)
     for _ in range(30):

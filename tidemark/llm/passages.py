@@ -2,9 +2,10 @@
 
 A window is ``window`` consecutive words. Its anchor is the run of ``ANCHOR`` words with the smallest hash inside it, so equal windows have
 equal anchors; the consecutive windows of a document with one anchor make a segment. Segments meet by the
-anchor's hash. Equal segments are merged first (with partial aggregation, so a passage in any number of documents sends one
-row a task), and only different segments of one anchor, each once, are compared by the operator's own index. An anchor with more
-words of different segments than a shard may hold is taken apart into its windows; those meet by anchor and own hash, and the index
+anchor's hash. Segments with one hash are grouped first (with partial aggregation, so a passage in any number of documents sends one
+row a task). Of each group the words of its smallest and of its largest document go to the operator's own index, with all other groups of the anchor,
+and what the index finds for them decides: for the smallest document its own runs, for the others those of the largest. An anchor with more
+words in such holders than a shard may hold is taken apart into its windows; those meet by anchor and own hash, and the index
 compares the words of two holders of each.
 """
 
@@ -132,7 +133,7 @@ def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _compared(fetched: DataFrame, shard: Shard, window: int, anchor: int, shard_words: int, by: tuple[str, ...] = ("m",)) -> DataFrame:
-    """For every segment the runs of windows that a smaller document has: m, s, runs of (from, to, by) in words of the segment.
+    """For every segment the runs of windows that a smaller document has: m, s, id, runs of (from, to, by) in words of the segment.
 
     Segments that agree on ``by`` meet in one index.
     """
@@ -149,10 +150,9 @@ def _compared(fetched: DataFrame, shard: Shard, window: int, anchor: int, shard_
             some = np.flatnonzero(least < own)
             if len(some):
                 cut = np.flatnonzero(np.diff(some) > 1) + 1
-                rows.append((m, s, [{"from": int(x[0]), "to": int(x[-1]) + window, "by": int(least[x].min())} for x in np.split(some, cut)]))
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], runs)],
-                                          names=["m", "s", "runs"])
+                rows.append((m, s, own, [{"from": int(x[0]), "to": int(x[-1]) + window, "by": int(least[x].min())} for x in np.split(some, cut)]))
+        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], runs)], names=["m", "s", "id", "runs"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words, now = [], 0, None
@@ -173,8 +173,8 @@ def _compared(fetched: DataFrame, shard: Shard, window: int, anchor: int, shard_
         if held:
             yield solve(held)
 
-    dealt = fetched.repartition(*by).sortWithinPartitions("m", "s")
-    return dealt.mapInArrow(run, "m long, s long, runs array<struct<`from`:int,`to`:int,by:long>>")
+    dealt = fetched.repartition(*by).sortWithinPartitions("m", "s", "id")
+    return dealt.mapInArrow(run, "m long, s long, id long, runs array<struct<`from`:int,`to`:int,by:long>>")
 
 
 def shared_spans(docs: DataFrame, shard: Shard, doc_id: str, text: str, window: int = WINDOW, anchor: int = ANCHOR,
@@ -183,20 +183,26 @@ def shared_spans(docs: DataFrame, shard: Shard, doc_id: str, text: str, window:
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
     segments = anchored_segments(rows, window, anchor)
     distinct = segments.groupBy("m", "s").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min_by("spot", "id").alias("spot"),
-                                              F.max("length").alias("length"))
+                                              F.max_by("spot", "id").alias("last_spot"), F.max("length").alias("length"))
     met = Window.partitionBy("m")
     several = F.min("first").over(met) < F.max("first").over(met)
-    found = distinct.withColumns({"several": several, "words": F.sum("length").over(met)}).filter("several OR first < last")
+    held = F.sum(F.col("length") * F.when(F.col("first") < F.col("last"), 2).otherwise(1)).over(met)
+    found = distinct.withColumns({"several": several, "words": held}).filter("several OR first < last").drop("several")
     found = materialize(found, "segments")
-    large = found.filter("several").groupBy("m").agg(F.max("words").alias("words")).filter(F.col("words") > shard_words)
+    large = found.groupBy("m").agg(F.max("words").alias("words")).filter(F.col("words") > shard_words)
     # At most one anchor for every `shard_words` words of segments.
     hot = np.sort(np.array([r.m for r in large.select("m").collect()], np.int64))
     if len(hot):
         found = found.join(F.broadcast(large.select("m")), "m", "left_anti")
-    compared = _compared(_fetched(rows, found.filter("several").withColumnRenamed("first", "id")), shard, window, anchor, shard_words)
+    holder = F.struct(F.col("first").alias("id"), F.col("spot").alias("at"))
+    other = F.struct(F.col("last").alias("id"), F.col("last_spot").alias("at"))
+    holders = found.select("m", "s", "length", F.inline(F.when(F.col("first") < F.col("last"), F.array(holder, other)).otherwise(F.array(holder))))
+    compared = _compared(_fetched(rows, holders.withColumnRenamed("at", "spot")), shard, window, anchor, shard_words)
     compared = materialize(compared, "compared")
-    told = found.join(compared, ["m", "s"], "left").filter("first < last OR runs IS NOT NULL").select("m", "s", "first", "runs")
-    own = F.when(F.col("id") > F.col("first"), F.array(F.struct(F.lit(0).alias("from"), F.col("length").alias("to"), F.col("first").alias("by")))).otherwise(F.col("runs"))
+    named = compared.join(found.select("m", "s", "first"), ["m", "s"])
+    told = named.groupBy("m", "s", "first").agg(F.first(F.when(F.col("id") == F.col("first"), F.col("runs")), True).alias("runs"),
+                                                F.first(F.when(F.col("id") > F.col("first"), F.col("runs")), True).alias("copied"))
+    own = F.when(F.col("id") > F.col("first"), F.col("copied")).otherwise(F.col("runs"))
     hit = segments.join(told, ["m", "s"]).select("id", "spot", F.explode(own).alias("r"))
     if len(hot):
         hit = hit.unionByName(_hot_hits(rows, hot, shard, window, anchor, shard_words))

@@ -109,6 +109,34 @@ def test_objectives_give_every_combination(spark):
     assert len(tu.objective_trend(df, ALONE, small).toPandas()) == 4
 
 
+@pytest.mark.parametrize("chunk", [5_000_000, 60])
+def test_rolling_origin_chooses_for_each_series(spark, monkeypatch, chunk):
+    """A series driven by the row before last and one driven by the third last get different lags; errors as by hand."""
+    from tidemark.operators import series
+
+    monkeypatch.setattr(series, "ROWS_PER_CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    made = {}
+    for g, back in (("two", 2), ("three", 3)):
+        y = list(rng.normal(0, 1, 3))
+        for _ in range(237):
+            y.append(-0.9 * y[-back] + rng.normal(0, 0.3))
+        made[g] = np.array(y)
+    df = frame(spark, [(g, i, v) for g, y in made.items() for i, v in enumerate(y)])
+    grid = tu.param_grid(spark, tu.DEFAULTS["lstm"], {"lag": "1*3", "lahead": "2*6"})
+    errors = tu.objective_rolling(df, SPEC, grid)
+    best = {r.g: (r.lag, r.lahead) for r in tu.best_params(errors, grid, SPEC.groups).collect()}
+    assert best == {"two": (2, 2), "three": (2, 4)}
+    offsets = {0: [1], 1: [1], 2: [1, 2], 3: [1, 3]}
+    for r in errors.collect():
+        y = made[r.g]
+        y, own = (y - y.min()) / (y.max() - y.min()), offsets[r.combo_id]
+        at = np.arange(max(own), len(y))
+        x, block = np.stack([np.ones(len(at))] + [y[at - o] for o in own], 1), at * 5 // len(y)
+        away = [np.abs(x[block == k] @ np.linalg.lstsq(x[block < k], y[at][block < k], rcond=None)[0] - y[at][block == k]) for k in range(1, 5)]
+        assert r.error == pytest.approx(np.concatenate(away).mean(), abs=1e-8)
+
+
 def test_tail_window(spark):
     out = tu.tail_window(noisy(spark, 50), SPEC, 0.1).toPandas()
     assert sorted(out.id) == list(range(45, 50)) + list(range(95, 100))

@@ -163,7 +163,7 @@ def test_tune(spark, tmp_path):
     kept = again.merge(best, on="g")
     assert len(kept) == 2 and (kept.combo_id_x == kept.combo_id_y).all()
     half = jobs.tune(df, SPEC, "lstm", implicit=True).toPandas()
-    assert set(half.g) == {"a", "b"} and (half.error < 1e-9).all()
+    assert set(half.g) == {"a", "b"} and half.error.between(0.001, 0.5).all()
 
 
 def test_training_tunes_once_and_uses_what_it_finds(spark, tmp_path, monkeypatch):

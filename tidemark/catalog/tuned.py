@@ -100,6 +100,30 @@ def g5(spark, sf):
     return out.select("event_type", "combo_id", r("error").alias("error"))
 
 
+_ROLLING = """WITH e AS (SELECT event_type, ts, event_id, (value - min(value) OVER s) / (max(value) OVER s - min(value) OVER s) AS y,
+  count(*) OVER s AS n, row_number() OVER (s ORDER BY ts, event_id) AS pos FROM events WINDOW s AS (PARTITION BY event_type)),
+ x AS (SELECT event_type, y, (pos - 1) * 5 // n AS block, lag(y, 1) OVER w AS x1, lag(y, 2) OVER w AS x2, lag(y, 3) OVER w AS x3
+  FROM e WINDOW w AS (PARTITION BY event_type ORDER BY pos)),
+ k AS (SELECT unnest(range(1, 5)) AS k),
+ one AS (SELECT event_type, k, regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM x JOIN k ON block < k WHERE x1 IS NOT NULL GROUP BY ALL),
+ pairs AS (SELECT event_type, block, y, x1, x2 AS z, 2 AS gap FROM x UNION ALL SELECT event_type, block, y, x1, x3, 3 FROM x),
+ s AS (SELECT event_type, gap, k, avg(y) AS my, avg(x1) AS mx, avg(z) AS mz, var_pop(x1) AS vx, var_pop(z) AS vz, covar_pop(x1, z) AS c,
+  covar_pop(y, x1) AS cx, covar_pop(y, z) AS cz FROM pairs JOIN k ON block < k WHERE x1 IS NOT NULL AND z IS NOT NULL GROUP BY ALL),
+ two AS (SELECT *, (cx * vz - cz * c) / (vx * vz - c * c) AS bx, (cz * vx - cx * c) / (vx * vz - c * c) AS bz FROM s),
+ err AS (SELECT event_type, 1 AS lag, 1 AS gap, avg(abs(a + b * x1 - y)) AS error FROM x JOIN one USING (event_type) WHERE block = k AND x1 IS NOT NULL GROUP BY 1
+  UNION ALL SELECT event_type, 2, gap, avg(abs(my + bx * (x1 - mx) + bz * (z - mz) - y)) FROM pairs JOIN two USING (event_type, gap)
+  WHERE block = k AND x1 IS NOT NULL AND z IS NOT NULL GROUP BY event_type, gap)"""
+
+
+@query("g5_objective_rolling", f"""{_ROLLING} SELECT event_type, combo_id, {sr('error')} AS error
+ FROM err JOIN (VALUES (0, 1, 1), (1, 1, 1), (2, 2, 2), (3, 2, 3)) c(combo_id, lag, gap) USING (lag, gap)""")
+def g5r(spark, sf):
+    """Errors on rows that were not fitted on, for one and two lags and two distances between them."""
+    grid = tu.param_grid(spark, tu.DEFAULTS["lstm"], {"lag": "1*3", "lahead": "2*6"})
+    out = tu.objective_rolling(events(spark, sf), EVENTS, grid)
+    return out.select("event_type", "combo_id", r("error").alias("error"))
+
+
 _OUTLIER = f"""(SELECT event_type, (abs(value - m) >= {sql_t_quantile(0.995, 'n - 1')} * sqrt(v / n))::INT AS actual,
  (value > 60)::INT AS label FROM (SELECT event_type, value, avg(value) OVER w AS m, var_pop(value) OVER w AS v, count(*) OVER w AS n
  FROM events WINDOW w AS (PARTITION BY event_type)))"""

@@ -159,6 +159,14 @@ def min_rows_gate(df: DataFrame, spec: SeriesSpec, batch_size: int = 16, params:
     return counted.where(F.col("_rows") > 2 * batch).drop("_rows", "_batch")
 
 
+def product_terms(x: list[Column], y: Column) -> dict[str, Column]:
+    """The terms whose sums :func:`solve_sums` needs, by name."""
+    lag = len(x)
+    out = {"rows": F.lit(1), "sum_y": y}
+    out |= {f"sum_{i}": x[i] for i in range(lag)} | {f"sum_{i}_y": x[i] * y for i in range(lag)}
+    return out | {f"sum_{i}_{j}": x[i] * x[j] for i in range(lag) for j in range(i, lag)}
+
+
 def normal_sums(frame: DataFrame, groups, lag: int) -> DataFrame:
     """Per series the sums least squares needs: ``rows``, ``sum_i``, ``sum_i_j``,
     ``sum_y``, ``sum_i_y``, over the rows whose lags and target are known."""

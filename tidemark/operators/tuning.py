@@ -10,16 +10,16 @@ import math
 from dataclasses import replace
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sampling import add_hashes, draw
 from tidemark.operators.forecast import (
-    ForecastParams, is_normalized, lag_frame, min_rows_gate, minmax_scale, normal_sums, solve_sums)
+    ForecastParams, is_normalized, lag_frame, min_rows_gate, minmax_scale, normal_sums, product_terms, solve_sums)
 from tidemark.operators.iforest import KNOTS, as_models, iforest_sample, merge_curves, score_iforest, tree_curves
 from tidemark.operators.residual_score import mean_ci_inlier
 from tidemark.operators.series import (
-    ROWS_PER_GROUP, HotSeries, exact_percentiles, hot_series, join_on, with_position)
+    ROWS_PER_GROUP, HotSeries, exact_percentiles, hot_series, join_on, with_position, with_window)
 from tidemark.operators.trend import (
     TrendParams, days_since, fit_trend, fit_trend_grid, mape, segment_of, trend_band)
 from tidemark.session import materialize
@@ -46,6 +46,9 @@ TAIL_SHARE = {"iso_f": 0.3, "prophet": 0.1, "lstm": 1.0}
 
 SPARK_TYPES = {int: "int", float: "double", str: "string"}
 
+#: Blocks of rolling-origin evaluation.
+FOLDS = 5
+
 # Trees that one closed-form subsample stands for.
 TREES_PER_SUBSAMPLE = 1
 
@@ -139,6 +142,63 @@ def objective_forecast(df: DataFrame, spec: SeriesSpec, grid: DataFrame,
     return out.join(F.broadcast(combos), keys).select(*spec.groups, "combo_id", "error")
 
 
+def objective_rolling(df: DataFrame, spec: SeriesSpec, grid: DataFrame, folds: int = FOLDS,
+                      hot: HotSeries | None = None) -> DataFrame:
+    """Rows (groups, ``combo_id``, ``error``): mean absolute error of forecasting the next row, in scaled units, by rolling origin.
+
+    A series' rows are cut into ``folds`` blocks; each block but the first is forecast by a fit on all rows before it.
+    One pass sums products per (series, block) for all lag settings together, and a block's fit comes from the sums of
+    the blocks before it; a second pass takes the errors of all settings.
+    """
+    settings = sorted({(r["lag"], r["lahead"]) for r in grid.select("lag", "lahead").distinct().collect()})
+    fits = [ForecastParams(lag, lahead, horizon=1) for lag, lahead in settings]
+    offsets = [[p.horizon + i * max(p.shift, 1) for i in range(p.lag)] for p in fits]
+    every = sorted({o for own in offsets for o in own})
+    hot = hot or hot_series(df, spec)
+    scaled = minmax_scale(df, spec, "_y", is_normalized(df, spec.feature).first()["normalized"])
+    frame = with_window(scaled, spec, every[-1], lambda w: {"_x": F.array(*[F.lag("_y", o).over(w) for o in every])}, hot)
+    frame = with_position(frame, spec, hot)
+    keys = [*spec.groups, "_block"]
+    block = F.floor((F.col("pos") - 1) * folds / F.col("n")).cast("int")
+    frame = frame.select(*spec.groups, block.alias("_block"), F.col("_y").alias("target"), "_x")
+
+    def lags(own: list[int]) -> list[Column]:
+        return [F.col("_x")[every.index(o)] for o in own]
+
+    def known(own: list[int]) -> Column:
+        out = F.col("target").isNotNull()
+        for x in lags(own):
+            out = out & x.isNotNull()
+        return out
+
+    sums = frame.groupBy(*keys).agg(*[
+        F.sum(F.when(known(own), value)).alias(f"{k}_{name}")
+        for k, own in enumerate(offsets) for name, value in product_terms(lags(own), F.col("target")).items()])
+    before = Window.partitionBy(*spec.groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    models = None
+    for k, p in enumerate(fits):
+        own = [c.removeprefix(f"{k}_") for c in sums.columns if c.startswith(f"{k}_")]
+        earlier = sums.select(*keys, *[F.sum(f"{k}_{c}").over(before).alias(c) for c in own]).where(F.col("rows") > p.lag)
+        solved = solve_sums(earlier, keys, p.lag).withColumn("_setting", F.lit(k))
+        models = solved if models is None else models.unionByName(solved)
+    packed = models.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
+        F.struct("_setting", F.struct("intercept", "coefficients")))).alias("_fits"))
+    judged = join_on(frame, packed, keys)
+    errors = []
+    for k, own in enumerate(offsets):
+        fit = F.col("_fits")[k]
+        guess = fit["intercept"]
+        for i, x in enumerate(lags(own)):
+            guess = guess + fit["coefficients"][i] * x
+        errors.append(F.round(F.avg(F.when(known(own), F.abs(guess - F.col("target")))), 9).alias(f"_e{k}"))
+    wide = judged.groupBy(*spec.groups).agg(*errors)
+    cells = F.array(*[F.struct(F.lit(a).alias("lag"), F.lit(b).alias("lahead"), F.col(f"_e{k}").alias("error"))
+                      for k, (a, b) in enumerate(settings)])
+    long = wide.select(*spec.groups, F.explode(cells).alias("_c")).select(*spec.groups, "_c.*")
+    combos = grid.select("combo_id", "lag", "lahead")
+    return long.join(F.broadcast(combos), ["lag", "lahead"]).select(*spec.groups, "combo_id", "error")
+
+
 def objective_iforest(df: DataFrame, spec: SeriesSpec, grid: DataFrame, seed: int = 42,
                       trees_per_subsample: int = TREES_PER_SUBSAMPLE,
                       hot: HotSeries | None = None) -> DataFrame:

@@ -317,7 +317,7 @@ def _tune(frame: DataFrame, spec: SeriesSpec, detector: str, path: str | None, r
     tail = frame
     if tuning.TAIL_SHARE[detector] < 1:
         tail = tuning.tail_window(frame, spec, tuning.TAIL_SHARE[detector])
-    objective = {"lstm": tuning.objective_forecast, "iso_f": tuning.objective_iforest,
+    objective = {"lstm": tuning.objective_rolling, "iso_f": tuning.objective_iforest,
                  "prophet": tuning.objective_trend}[detector]
     errors = materialize(objective(tail, spec, grid), "errors")
     best = tuning.best_params(errors, grid, spec.groups)

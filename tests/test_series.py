@@ -83,6 +83,42 @@ def test_exact_percentile(spark, q):
     assert alone == pytest.approx(np.quantile(y, q))
 
 
+@pytest.mark.parametrize("limit", [3, 40])
+def test_percentiles_by_counting(spark, monkeypatch, limit):
+    """Many keys and percentiles at once, with brackets of a few rows; equal to numpy."""
+    rng = np.random.default_rng(5)
+    parts = {"normal": rng.normal(0, 1, 3000), "wide": 10.0 ** rng.uniform(-300, 300, 2000), "ties": rng.integers(0, 4, 900) * 1.0,
+             "one": np.full(500, 7.0), "hot end": np.concatenate([np.zeros(800), [1e9, -1e9]]), "few": np.array([2.0, 1.0])}
+    g = np.concatenate([[k] * len(v) for k, v in parts.items()])
+    df = from_arrays(spark, g, np.arange(len(g)), np.concatenate(list(parts.values())))
+    df = df.unionByName(frame(spark, [("unknown", i, None) for i in range(60)]))
+    sorted_sizes, inner = [], series._at_ranks
+
+    def watched(counted, brackets, order):
+        if order == "_v":
+            sorted_sizes.extend(b.rows for b in brackets)
+        return inner(counted, brackets, order)
+
+    monkeypatch.setattr(series, "_at_ranks", watched)
+    monkeypatch.setattr(series, "SPLITTERS", 9)
+    qs = [0.0, 0.001, 0.01, 0.333, 0.5, 0.97, 1.0]
+    hot = series.hot_series(df, SPEC, limit)
+    got = {r["g"]: r["v"] for r in series.exact_percentiles(df, ["g"], "y", qs, "v", hot).collect()}
+    assert got.pop("unknown") is None and set(got) == set(parts)
+    for key, y in parts.items():
+        assert np.allclose(got[key], np.quantile(y, qs), rtol=1e-12, atol=0), key
+    assert sorted_sizes and max(sorted_sizes) <= limit
+
+
+def test_percentile_of_a_hot_table_without_groups(spark, monkeypatch):
+    monkeypatch.setattr(series, "ROWS_PER_BRACKET", 10)
+    y = np.random.default_rng(1).normal(0, 1, 1001)
+    df = from_arrays(spark, ["a"] * 1001, np.arange(1001), y)
+    assert series.exact_percentile(df, [], "y", 0.25, "v").first()["v"] == pytest.approx(np.quantile(y, 0.25), abs=1e-12)
+    unknown = df.withColumn("y", F.lit(None).cast("double"))
+    assert series.exact_percentile(unknown, [], "y", 0.25, "v").collect() == [(None,)]
+
+
 def test_statistics_without_groups(spark):
     df = frame(spark, [("a", 0, 1), ("b", 1, 3)])
     out = series.attach_stats(df, [], F.avg("y").alias("m"), F.count(F.lit(1)).alias("k"))

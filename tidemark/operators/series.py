@@ -16,6 +16,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.spec import SeriesSpec
 
@@ -67,11 +68,14 @@ class HotSeries:
 
 def hot_series(df: DataFrame, spec: SeriesSpec, limit: int | None = None) -> HotSeries:
     limit = limit or ROWS_PER_CHUNK
-    groups = list(spec.groups)
+    return HotSeries(spec, limit, _above(df, list(spec.groups), limit))
+
+
+def _above(df: DataFrame, groups: list[str], limit: int) -> DataFrame | None:
+    """The groups of more than ``limit`` rows and their counts, or None."""
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
     found = counts.where(F.col("_rows") > limit).collect()
-    table = df.sparkSession.createDataFrame(found, counts.schema) if found else None
-    return HotSeries(spec, limit, table)
+    return df.sparkSession.createDataFrame(found, counts.schema) if found else None
 
 
 def _join_hot(df: DataFrame, table: DataFrame, groups, how: str) -> DataFrame:
@@ -219,60 +223,136 @@ def meet(rows: DataFrame, side: DataFrame, spec: SeriesSpec, schema, run) -> Dat
     return pair.applyInPandas(lambda r, s: run(r.drop(columns="_slot"), s), schema)
 
 
+# Rows of one bracket that may be sorted in one task, and the cuts by which a larger one is divided.
+ROWS_PER_BRACKET = 500_000
+SPLITTERS = 255
+
+
+@dataclass(frozen=True)
+class Bracket:
+    """The ``rows`` rows of group number ``group`` from ``low`` to ``high``; ``ranks`` (from 0 inside it) are looked for."""
+
+    group: int
+    low: float
+    high: float
+    rows: int
+    ranks: tuple[tuple[int, int], ...]
+
+
+def _inside(rows: DataFrame, brackets: list[Bracket]) -> DataFrame:
+    """Rows (``_b``, ``_v``): the values in each bracket. Brackets of a group do not overlap."""
+    held: dict[int, list] = {}
+    for i, b in enumerate(brackets):
+        held.setdefault(b.group, []).append((b.low, b.high, i))
+    table = rows.sparkSession.createDataFrame(
+        list(held.items()), "_g int, _open array<struct<low: double, high: double, number: int>>")
+    v = F.col("_v")
+    fits = F.filter("_open", lambda o: (v >= o["low"]) & (v <= o["high"]))
+    # At most (rows / limit) groups with two brackets for each percentile.
+    return (rows.join(F.broadcast(table), "_g").select(F.get(fits, F.lit(0))["number"].alias("_b"), "_v")
+            .where(F.col("_b").isNotNull()))
+
+
+def _at_ranks(counted: DataFrame, brackets: list[Bracket], order: str) -> list:
+    """The rows of ``counted`` (``_b``, ``order``, ``_c`` rows each) in which the ranks lie, with ``_id``, ``_rank`` and ``_upto``."""
+    ranks = counted.sparkSession.createDataFrame(
+        [(i, t, rank) for i, b in enumerate(brackets) for t, rank in b.ranks], "_b int, _id int, _rank long")
+    upto = F.sum("_c").over(Window.partitionBy("_b").orderBy(order))
+    found = counted.withColumn("_upto", upto).join(F.broadcast(ranks), "_b")
+    return found.where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))).collect()
+
+
+def narrow(rows: DataFrame, brackets: list[Bracket], limit: int) -> list[Bracket]:
+    """Divides each bracket above ``limit`` rows once, and keeps the parts in which ranks lie.
+
+    Approximate percentiles, which are values of the rows, are the cuts; the rows at
+    and between them are counted exactly. A part is bounded by its own smallest and largest value.
+    """
+    large = [b for b in brackets if b.rows > limit and b.low < b.high]
+    inside = _inside(rows, large)
+    shares = [i / (SPLITTERS - 1) for i in range(SPLITTERS)]
+    cuts = inside.groupBy("_b").agg(
+        F.array_distinct(F.percentile_approx("_v", shares, 10 * SPLITTERS)).alias("_cuts"))
+    before = position_in(F.col("_cuts"), F.col("_v"), SPLITTERS)
+    at_cut = F.get("_cuts", F.col("_before") - 1).eqNullSafe(F.col("_v"))
+    parts = (inside.join(cuts, "_b").withColumn("_before", before)
+             .withColumn("_part", 2 * F.col("_before") - at_cut.cast("int"))
+             .groupBy("_b", "_part")
+             .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")))
+    kept: dict[tuple, list] = {}
+    for r in _at_ranks(parts, large, "_part"):
+        key = (large[r["_b"]].group, r["_low"], r["_high"], r["_c"])
+        kept.setdefault(key, []).append((r["_id"], r["_rank"] - r["_upto"] + r["_c"]))
+    return [b for b in brackets if b not in large] + [Bracket(*k, tuple(t)) for k, t in kept.items()]
+
+
+def values_at_ranks(rows: DataFrame, brackets: list[Bracket], limit: int) -> dict[int, float]:
+    """The value at each rank, by its number. No task sorts more than ``limit`` distinct values of a bracket."""
+    while any(b.rows > limit and b.low < b.high for b in brackets):
+        brackets = narrow(rows, brackets, limit)
+    found = {t: b.low for b in brackets if b.low == b.high for t, _ in b.ranks}
+    rest = [b for b in brackets if b.low != b.high]
+    if rest:
+        counted = _inside(rows, rest).groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        found |= {r["_id"]: r["_v"] for r in _at_ranks(counted, rest, "_v")}
+    return found
+
+
 def exact_percentiles(df: DataFrame, groups, value: str, qs: list[float], name: str,
                       hot: HotSeries | None = None) -> DataFrame:
-    """Array of exact percentiles per series; see :func:`exact_percentile`."""
-    groups = list(groups)
-    if hot is not None and hot.table is None:
-        levels = F.array(*[F.lit(float(q)) for q in qs])
-        return df.groupBy(*groups).agg(F.percentile(value, levels).alias(name))
-    out = None
-    for i, q in enumerate(qs):
-        one = exact_percentile(df, groups, value, q, f"_q{i}", hot)
-        out = one if out is None else join_on(out, one, groups)
-    return out.select(*groups, F.array(*[F.col(f"_q{i}") for i in range(len(qs))]).alias(name))
+    """Array of exact linear-interpolation percentiles per group; NULL for a group without known values.
+
+    The built-in aggregate keeps all distinct values of a group in memory, so it
+    serves the groups that are not hot. For the hot ones, all percentiles of all
+    groups are selected together by counting: see :func:`narrow`. Each round is
+    two scans and leaves about 1 / SPLITTERS of a bracket; only a few numbers for each hot group
+    reach the driver.
+    """
+    groups, qs = list(groups), [float(q) for q in qs]
+    limit = ROWS_PER_BRACKET if hot is None else min(hot.limit, ROWS_PER_BRACKET)
+    table = _above(df, groups, limit) if hot is None else hot.table
+    builtin = F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias(name)
+    if table is None:
+        return df.groupBy(*groups).agg(builtin)
+    # No equal key for a missing one: such a group stays with the ordinary ones.
+    keys = table.select(*groups).dropna().collect() if groups else [()]
+    if not keys:
+        return df.groupBy(*groups).agg(builtin)
+    fields = [df.schema[g] for g in groups]
+    numbered = df.sparkSession.createDataFrame(
+        [(*k, i) for i, k in enumerate(keys)], T.StructType([*fields, T.StructField("_g", T.IntegerType())]))
+    known = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    rows = _join_hot(known, numbered, groups, "inner").select("_g", "_v")
+    spans = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")).collect()
+    start, wanted = [], {}
+    for s in spans:
+        ranks = []
+        for i, q in enumerate(qs):
+            at = (s["n"] - 1) * q
+            low = int(at)
+            t = 2 * (s["_g"] * len(qs) + i)
+            ranks += [(t, low), (t + 1, min(low + 1, s["n"] - 1))]
+            wanted[s["_g"], i] = (t, at - low)
+        start.append(Bracket(s["_g"], s["low"], s["high"], s["n"], tuple(ranks)))
+    found = values_at_ranks(rows, start, limit) if start else {}
+
+    def percentile(g: int, i: int) -> float:
+        t, part = wanted[g, i]
+        return found[t] + part * (found[t + 1] - found[t])
+
+    out = [(*k, [percentile(g, i) for i in range(len(qs))] if (g, 0) in wanted else None) for g, k in enumerate(keys)]
+    selected = df.sparkSession.createDataFrame(out, T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    if not groups:
+        return selected
+    ordinary = _join_hot(df, numbered.drop("_g"), groups, "left_anti")
+    return ordinary.groupBy(*groups).agg(builtin).unionByName(selected)
 
 
 def exact_percentile(df: DataFrame, groups, value: str, q: float, name: str,
                      hot: HotSeries | None = None) -> DataFrame:
-    """Exact linear-interpolation percentile per series.
-
-    The built-in aggregate keeps all distinct values of a group in memory, so it
-    serves only where no series is hot. Otherwise an approximate percentile, with
-    its guaranteed rank error, brackets the answer; the rows below the bracket
-    are counted, and only the distinct values inside are sorted.
-    """
-    groups = list(groups)
-    if hot is not None and hot.table is None:
-        return df.groupBy(*groups).agg(F.percentile(value, F.lit(q)).alias(name))
-    accuracy = 10000
-    slack = 2.0 / accuracy
-    known = df.where(F.col(value).isNotNull()).select(*groups, value)
-    at = (F.col("_n") - 1) * F.lit(q)
-    # Below 2 * accuracy rows the slack is less than the two ranks needed: take all.
-    few = F.col("_n") < 2 * accuracy
-    around = F.percentile_approx(value, [max(0.0, q - slack), min(1.0, q + slack)], accuracy)
-    bounds = (known.groupBy(*groups)
-              .agg(F.count(F.lit(1)).alias("_n"), around.alias("_b"),
-                   F.min(value).alias("_min"), F.max(value).alias("_max"))
-              .select(*groups, F.floor(at).alias("_k"), (at - F.floor(at)).alias("_part"),
-                      F.when(few | F.lit(q <= slack), F.col("_min"))
-                      .otherwise(F.col("_b")[0]).alias("_lo"),
-                      F.when(few | F.lit(q >= 1 - slack), F.col("_max"))
-                      .otherwise(F.col("_b")[1]).alias("_hi")))
-    rows = join_on(known, bounds, groups)
-    inside = F.when(F.col(value) >= F.col("_lo"), F.col(value))
-    counted = (rows.where(F.col(value) <= F.col("_hi"))
-               .groupBy(*groups, "_k", "_part", inside.alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_c")))
-    # The rows below the bracket are one NULL entry, which sorts first.
-    w = Window.partitionBy(*groups).orderBy(F.col("_v").asc_nulls_first())
-    picked = (counted.withColumn("_upto", F.sum("_c").over(w))
-              .groupBy(*groups, "_part")
-              .agg(F.min(F.when(F.col("_upto") > F.col("_k"), F.col("_v"))).alias("_a"),
-                   F.min(F.when(F.col("_upto") > F.col("_k") + 1, F.col("_v"))).alias("_z")))
-    low, high = F.col("_a"), F.coalesce(F.col("_z"), F.col("_a"))
-    return picked.select(*groups, (low + F.col("_part") * (high - low)).alias(name))
+    """Exact linear-interpolation percentile per group; see :func:`exact_percentiles`."""
+    many = exact_percentiles(df, groups, value, [q], name, hot)
+    return many.withColumn(name, F.get(name, F.lit(0)))
 
 
 # Up to this limit Spark cuts `row_number() <= k` ahead of the shuffle.

@@ -63,6 +63,20 @@ def test_dense_levels(spark):
     assert dense.count() == dense.distinct().count() == 2 * 2 * 3
 
 
+def test_product_is_made_by_as_many_tasks_as_it_needs(spark, monkeypatch):
+    left = spark.range(300).select(F.col("id").alias("a"))
+    right = spark.range(40).select(F.col("id").alias("b"))
+    seen = {}
+    for pairs in (10 ** 6, 1000, 50):
+        monkeypatch.setattr(filters, "PAIRS_PER_TASK", pairs)
+        made = filters.product(left, right)
+        seen[pairs] = made.rdd.getNumPartitions()
+        assert made.count() == made.distinct().count() == 300 * 40
+    assert seen[10 ** 6] == 1 and 12 <= seen[1000] <= 18 and 240 <= seen[50] <= 300
+    assert filters.product(left.where("a < 0"), right).count() == filters.product(left, right.where("b < 0")).count() == 0
+    assert filters.product(left.where("a < 1"), right).count() == 40
+
+
 def test_filter_reaches_the_scan(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     plan = filters.filter_levels(df, {"l_returnflag": "R"}).select("l_orderkey")

@@ -1,9 +1,10 @@
-"""Numeric kernels against commons-math on the driver's JVM."""
+"""Numeric kernels against commons-math on the driver's JVM; draws against trying every round."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from tidemark.functions import kernels
+from tidemark.functions import kernels, sampling
 
 
 @pytest.mark.parametrize("a,b", [(3, 5), (1, 30001), (0.5, 7), (25000, 5000), (15000, 15001), (2, 2), (1, 1)])
@@ -62,3 +63,34 @@ def test_limits_are_loud(monkeypatch):
     monkeypatch.setattr(kernels, "betainc", lambda a, b, x: np.full_like(x, np.nan))
     with pytest.raises(ArithmeticError):
         kernels.beta_ppf(0.3, 2.0, 3.0)
+
+
+@pytest.mark.parametrize("case", ["any", "small steps", "backward", "still", "narrow", "all"])
+def test_draws_are_found_without_looking_at_every_round(case):
+    rng = np.random.default_rng(len(case))
+    n = 400
+    h1, h2 = rng.integers(0, 2**32, (2, n))
+    limit = sampling.DRAW_RANGE * 10.0 ** rng.uniform(-6, 0.3, n)
+    rounds = rng.integers(0, 1500, n)
+    if case == "small steps":
+        h1, h2 = rng.integers(0, 5000, n), rng.integers(1, 50, n)
+    elif case == "backward":
+        h2 = sampling.DRAW_RANGE - rng.integers(1, 50, n)
+    elif case == "still":
+        h2 = rng.integers(0, 2, n) * sampling.DRAW_RANGE
+    elif case == "narrow":
+        limit = rng.integers(-2, 3, n) * 1.0
+    elif case == "all":
+        limit = sampling.DRAW_RANGE + rng.integers(-2, 3, n) * 1.0
+    found, expected = (f(h1, h2, limit, rounds) for f in (sampling.hits, sampling.tried))
+    assert np.array_equal(found[0], expected[0]) and np.array_equal(found[1], expected[1])
+
+
+def test_rounds_of_rows_drawn_often_and_seldom(monkeypatch):
+    rng = np.random.default_rng(3)
+    h1, h2 = (pd.Series(v) for v in rng.integers(0, 2**32, (2, 2500)))
+    limit, rounds = pd.Series(sampling.DRAW_RANGE * 10.0 ** rng.uniform(-4, 0.1, 2500)), pd.Series(rng.integers(0, 300, 2500))
+    out = sampling.rounds_within.func(h1, h2, limit, rounds)
+    row, at = sampling.tried(*(c.to_numpy() for c in (h1, h2, limit, rounds)))
+    assert [list(v) for v in out] == [list(at[row == i]) for i in range(2500)]
+    assert len(sampling.rounds_within.func(*(c[:0] for c in (h1, h2, limit, rounds)))) == 0

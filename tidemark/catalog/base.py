@@ -117,3 +117,24 @@ def sql_t_confidence(t: str, dof: str) -> str:
            f"range(0, ((({dof}) - 1) // 2)::BIGINT), lambda j:"
            f" exp(2 * j * ln(2.0) + 2 * lgamma(j + 1.0) - lgamma(2.0 * j + 2) + (2 * j + 1) * ln(cos({angle})))::DOUBLE)), 0))")
     return f"(CASE WHEN ({dof}) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def sql_beta_quantile(params: str) -> str:
+    """Tables ``beta`` and ``quantile`` (event_id, score) for ``params`` (event_id, p, a, b), a and b whole numbers.
+
+    The distribution function is a finite binomial sum, of which the terms within some deviations of the centre count.
+    Newton steps from the mode come down on the quantile from one side. Needs WITH RECURSIVE.
+    """
+    n = "(a + b - 1)"
+    reach = f"(9 * sqrt({n} * x * (1 - x)) + 40)"
+    terms = f"range(greatest(a, floor({n} * x - {reach}))::BIGINT, least({n}, ceil({n} * x + {reach}))::BIGINT + 1)"
+    total = (f"coalesce(list_sum(list_transform({terms}, lambda j: exp(lgamma({n} + 1.0) - lgamma(j + 1.0) - lgamma({n} - j + 1.0)"
+             f" + j * ln(x) + ({n} - j) * ln(1 - x))::DOUBLE)), 0)")
+    density = f"exp(lgamma({n} + 1.0) - lgamma(a::DOUBLE) - lgamma(b::DOUBLE) + (a - 1) * ln(x) + (b - 1) * ln(1 - x))"
+    return f"""beta AS (
+  SELECT event_id, p, a, b, (a - 1)::DOUBLE / (a + b - 2) AS x, 1.0::DOUBLE AS moved, 0 AS step FROM {params} WHERE p > 0 AND p < 1 AND a > 1 AND b > 1
+  UNION ALL SELECT event_id, p, a, b, x - moved, moved, step + 1 FROM
+   (SELECT event_id, p, a, b, x, ({total} - p) / {density} AS moved, step FROM beta WHERE abs(moved) > 1e-10 AND step < 200)),
+ quantile AS (SELECT event_id, arg_max(x, step) AS score FROM beta GROUP BY event_id
+  UNION ALL SELECT event_id, CASE WHEN p < 0 OR p > 1 THEN NULL WHEN p IN (0, 1) THEN p WHEN a = 1 THEN 1 - pow(1 - p, 1.0 / b)
+   ELSE pow(p, 1.0 / a) END FROM {params} WHERE p <= 0 OR p >= 1 OR a = 1 OR b = 1)"""

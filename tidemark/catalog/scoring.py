@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import (
     EVENTS, SQL_EVENTS, SQL_NULLS, SQL_ZEROS, USERS, events, events_nulls, events_zeros, query, r,
-    sql_draw, sql_hash, sql_t_confidence, sql_t_quantile, sr)
+    sql_beta_quantile, sql_draw, sql_hash, sql_t_confidence, sql_t_quantile, sr)
 from tidemark.operators import forecast as fc
 from tidemark.operators import residual_score as rs
 
@@ -202,14 +202,17 @@ def a3(spark, sf):
     return out.select("event_type", "round", *[r(c).alias(c) for c in ("round_min", "round_max", "round_range", "round_mean")])
 
 
-@query("a4_beta_params", f"""WITH {_SCALED}, {_sql_rounds(_RES, 30, 3)},
+_BETA = f"""{_SCALED}, {_sql_rounds(_RES, 30, 3)},
  x AS (SELECT s.event_id, s.event_type, s.scaled + CASE WHEN s.residuals < s.mean_scaled THEN 0.5 ELSE 0 END AS p, round, sample_size,
   CASE WHEN s.residuals > rd.lo AND s.residuals < rd.hi THEN (s.residuals - rd.lo) / width +
    CASE WHEN (s.residuals - rd.lo) / width < mean THEN 0.5 ELSE 0 END END AS inside
   FROM s JOIN rd USING (event_type) JOIN z USING (event_type)),
- c AS (SELECT *, coalesce(last_value(inside IGNORE NULLS) OVER (PARTITION BY event_id ORDER BY round), 1.0) AS p2 FROM x)
- SELECT event_id, {sr('any_value(p)')} AS p, (1 + sum(trunc(sample_size * (1 - p2))))::BIGINT AS a,
-  (1 + sum(trunc(sample_size * p2)))::BIGINT AS b FROM c GROUP BY event_id""")
+ c AS (SELECT *, coalesce(last_value(inside IGNORE NULLS) OVER (PARTITION BY event_id ORDER BY round), 1.0) AS p2 FROM x),
+ par AS (SELECT event_id, any_value(p) AS p, (1 + sum(trunc(sample_size * (1 - p2))))::BIGINT AS a,
+  (1 + sum(trunc(sample_size * p2)))::BIGINT AS b FROM c GROUP BY event_id)"""
+
+
+@query("a4_beta_params", f"WITH {_BETA} SELECT event_id, {sr('p')} AS p, a, b FROM par")
 def a4(spark, sf):
     df = _residual_frame(events(spark, sf))
     sizes = rs.sample_sizes(df, EVENTS)
@@ -217,7 +220,8 @@ def a4(spark, sf):
     return rs.beta_params(df, rounds, sizes, EVENTS).select("event_id", r("p").alias("p"), "a", "b")
 
 
-@query("a5_beta_score")
+@query("a5_beta_score", f"""WITH RECURSIVE {_BETA}, {sql_beta_quantile('par')}
+ SELECT event_id, {sr('score')} AS anomaly_score_1, coalesce((score < 0.05 OR score > 0.95)::INT, 0) AS ad_label_1 FROM quantile""")
 def a5(spark, sf):
     out = rs.beta_score(_residual_frame(events(spark, sf)), EVENTS, seed=3)
     return out.select("event_id", r("anomaly_score_1").alias("anomaly_score_1"), "ad_label_1")
@@ -255,21 +259,25 @@ def _even_odd(df):
 _EVEN = "(SELECT event_id, event_type, value AS residuals, value FROM events WHERE event_id % 2 = 0)"
 
 
-@query("a8_bayes_value_params", f"""WITH {_sql_rounds(_EVEN, 30, 0)},
+_VALUE_BETA = f"""{_sql_rounds(_EVEN, 30, 0)},
  k AS (SELECT event_type, min(value) AS low, max(value) AS high, avg(value) AS mean FROM {_EVEN} GROUP BY 1),
  v AS (SELECT event_id, event_type, value, (value - low) / (high - low) + CASE WHEN value < (k.mean - low) / (high - low) THEN 0.5 ELSE 0 END AS p
   FROM events JOIN k USING (event_type) WHERE event_id % 2 = 1),
  x AS (SELECT event_id, p, sample_size, CASE WHEN value > lo AND value < hi THEN (value - lo) / width +
    CASE WHEN (value - lo) / width < mean THEN 0.5 ELSE 0 END ELSE 1.0 END AS p2
-  FROM v JOIN rd USING (event_type) JOIN z USING (event_type))
- SELECT event_id, {sr('any_value(p)')} AS p, (1 + sum(trunc(sample_size * (1 - p2))))::BIGINT AS a,
-  (1 + sum(trunc(sample_size * p2)))::BIGINT AS b FROM x GROUP BY event_id""")
+  FROM v JOIN rd USING (event_type) JOIN z USING (event_type)),
+ par AS (SELECT event_id, any_value(p) AS p, (1 + sum(trunc(sample_size * (1 - p2))))::BIGINT AS a,
+  (1 + sum(trunc(sample_size * p2)))::BIGINT AS b FROM x GROUP BY event_id)"""
+
+
+@query("a8_bayes_value_params", f"WITH {_VALUE_BETA} SELECT event_id, {sr('p')} AS p, a, b FROM par")
 def a8p(spark, sf):
     sample, values = _even_odd(events(spark, sf))
     return rs.bayes_value_params(sample, values, EVENTS, "value").select("event_id", r("p").alias("p"), "a", "b")
 
 
-@query("a8_bayes_score_value")
+@query("a8_bayes_score_value", f"""WITH RECURSIVE {_VALUE_BETA}, {sql_beta_quantile('par')}
+ SELECT event_id, {sr('score')} AS score FROM quantile""")
 def a8(spark, sf):
     sample, values = _even_odd(events(spark, sf))
     return rs.bayes_score_value(sample, values, EVENTS, "value").select("event_id", r("score").alias("score"))

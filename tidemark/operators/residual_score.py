@@ -45,19 +45,19 @@ def draw_rounds(df: DataFrame, sizes: DataFrame, spec: SeriesSpec, rounds: int,
     ``sizes`` has per series ``known`` (rows to draw from) and ``sample_size``, and
     may have ``rounds``, the number of rounds of the series up to ``rounds``.
     A row stays only in the rounds in which its draw is small enough, so what is
-    shuffled and ranked is bounded by rounds * sample size, not by the series. Many rounds
-    are drawn in Arrow batches, ahead of the explode.
+    shuffled and ranked is bounded by rounds * sample size, not by the series. A few rounds are tried
+    in place; of many, only those in which the row is drawn are made, in Arrow batches. Either way no row is multiplied before.
     """
     limit = enough(F.col("sample_size").cast("double")) / F.col("known") * F.lit(float(DRAW_RANGE))
     last = (F.col("rounds") if "rounds" in sizes.columns else F.lit(rounds)).cast("int").alias("_rounds")
     rows = add_hashes(df.select(*spec.groups, *spec.tie, value), spec.tie, seed)
     rows = join_on(rows, sizes.select(*spec.groups, "known", "sample_size", last), spec.groups)
     if rounds <= FEW_ROUNDS:
-        every = F.sequence(F.lit(0), F.col("_rounds") - 1)
+        every = F.filter(F.sequence(F.lit(0), F.col("_rounds") - 1), lambda k: draw(k) <= limit)
     else:
         every = rounds_within("_h1", "_h2", limit, "_rounds")
-    rows = rows.withColumn("round", F.explode(every))
-    rows = rows.withColumn("_draw", draw(F.col("round"))).where(F.col("_draw") <= limit)
+    rows = rows.withColumn("_every", every).withColumn("round", F.explode("_every")).drop("_every")
+    rows = rows.withColumn("_draw", draw(F.col("round")))
     chosen = smallest(rows, [*spec.groups, "round"], spec.tie, F.col("sample_size"))
     return chosen.select(*spec.groups, "round", value)
 

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tests.data import SPEC, by_id, frame, noisy
+from tests.data import ALONE, SPEC, by_id, frame, noisy
 from tidemark.operators import iforest, trend
 from tidemark.streaming import stream as st
 
@@ -55,6 +55,40 @@ def test_fill_stream_carries_state(spark, tmp_path):
     assert pd.isna(got[0]) and got[1:].tolist() == [1, 2, 1.5, 1.5, 2, 1.5, 8, 8]
 
 
+def test_fill_stream_equals_one_run(spark, tmp_path):
+    """Three restarts give what one run over all rows gives."""
+    df = noisy(spark, 200, nulls=0.6, series=("a", "b"))
+    cuts = [F.col("t") < F.lit(f"2021-01-01 {h}").cast("timestamp") for h in ("00:40:00", "01:10:00", "02:30:00")]
+    parts = [df.where(cuts[0]), df.where(~cuts[0] & cuts[1]), df.where(~cuts[1] & cuts[2]), df.where(~cuts[2])]
+    for name, slices in (("many", parts), ("one", [df])):
+        for s in arrive(spark, str(tmp_path / name / "in"), *slices):
+            drain(st.fill_previous_stream(s, SPEC), str(tmp_path / name / "out"), str(tmp_path / name / "c"))
+    many, one = (by_id(spark.read.parquet(str(tmp_path / name / "out")), "y") for name in ("many", "one"))
+    pd.testing.assert_frame_equal(many, one, rtol=1e-12)
+    assert len(one) == 400
+
+
+def test_silent_series_leave_no_state(spark, tmp_path):
+    quiet = frame(spark, [("quiet", 0, 5.0)])
+    loud = frame(spark, [("loud", 9000, 6.0)])
+    back = frame(spark, [("quiet", 9002, None), ("loud", 9003, None)])
+    path, held = str(tmp_path / "c"), []
+    for s in arrive(spark, str(tmp_path / "in"), quiet, loud, back):
+        drain(st.fill_previous_stream(s, SPEC, silence="1 hour"), str(tmp_path / "out"), path)
+        state = spark.read.format("statestore").option("path", path).option("stateVarName", "known").load()
+        held.append({r["key"]["g"] for r in state.collect()})
+    assert held == [{"quiet"}, {"loud"}, {"quiet", "loud"}]
+    assert [(r["g"], r["y"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("t").collect()] == [
+        ("quiet", 5.0), ("loud", 6.0), ("quiet", None), ("loud", 6.0)]
+
+
+def test_fill_stream_without_groups(spark, tmp_path):
+    df = frame(spark, [("a", 0, 1.0), ("b", 1, 3.0), ("a", 2, None)])
+    for s in arrive(spark, str(tmp_path / "in"), df):
+        drain(st.fill_previous_stream(s, ALONE), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert by_id(spark.read.parquet(str(tmp_path / "out")), "y").y.tolist() == [1, 3, 2]
+
+
 @pytest.mark.parametrize("slide", [None, "10 minutes"])
 def test_timeline_stream(spark, tmp_path, slide):
     df = noisy(spark, 150)

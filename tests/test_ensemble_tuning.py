@@ -41,6 +41,17 @@ def test_join_models(spark):
     assert ensemble.vote_present(raw).first().predicted_label == 2
 
 
+def test_join_models_where_times_repeat(spark):
+    """The tie tells rows of one time apart; without it they are refused."""
+    raw = frame(spark, [("a", 0, 1), ("a", 0, 2), ("a", 1, 3), ("b", 0, 4)])
+    one = raw.where("id <> 2").select("g", "t", "id", (F.col("id") % 2).cast("int").alias("ad_label_1"), F.col("y").alias("anomaly_score_1"))
+    out = by_id(ensemble.join_models(raw, {1: one}, SPEC), "ad_label_1", "anomaly_score_1")
+    assert out.id.tolist() == [0, 1, 2, 3] and out.ad_label_1.tolist() == [0, 1, 0, 1] and out.anomaly_score_1.tolist() == [1, 2, 0, 4]
+    for repeated in (one.drop("id"), one.union(one.where("id = 0")), one.withColumn("t", F.lit(None).cast("timestamp"))):
+        with pytest.raises(ensemble.DuplicateTimes):
+            ensemble.join_models(raw, {1: repeated}, SPEC)
+
+
 def test_grids(spark):
     for name, size in (("iso_f", 20), ("lstm", 48), ("prophet", 20)):
         grid = tu.param_grid(spark, tu.DEFAULTS[name], tu.RANGES[name]).toPandas()

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.clean import times_are_unique
+from tidemark.operators.clean import rows_are_unique
 from tidemark.spec import SeriesSpec
 
 
 class DuplicateTimes(ValueError):
-    """A detector's output has several rows for one series and time."""
+    """A detector's output has several rows for one row of the series, or one without a time."""
 
 
 def vote(labels: list[Column]) -> Column:
@@ -32,21 +33,22 @@ def vote_present(df: DataFrame) -> DataFrame:
 
 def join_models(raw: DataFrame, models: dict[int, DataFrame | None], spec: SeriesSpec,
                 fill_raw: bool = False, check: bool = True) -> DataFrame:
-    """Left join each detector's rows on groups and time.
+    """Left join each detector's rows on groups, time and, where both sides have its columns, ``tie``.
 
     Missing labels and scores become 0; ``predict`` stays NULL where nothing was
     predicted. ``fill_raw`` turns every missing number, also in the raw columns,
     into 0. Repeated keys would multiply rows, so they are refused unless
     ``check`` is off.
     """
-    on = [*spec.groups, spec.time]
     out = raw
     added: list[str] = []
     for number, model in sorted(models.items()):
         if model is None:
             continue
-        if check and not times_are_unique(model, spec):
-            raise DuplicateTimes(f"detector {number}: times repeat within a series")
+        own = spec if set(spec.tie) <= set(raw.columns) & set(model.columns) else replace(spec, tie=())
+        if check and not rows_are_unique(model, own):
+            raise DuplicateTimes(f"detector {number}: rows repeat within a series, or have no time")
+        on = list(dict.fromkeys([*own.groups, *own.order]))
         names = [f"ad_label_{number}", f"anomaly_score_{number}"]
         extra = ["predict"] if "predict" in model.columns else []
         out = out.join(model.select(*on, *names, *extra), on, "left")

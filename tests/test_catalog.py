@@ -63,3 +63,16 @@ def test_queries_without_sql_do_the_whole_job(spark, sf_dir, monkeypatch):
     assert trees == [1000]
     found = entry.queries()["g7_objective_piecewise"](spark, sf_dir)
     assert {r.combo_id for r in found.select("combo_id").distinct().collect()} == set(range(20))
+
+
+def test_vote_of_two_detectors_where_times_repeat(spark, tmp_path):
+    """Three rows of each time and type, told apart by their number."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i + 1000 * k AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * i AS ts, i % 50 AS user_id,
+     ['view', 'click'][1 + i % 2] AS event_type, 10 + 5 * sin(i + k)::DOUBLE AS value FROM range(90) r(i), range(3) c(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    name = "x4_detect_moving_average"
+    ours, theirs = entry.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(entry.oracle_sql()[name]).df()
+    ours, theirs = (d[sorted(ours.columns)].sort_values("event_id").reset_index(drop=True) for d in (ours, theirs))
+    assert len(ours) == 270
+    pd.testing.assert_frame_equal(ours, theirs, check_dtype=False, rtol=0, atol=1.1e-6)

@@ -385,3 +385,19 @@ def test_no_groups(spark):
     assert fc.fit_forecaster(df, ALONE).count() == 1
     scored = rs.beta_score(df.withColumn("residuals", F.col("y")), ALONE)
     assert scored.where("anomaly_score_1 is not null").count() > 100
+
+
+def test_knots_of_many_parameters_come_from_one_pass(spark):
+    """The rows are ranked once, not once for each parameter, and nothing is ranked in the plan of the lines."""
+    df = noisy(spark, 300)
+    params = [trend.TrendParams(changepoint_range=a, n_changepoints=b, kind="piecewise") for a in (0.1, 0.4) for b in (5, 20)]
+    lines, knots = trend.fit_trend_grid(df, SPEC, params)
+    days = {g: {round(d, 9) for d in found} for g, found in knots.select("g", "knot_days").collect()}
+    each = {}
+    for p in params:
+        at = trend.changepoint_grid(df, SPEC, p).join(knots.select("g", "start"), "g")
+        for r in at.select("g", trend.days_since("ds", F.col("start")).alias("d")).collect():
+            each.setdefault(r.g, set()).add(round(r.d, 9))
+    assert days == each and lines.count() > 0
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Union" not in plan

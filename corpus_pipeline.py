@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import decontaminate, exact_dedup, language_id, ngram_join, pack
 from tidemark.session import materialize
 
+#: Languages of the corpus that is made.
+LANGUAGES = ("en",)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which no learned language can be told: texts without a letter and random letters."""
-    return language_id.keep_identified(docs)
+    """Keeps the documents in the languages of the corpus; drops those in others, texts without a letter and random letters."""
+    return language_id.keep_identified(docs, wanted=LANGUAGES)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,18 @@ def test_the_background_rejects_random_letters(spark):
     assert {r.doc_id for r in kept} == {*range(400), 1003, 1004}
 
 
+def test_the_language_stage_decides_what_the_others_see(spark, tmp_path):
+    """By the text: rows without a language, or with a wrong one, are judged like all others."""
+    rng = random.Random(11)
+    words = {"en": "the house stands near a river and trees", "de": "das haus steht nahe einem fluss und wald"}
+    rows = [(k, " ".join(rng.choice(words[lang].split()) for _ in range(30)), lang) for k in range(80) for lang in [("en", "de")[k % 2]]]
+    rows += [(100, "the river and the trees near the house", None), (101, "das haus und der fluss nahe wald", None),
+             (102, "einem haus steht das wald nahe fluss", "en"), (103, "a house near the river stands", "de")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()}
+    assert kept == {*range(0, 80, 2), 100, 103}
+
+
 def test_copies_move_their_texts_three_times(spark, sf):
     """And repeated rows are merged without another exchange."""
     from tidemark.llm import exact_dedup

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -176,12 +176,14 @@ def identify_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", margin: float = 0.0) -> DataFrame:
-    """The documents, with all their columns, in whose text the learned languages can be told.
+def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", margin: float = 0.0,
+                    wanted: Collection[str] | None = None) -> DataFrame:
+    """The documents, with all their columns, in whose text the learned languages can be told; with ``wanted``, those in one of these languages.
 
     A text stays when languages explain it better than the background alone does, by ``margin`` at least and with the penalty of
     ``LanguageModel.fitted``: one ordinary word does, also beside keys or numbers; long runs of random letters do not. The model learns from all rows with a language. Null texts and texts without a letter always go; where nothing
-    was learned, all others stay, as nothing speaks against them.
+    was learned, all others stay, as nothing speaks against them. A text's language is the one with the largest share, as in
+    :func:`language_mixtures`; what ``lang`` says of the text does not count.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_languages(docs, F.lit(True), text, lang))
     names = docs.columns
@@ -190,9 +192,12 @@ def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for part in parts:
             column = part.column(names.index(text))
             for row, data, offsets in bt.pieces(column):
-                gain = model.value.fitted(data, offsets)[1]
+                shares, gain = model.value.fitted(data, offsets)
                 texts = column.slice(row, len(gain)).to_pylist()
-                keep = [has_letter(t) and (not model.value.langs or bool(g >= margin)) for g, t in zip(gain, texts, strict=True)]
+                fits = gain >= margin
+                if wanted is not None and model.value.langs:
+                    fits &= np.isin(model.value.langs, [*wanted])[shares.argmax(1)]
+                keep = [has_letter(t) and (not model.value.langs or bool(g)) for g, t in zip(fits, texts, strict=True)]
                 yield part.slice(row, len(gain)).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

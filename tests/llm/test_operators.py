@@ -380,6 +380,37 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score_held_out(df, marked.filter("toxic = 0")).collect()} == {0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A few marked words occur in the last rows by hash only, which a first share of the rows does not show; one replica and several tell them."""
+    rng, marks = random.Random(12), []
+    ids = [r.id for r in spark.sql("SELECT id FROM range(2500) ORDER BY xxhash64(id)").collect()]
+    rows = []
+    for place, k in enumerate(ids):
+        words = [rng.choice(VOCABULARY) for _ in range(15)]
+        toxic = int(place % 5 == 1)
+        if toxic:
+            words[rng.randrange(15)] = "firstbad" if place < 1200 else "laterbad"
+        rows.append((k, " ".join(words), "en"))
+        marks.append((k, toxic))
+    df, marked = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    truth = dict(marks)
+    for some in (5000, 1000):
+        found = toxicity.score_held_out(df, marked, train_rows=some).collect()
+        held = [r for r in found if r.held_out]
+        assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held), some
+
+
+def test_toxicity_weights_survive_averaging():
+    model = toxicity.ToxicityModel.new()
+    moments = toxicity.Moments.new(model)
+    moments.step, model.out_bias = 7, 0.25
+    rows = toxicity._rows(model, moments)
+    other = toxicity.ToxicityModel.new(1)
+    state = toxicity.Moments.new(other)
+    toxicity._unpack(rows, other, state)
+    assert state.step == 7 and other.out_bias == 0.25 and np.array_equal(toxicity._rows(other, state), rows)
+
+
 def test_every_operator_takes_odd_rows_and_empty_tables(spark, docs, bench, labels):
     none = docs.filter("false")
     runs = {

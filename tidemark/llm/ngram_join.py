@@ -224,7 +224,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     classes = every.filter("n > 0").groupBy("signature").agg(F.min("id").alias("rep"))
     reps = every.join(classes, "signature").filter("id = rep").dropDuplicates(["signature"]).select("id", "n", "prefix")
     lists = reps.select("id", "n", F.posexplode("prefix").alias("at", "s"))
+    # Most rows of this exchange are alone in their list: they travel with size and place in one number.
+    lists = lists.select("id", "s", (F.shiftleft("n", 32) + F.col("at")).alias("_place"))
     lists = lists.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("size > 1")
+    lists = lists.select("id", F.shiftright("_place", 32).alias("n"), F.col("_place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"), "s", "size")
     # Sizes in a ratio of at least percent / 100 are in the same band or in neighbouring ones.
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) * (1 - 1e-9))
     lists = materialize(lists.withColumn("band", band).withColumn("label", F.col("id")), "lists")

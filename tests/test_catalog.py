@@ -76,3 +76,13 @@ def test_vote_of_two_detectors_where_times_repeat(spark, tmp_path):
     ours, theirs = (d[sorted(ours.columns)].sort_values("event_id").reset_index(drop=True) for d in (ours, theirs))
     assert len(ours) == 270
     pd.testing.assert_frame_equal(ours, theirs, check_dtype=False, rtol=0, atol=1.1e-6)
+
+
+def test_vote_of_two_detectors_where_rows_repeat_or_have_no_time(spark, tmp_path):
+    """Copies under one id, and rows without a time, come back once each; a copy has the labels of its like."""
+    duckdb.execute(f"""COPY (SELECT i AS event_id, CASE WHEN i % 20 <> 3 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * i END AS ts, i % 50 AS user_id,
+     ['view', 'click'][1 + i % 2] AS event_type, (10 + 5 * sin(i))::DOUBLE AS value FROM range(90) r(i), range(3) c(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    found = entry.queries()["x4_detect_moving_average"](spark, str(tmp_path)).toPandas()
+    assert (found.groupby("event_id").size() == 3).all() and len(found) == 270
+    assert found["ad_label_3"].groupby(found["event_id"]).nunique().max() == 1
+    assert (found["predicted_label"] == found[["ad_label_1", "ad_label_3"]].max(axis=1)).all()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tests.data import ALONE, SPEC, by_id, frame, from_arrays, noisy
 from tidemark.operators import clean, forecast, series, splits, trend
 from tidemark.operators.forecast import ForecastParams
+from tidemark.operators.series import HotSeries
+from tidemark.spec import SeriesSpec
 
 P = ForecastParams(lag=3, lahead=6, tsteps=4)
 
@@ -138,3 +140,20 @@ def test_order_and_partitions_do_not_matter(spark):
     one = by_id(clean.fill_previous(noisy(spark, 200, nulls=0.3, parts=1), SPEC), "y")
     many = by_id(clean.fill_previous(noisy(spark, 200, nulls=0.3, parts=7), SPEC), "y")
     pd.testing.assert_frame_equal(one, many)
+
+
+def test_percentiles_of_hot_series_compute_the_values_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def value(number: pd.Series) -> pd.Series:
+        seen.add(len(number))
+        return number * 0.5
+
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id")).withColumn("v", value("id"))
+    spec = SeriesSpec("id", "v", "g")
+    hot = HotSeries(spec, 100, spark.createDataFrame([(0, 1500), (1, 1500)], "g long, _rows long"))
+    found = {r["g"]: r["q"] for r in series.exact_percentile(rows, ["g"], "v", 0.3, "q", hot).collect()}
+    assert seen.value == 3000
+    for g in (0, 1):
+        assert found[g] == pytest.approx(float(np.quantile(np.arange(g, 3000, 2) * 0.5, 0.3)))

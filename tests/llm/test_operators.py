@@ -8,8 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import (decontaminate, exact_dedup, fm_index, language_id, license_scan, ngram_join, pack, passages, queries,
+from tidemark.llm import (bytetext, decontaminate, exact_dedup, fm_index, language_id, license_scan, ngram_join, pack, passages, queries,
                           sparse_suffix, token_files, tokens, toxicity)
 
 SCHEMA = "doc_id long, text string, lang string, id string, n string, digest string, q string"
@@ -429,3 +430,43 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark, docs, bench, labe
 def test_registered():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(dict.fromkeys(
         sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])))) and len(queries.QUERIES) == 13
+
+
+def test_toxicity_texts_do_not_move_to_their_labels(spark, monkeypatch):
+    """The ids go to the texts whatever their size; beyond the limit they meet by key. Either way every labelled row is taken."""
+    rows = [(i, f"{'vile' if i % 3 == 0 else 'kind'} words {i}", "en") for i in range(60)] + [(None, "nobody", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 60, 2)], "doc_id long, toxic int")
+    kept = []
+    train = toxicity._train_replicas
+
+    def seen(taken, replicas):
+        kept.append(sorted(r["_text"] for r in taken.collect()))
+        return train(taken, replicas)
+
+    monkeypatch.setattr(toxicity, "_train_replicas", seen)
+    joined = []
+    join = type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, other, *a, **b: joined.append((out := join(self, other, *a, **b))) or out)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit, kind in ((5_000_000, "BroadcastHashJoin"), (10, "SortMergeJoin")):
+            joined.clear()
+            monkeypatch.setattr(toxicity, "SENT_IDS", limit)
+            toxicity.fit_toxicity(docs, labels, F.lit(True))
+            assert kind in joined[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept[0] == kept[1] and len(kept[0]) == 30
+
+
+def test_likelihoods_of_words_are_those_of_their_trigrams():
+    texts = ["Ab ab, abc", "", "x", "... a", "été 12 ÉTÉ"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    table = np.random.default_rng(0).random((language_id.CELLS, 3))
+    starts, ends, _ = bytetext.spans(data, offsets, ~bytetext.LETTER)
+    at, cells = language_id._trigrams(data, offsets)
+    wanted = np.add.reduceat(table[cells], np.searchsorted(at, starts), axis=0)
+    assert np.array_equal(language_id._word_sums(table, bytetext.LOWER[data], starts, ends), wanted)

@@ -70,12 +70,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial of the bytes, for :func:`hashes`."""
+    prefix = np.zeros(len(data) + 1, U)
+    np.cumsum((data.astype(U) + U(1)) * _power("up", _BASE, len(data)), out=prefix[1:])
+    return prefix
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of the words, from prefix sums of a polynomial of the bytes."""
     if not len(starts):
         return np.zeros(0, U)
-    prefix = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * _power("up", _BASE, len(data)), out=prefix[1:])
+    prefix = prefix_sums(data) if prefix is None else prefix
     return mix((prefix[ends] - prefix[starts]) * _power("down", _UNBASE, len(data))[starts] + (ends - starts).astype(U))
 
 

@@ -33,8 +33,31 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     before[inner] = 32
     after[inner[inner > 0] - 1] = 32
     at = np.flatnonzero(letter)
-    code = (before[at] << 16 | low[at] << 8 | after[at]) * np.uint32(2654435761)
-    return at, (code >> np.uint32(17)).astype(np.int64)
+    return at, _cells(before[at], low[at], after[at])
+
+
+def _cells(before: np.ndarray, here: np.ndarray, after: np.ndarray) -> np.ndarray:
+    code = (before << 16 | here << 8 | after) * np.uint32(2654435761)
+    return (code >> np.uint32(17)).astype(np.int64)
+
+
+def _word_sums(table: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sums of the table's rows over the trigrams of each word, a run of letters with blanks around it."""
+    size = ends - starts
+    first = np.cumsum(size) - size
+    letters = low[np.repeat(starts - first, size) + np.arange(size.sum())].astype(np.uint32)
+    before, after = np.full(len(letters), 32, np.uint32), np.full(len(letters), 32, np.uint32)
+    before[1:], after[:-1] = letters[:-1], letters[1:]
+    before[first] = after[first + size - 1] = 32
+    return np.add.reduceat(table[_cells(before, letters, after)], first, axis=0)
+
+
+def _across(rows: np.ndarray) -> np.ndarray:
+    """The sum of the columns, which are few."""
+    total = rows[:, 0].copy()
+    for column in rows.T[1:]:
+        total += column
+    return total
 
 
 def has_letter(text: str | None) -> bool:
@@ -67,21 +90,22 @@ class LanguageModel:
         starts, ends, words = bt.spans(data, offsets, ~bt.LETTER)
         if not len(starts) or not k:
             return out, gain
-        at, cells = _trigrams(data, offsets)
-        ll = np.add.reduceat(self.table[cells], np.searchsorted(at, starts), axis=0)
+        # Likelihoods depend on the word alone, so they are made once for each different word.
+        names = bt.hashes(low := bt.LOWER[data], starts, ends)
+        _, one, which = np.unique(names, return_index=True, return_inverse=True)
+        ll = _word_sums(self.table, low, starts[one], ends[one])
         top = ll.max(1, keepdims=True)
-        like = np.exp(np.maximum(ll - top, -60.0))
+        like, top = np.exp(np.maximum(ll - top, -60.0))[which], top[which, 0]
         full = np.flatnonzero(np.diff(words))
         first, many = words[full], np.diff(words)[full]
-        of = np.repeat(np.arange(len(full)), many)
 
         def fit(start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
             p = start
             for _ in range(rounds):
-                joint = like * p[of]
-                joint /= joint.sum(1, keepdims=True) + 1e-300
+                joint = like * np.repeat(p, many, axis=0)
+                joint /= (_across(joint) + 1e-300)[:, None]
                 p = np.add.reduceat(joint, first, axis=0) / many[:, None]
-            return p, np.add.reduceat(np.log((like * p[of]).sum(1) + 1e-300), first)
+            return p, np.add.reduceat(np.log(_across(like * np.repeat(p, many, axis=0)) + 1e-300), first)
 
         p, _ = fit(np.full((len(full), k), 1.0 / k), ROUNDS)
         rank = np.argsort(np.argsort(-p, axis=1, kind="stable"), axis=1, kind="stable")
@@ -93,8 +117,7 @@ class LanguageModel:
             better = value > best
             best, chosen = np.where(better, value, best), np.where(better[:, None], q, chosen)
         out[full] = chosen
-        inside = np.add.reduceat(np.ones(len(at)), np.searchsorted(at, starts))
-        gain[full] = np.add.reduceat(np.maximum(top[:, 0] + inside * np.log(CELLS), 0.0), first) - 0.5 * np.log(many + 1.0)
+        gain[full] = np.add.reduceat(np.maximum(top + (ends - starts) * np.log(CELLS), 0.0), first) - 0.5 * np.log(many + 1.0)
         return out, gain
 
 

@@ -18,6 +18,8 @@ from tidemark.session import materialize
 
 #: Labelled documents for each replica of the model. All rows are trained on, by as many replicas as that takes.
 TRAIN_ROWS = 12_000
+#: Up to so many labelled ids are sent to the tasks, so that no text moves to meet its label; more meet the texts by a shuffle.
+SENT_IDS = 5_000_000
 #: Logits are counted in cells of this width; each cell keeps its smallest and largest logit.
 LOGIT_CELL = 1 / 1024
 CELLS, DIM, WIDTHS, FILTERS = 1 << 14, 16, (1, 2, 3), 16
@@ -34,8 +36,9 @@ def word_cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """Cells of each word (own, and of its prefixes) and the number of words before each text."""
     low = bt.LOWER[data]
     starts, ends, words = bt.spans(low, offsets, ~bt.LETTER)
-    columns = [bt.hashes(low, starts, ends)] + [
-        bt.hashes(low, starts, np.minimum(ends, starts + p)) ^ bt.U(p) for p in PREFIXES]
+    sums = bt.prefix_sums(low)
+    columns = [bt.hashes(low, starts, ends, sums)] + [
+        bt.hashes(low, starts, np.minimum(ends, starts + p), sums) ^ bt.U(p) for p in PREFIXES]
     return (np.stack(columns, 1) % bt.U(CELLS)).astype(np.int32), words
 
 
@@ -61,17 +64,22 @@ class ToxicityModel:
 
     def maps(self, cells: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Filter outputs at every word (a window past its text's end sees nothing there) and the word vectors."""
-        vectors = self.emb[cells].sum(1)
-        last = np.repeat(words[1:], np.diff(words))
-        place = np.arange(len(cells))
-        parts = []
-        for width, f in zip(WIDTHS, self.filters, strict=True):
+        vectors = self.emb[cells[:, 0]]
+        for column in cells.T[1:]:
+            vectors += self.emb[column]
+        ends = words[1:][np.diff(words) > 0]
+        maps = np.empty((len(cells), len(self.bias)), np.float32)
+        for i, (width, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
             total = vectors @ f[0]
             for k in range(1, width):
-                inside = (place + k < last)[:-k]
-                total[:-k] += (vectors[k:] * inside[:, None]) @ f[k]
-            parts.append(total)
-        return np.concatenate(parts, 1) + self.bias, vectors
+                more = vectors[k:] @ f[k]
+                # The last k words of a text reach past its end.
+                past = (ends[:, None] - np.arange(1, k + 1)).ravel()
+                more[past[(past >= 0) & (past < len(more))]] = 0
+                total[:-k] += more
+            part = slice(i * FILTERS, (i + 1) * FILTERS)
+            np.add(total, self.bias[part], out=maps[:, part])
+        return maps, vectors
 
     def logits(self, cells: np.ndarray, words: np.ndarray) -> np.ndarray:
         """One per text; a text without words has the logit of no feature at all."""
@@ -275,9 +283,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: Column, doc_id: str =
     and every score is below 0.5.
     """
     known = labels.filter(F.col(label).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("_label"))
-    # Written first, so that the size of the ids decides how the texts meet them.
+    # Written first, so that the number of the ids decides how the texts meet them.
     known = materialize(known.filter(rows), "labelled")
-    replicas = max(1, -(-known.count() // train_rows))
+    ids = known.count()
+    replicas = max(1, -(-ids // train_rows))
+    known = F.broadcast(known) if ids <= SENT_IDS else known
     own = docs.filter(rows).select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
                                    F.coalesce(F.col(lang), F.lit("")).alias("_lang"))
     taken = own.join(known, F.col("_id") == F.col(doc_id)).select(F.xxhash64("_id").alias("_hash"), "_text", "_lang", "_label")
